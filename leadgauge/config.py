@@ -52,15 +52,17 @@ NAME_NOUNS = tuple("""
     waves wild willow window winds winter zebra
 """.split())
 
+PAID_MARKETING = "PAID MARKETING"
+
 # First-touch rules on the landing URL and the growth site, in order; the first match wins.
 URL_RULES = (
-    Rule("url", "%utm_source=adwords%", "PAID MARKETING"),
+    Rule("url", "%utm_source=adwords%", PAID_MARKETING),
     Rule("url", "%utm_medium=email%", "EMAIL"),
     Rule("url", "%utm_medium=referral%", "REFERRALS"),
     Rule("url", "%utm_medium=social%", "SOCIAL"),
-    Rule("url", "%?growth%", "PAID MARKETING"),
-    Rule("referrer", "%growth.pusher%", "PAID MARKETING"),
-    Rule("url", "%gclid=%", "PAID MARKETING"),
+    Rule("url", "%?growth%", PAID_MARKETING),
+    Rule("referrer", "%growth.pusher%", PAID_MARKETING),
+    Rule("url", "%gclid=%", PAID_MARKETING),
 )
 
 # Texts looked for anywhere in the referrer, by channel, in order. Texts that contain an earlier one can
@@ -150,6 +152,7 @@ class ScorecardConfig:
     connection_limit_over: int = 0
     message_limit_over: int = 1
 
+    tagged_url: str = "%utm_source=%"
     heroku_channel: str = "HEROKU"
     other_channel: str = "OTHER"
     untracked_channel: str = "AD BLOCKER"

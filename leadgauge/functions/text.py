@@ -55,11 +55,10 @@ def has_word(text: Column, words: Sequence[str]) -> Column:
     return text.rlike(any_word_pattern(words))
 
 
-def first_rule(cases: Iterable[tuple[Column, str]], otherwise: Column) -> Column:
-    """The label of the first condition that holds."""
+def first_value(cases: Iterable[tuple[Column, str | int]]) -> Column:
+    """The value of the first condition that holds, NULL when none does."""
     first, *rest = cases
-    chain = reduce(lambda chain, case: chain.when(*case), rest, F.when(*first))
-    return chain.otherwise(otherwise)
+    return reduce(lambda chain, case: chain.when(*case), rest, F.when(*first))
 
 
 def like_cases(rules: Iterable[Rule]) -> list[tuple[Column, str]]:

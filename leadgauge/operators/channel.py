@@ -1,36 +1,45 @@
-"""First-touch marketing channel of an account."""
+"""First-touch marketing channel of an account.
+
+There are only some ten channel names, so an account's set of them is kept as bits of one number: combining the sets
+of any number of rows is a `bit_or`, done map-side before the only shuffle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadgauge.config import ScorecardConfig, live_rules
+from leadgauge.config import PAID_MARKETING, ScorecardConfig, live_rules
 from leadgauge.functions.measure import repeat_copies, split_copies, with_copies
-from leadgauge.functions.text import first_rule, int_key, like_cases
+from leadgauge.functions.text import first_value, int_key, like_cases
 
 CHANNEL = "first_touch_channel"
+BITS = "channel_bits"
+
+# The two lowest bits tell which kinds of channels rows the account has, the others which touches.
+_HOSTED, _PLAIN, _FIRST_TOUCH_BIT = 1, 2, 4
 
 
-def touch_channel(config: ScorecardConfig) -> Column:
-    """Channel of one first touch, from its landing `url` and its `referrer`; the first rule that holds decides."""
+def touch_cases(config: ScorecardConfig) -> list[tuple[Column, str]]:
+    """Channel of one first touch, from its landing `url` and its `referrer`; the first case that holds decides."""
     url, referrer = F.col("url"), F.col("referrer")
     after_medium = F.split_part(url, F.lit("utm_medium="), F.lit(2))
     medium = F.upper(F.split_part(after_medium, F.lit("&"), F.lit(1)))
-    cases = [
-        (medium.isin(list(config.paid_mediums)), "PAID MARKETING"),
+    return [
+        (medium.isin(list(config.paid_mediums)), PAID_MARKETING),
         *like_cases(config.url_rules),
         *like_cases(live_rules(config.referrer_rules)),
         (referrer.isNotNull(), config.other_channel),
-        (url.like("%utm_source=%"), config.other_channel),
+        (url.like(config.tagged_url), config.other_channel),
         (url.isNull(), config.untracked_channel),
+        (F.lit(True), config.default_channel),
     ]
-    return first_rule(cases, F.lit(config.default_channel))
 
 
 def touches(first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
-    """First touches by account number with their channel, classified before any shuffle."""
-    return first_touch.select(int_key(F.col("account_id")).alias("account_id"), touch_channel(config).alias("touch"))
+    """First touches by account number with their channel."""
+    touch = first_value(touch_cases(config))
+    return first_touch.select(int_key(F.col("account_id")).alias("account_id"), touch.alias("touch"))
 
 
 def channel_accounts(channels: DataFrame) -> DataFrame:
@@ -39,13 +48,6 @@ def channel_accounts(channels: DataFrame) -> DataFrame:
     )
 
 
-def joined_channel(config: ScorecardConfig) -> Column:
-    """Channel after the join: the hosting partner's accounts have their own, accounts without touch are untracked."""
-    return F.when(F.col("heroku"), config.heroku_channel).otherwise(
-        F.coalesce("touch", F.lit(config.untracked_channel))
-    )
-
-
 def first_touch_rows(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
     """Every channels row with each of its first touches, and touches of no channels row with a NULL account.
 
@@ -55,23 +57,58 @@ def first_touch_rows(channels: DataFrame, first_touch: DataFrame, config: Scorec
     left = with_copies(channel_accounts(channels), "account_id", "heroku").withColumnRenamed("copies", "left_copies")
     right = with_copies(touches(first_touch, config), "account_id", "touch").withColumnRenamed("copies", "right_copies")
     joined = left.withColumn("found", F.col("account_id")).join(right, "account_id", "full_outer")
+    label = F.when(F.col("heroku"), config.heroku_channel).otherwise(
+        F.coalesce("touch", F.lit(config.untracked_channel))
+    )
     labelled = joined.select(
         F.col("found").alias("account_id"),
-        joined_channel(config).alias(CHANNEL),
+        label.alias(CHANNEL),
         (F.coalesce("left_copies", F.lit(1)) * F.coalesce("right_copies", F.lit(1))).alias("copies"),
     )
     return repeat_copies(split_copies(labelled).hint("rebalance"), "account_id", CHANNEL)
 
 
-def first_touch_channels(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
-    """The distinct channels of each channels account; several channels rows or touches can give several.
+def _label_bits(config: ScorecardConfig) -> dict[str, int]:
+    labels = dict.fromkeys(label for _, label in touch_cases(config))
+    bits = {label: _FIRST_TOUCH_BIT << n for n, label in enumerate(labels)}
+    if max(bits.values()) >= 1 << 63:
+        raise ValueError("the rules have too many different labels for one number")
+    return bits
+
+
+def channel_bit_rows(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> list[DataFrame]:
+    """What each channels row and each first touch adds to its account's bits."""
+    bits = _label_bits(config)
+    hosted = F.when(F.col("heroku"), _HOSTED).otherwise(_PLAIN)
+    touched = first_value((condition, bits[label]) for condition, label in touch_cases(config))
+    return [
+        channel_accounts(channels).select("account_id", hosted.cast("bigint").alias(BITS)),
+        first_touch.select(int_key(F.col("account_id")).alias("account_id"), touched.cast("bigint").alias(BITS)),
+    ]
+
+
+def channels_of_bits(bits: Column, config: ScorecardConfig) -> Column:
+    """The channel names behind an account's bits; empty without a channels row.
 
-    Distinct before the join, so an account brings at most one row per channel name to it.
+    Accounts of the hosting partner have its channel, other accounts those of their touches, or the untracked one.
     """
-    left = channel_accounts(channels).distinct()
-    right = touches(first_touch, config).filter("account_id is not null").distinct()
-    return (
-        left.join(right, "account_id", "left")
-        .select("account_id", joined_channel(config).alias(CHANNEL))
-        .distinct()
-    )
+
+    def has(bit: int) -> Column:
+        return bits.bitwiseAND(F.lit(bit)) != 0
+
+    def when(condition: Column, label: str) -> Column:
+        return F.when(condition, F.lit(label))
+
+    untouched = bits < _FIRST_TOUCH_BIT
+    touched = [
+        when(has(_PLAIN) & (has(bit) | (untouched if label == config.untracked_channel else F.lit(False))), label)
+        for label, bit in _label_bits(config).items()
+    ]
+    return F.array_distinct(F.array_compact(F.array(when(has(_HOSTED), config.heroku_channel), *touched)))
+
+
+def first_touch_channels(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
+    """The distinct channels of each channels account; several channels rows or touches can give several."""
+    rows, touch_rows = channel_bit_rows(channels, first_touch, config)
+    bits = rows.unionByName(touch_rows).groupBy("account_id").agg(F.bit_or(BITS).alias(BITS))
+    return bits.select("account_id", F.explode(channels_of_bits(F.col(BITS), config)).alias(CHANNEL))

@@ -17,14 +17,13 @@ from leadgauge.config import ScorecardConfig
 from leadgauge.functions.measure import capped, repeat_copies, split_copies, with_copies
 from leadgauge.functions.window import AsOf
 from leadgauge.operators import apps, channel, collaborators, content, dashboard, engagement, limits, score, spine
-from leadgauge.operators.attach import attach
 from leadgauge.sources import Sources
 
 EVENT_COLUMNS = ("account_id", "bus_email_flag", "email")
 
 
-def grouped_features(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    """Apps, activity, collaborators and limits of each account with any of them."""
+def grouped_features(sources: Sources, as_of: AsOf, config: ScorecardConfig, with_channel: bool) -> DataFrame:
+    """Apps, activity, collaborators, limits and channel bits of each account with any of them."""
     rows = [
         apps.created_rows(sources["app_created"], as_of, config),
         apps.active_rows(sources["daily_logs"], as_of, config),
@@ -32,18 +31,21 @@ def grouped_features(sources: Sources, as_of: AsOf, config: ScorecardConfig) ->
         *limits.limit_rows(
             sources["connections_soft_limit"], sources["messages_soft_limit"], as_of, config
         ),
+        *(channel.channel_bit_rows(sources["channels"], sources["first_touch"], config) if with_channel else []),
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    flags = [c for c in stacked.columns if c not in ("account_id", apps.NAMED)]
+    combine = {apps.NAMED: F.sum, channel.BITS: F.bit_or}
     return (
         stacked.filter("account_id is not null")
         .groupBy("account_id")
-        .agg(F.sum(apps.NAMED).alias(apps.NAMED), *(F.max(c).alias(c) for c in flags))
+        .agg(*(combine.get(c, F.max)(c).alias(c) for c in stacked.columns if c != "account_id"))
         .transform(apps.named_apps_capped, config)
     )
 
 
-def _counted_events(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+def _counted_events(
+    sources: Sources, as_of: AsOf, config: ScorecardConfig, with_channel: bool
+) -> DataFrame:
     """Unweighted features of every scored account; equal engagement rows are kept as `copies`."""
     accounts = spine.business_flag(spine.spine(sources["account"], as_of, config), config)
     days = dashboard.dashboard_capped(
@@ -52,7 +54,7 @@ def _counted_events(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> D
     frequency = engagement.engagement_capped(
         engagement.engagement(sources["user_engagement"], as_of, config), config
     ).filter("account_id is not null")
-    grouped = grouped_features(sources, as_of, config)
+    grouped = grouped_features(sources, as_of, config, with_channel)
     if limits.LIMIT not in grouped.columns:
         grouped = grouped.withColumn(limits.LIMIT, F.lit(0))
 
@@ -62,19 +64,18 @@ def _counted_events(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> D
         .join(grouped, "account_id", "left")
         .join(content.content_accounts(sources, as_of, config), "account_id", "left")
     )
-    features = [F.coalesce(f.name, F.lit(0)).alias(f.name) for f in config.features]
-    return joined.select(*EVENT_COLUMNS, *features, F.coalesce("copies", F.lit(1)).alias("copies"))
-
-
-def _with_channel(events: DataFrame, sources: Sources, config: ScorecardConfig) -> DataFrame:
-    labels = channel.first_touch_channels(sources["channels"], sources["first_touch"], config)
-    named = labels.withColumnRenamed(channel.CHANNEL, "FTC")
-    return attach(events, named, "FTC", config.default_channel)
+    columns = [F.coalesce(f.name, F.lit(0)).alias(f.name) for f in config.features]
+    columns.append(F.coalesce("copies", F.lit(1)).alias("copies"))
+    if with_channel:
+        found = channel.channels_of_bits(F.coalesce(channel.BITS, F.lit(0)), config)
+        none = F.array(F.lit(config.default_channel))
+        columns.append(F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("FTC"))
+    return joined.select(*EVENT_COLUMNS, *columns)
 
 
 def counted_scorecard(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
     """The weighted scorecard with equal rows held together: `piece` and `copies` beside the report columns."""
-    events = _with_channel(_counted_events(sources, as_of, config), sources, config)
+    events = _counted_events(sources, as_of, config, with_channel=True)
     return split_copies(score.weighted(events, config, "copies"))
 
 
@@ -86,12 +87,12 @@ def _repeated(counted: DataFrame) -> DataFrame:
 
 def scorecard_events(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
     """Features of every scored account, before channel and weights."""
-    return _repeated(split_copies(_counted_events(sources, as_of, config)))
+    return _repeated(split_copies(_counted_events(sources, as_of, config, with_channel=False)))
 
 
 def scorecard_events_with_channel(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    events = _with_channel(_counted_events(sources, as_of, config), sources, config)
-    return _repeated(split_copies(events))
+    """Features and channel; an account with several channels is scored once for each."""
+    return _repeated(split_copies(_counted_events(sources, as_of, config, with_channel=True)))
 
 
 def weighted_scorecard(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:

@@ -105,14 +105,20 @@ ROLE_SQL = {
 }
 
 
-def spark_sources(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    tables = {name: spark.read.parquet(f"{directory}/{name}.parquet") for name in TABLES}
-    # The tables hold timestamps without zone; the literals must have that type whatever the session's default is.
-    text = {role: sql.replace("timestamp '", "timestamp_ntz '") for role, sql in ROLE_SQL.items()}
-    return {
-        role: spark.sql(sql, **{name: df for name, df in tables.items() if f"{{{name}}}" in sql})
-        for role, sql in text.items()
-    }
+class SparkRoles(dict):
+    """Role -> DataFrame, each made when it is first asked for, so a query opens only the files it reads."""
+
+    def __init__(self, spark: SparkSession, directory: str) -> None:
+        super().__init__()
+        self._spark, self._directory = spark, directory
+
+    def __missing__(self, role: str) -> DataFrame:
+        # The tables hold timestamps without zone; the literals must have that type whatever the session's default.
+        sql = ROLE_SQL[role].replace("timestamp '", "timestamp_ntz '")
+        names = [name for name in TABLES if f"{{{name}}}" in sql]
+        tables = {name: self._spark.read.parquet(f"{self._directory}/{name}.parquet") for name in names}
+        self[role] = self._spark.sql(sql, **tables)
+        return self[role]
 
 
 def duckdb_roles() -> dict[str, str]:
