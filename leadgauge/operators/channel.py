@@ -6,12 +6,14 @@ of any number of rows is a `bit_or`, done map-side before the only shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadgauge.config import PAID_MARKETING, ScorecardConfig, live_rules
+from leadgauge.config import PAID_MARKETING, Rule, ScorecardConfig, live_rules
 from leadgauge.functions.measure import repeat_copies, split_copies, with_copies
-from leadgauge.functions.text import first_value, int_key, like_cases
+from leadgauge.functions.text import first_rule, int_key
 
 CHANNEL = "first_touch_channel"
 BITS = "channel_bits"
@@ -20,26 +22,46 @@ BITS = "channel_bits"
 _HOSTED, _PLAIN, _FIRST_TOUCH_BIT = 1, 2, 4
 
 
-def touch_cases(config: ScorecardConfig) -> list[tuple[Column, str]]:
-    """Channel of one first touch, from its landing `url` and its `referrer`; the first case that holds decides."""
-    url, referrer = F.col("url"), F.col("referrer")
-    after_medium = F.split_part(url, F.lit("utm_medium="), F.lit(2))
-    medium = F.upper(F.split_part(after_medium, F.lit("&"), F.lit(1)))
+def touch_rules(config: ScorecardConfig) -> list[Rule]:
+    """Rules that name a channel for what an ad, a mail or a referring site left behind, in order."""
     return [
-        (medium.isin(list(config.paid_mediums)), PAID_MARKETING),
-        *like_cases(config.url_rules),
-        *like_cases(live_rules(config.referrer_rules)),
-        (referrer.isNotNull(), config.other_channel),
-        (url.like(config.tagged_url), config.other_channel),
-        (url.isNull(), config.untracked_channel),
-        (F.lit(True), config.default_channel),
+        *(Rule("medium", medium, PAID_MARKETING) for medium in config.paid_mediums),
+        *config.url_rules,
+        *live_rules(config.referrer_rules),
     ]
 
 
-def touches(first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
-    """First touches by account number with their channel."""
-    touch = first_value(touch_cases(config))
-    return first_touch.select(int_key(F.col("account_id")).alias("account_id"), touch.alias("touch"))
+def touch_labels(config: ScorecardConfig) -> list[str]:
+    fallbacks = [config.other_channel, config.untracked_channel, config.default_channel]
+    return list(dict.fromkeys([rule.label for rule in touch_rules(config)] + fallbacks))
+
+
+def touch_channel(config: ScorecardConfig, code: Mapping[str, str | int] | None = None) -> Column:
+    """Channel of one first touch from its `medium`, `url` and `referrer`: the first rule that holds decides.
+
+    With `code`, the channel's code instead of its name.
+    """
+
+    def value(label: str) -> str | int:
+        return code[label] if code else label
+
+    fallback = (
+        F.when(F.col("referrer").isNotNull() | F.col("url").like(config.tagged_url), value(config.other_channel))
+        .when(F.col("url").isNull(), value(config.untracked_channel))
+        .otherwise(value(config.default_channel))
+    )
+    return F.coalesce(first_rule(touch_rules(config), value), fallback)
+
+
+def touches(first_touch: DataFrame) -> DataFrame:
+    """First touches by account number with what the rules look at."""
+    after_key = F.split_part("url", F.lit("utm_medium="), F.lit(2))
+    return first_touch.select(
+        int_key(F.col("account_id")).alias("account_id"),
+        F.upper(F.split_part(after_key, F.lit("&"), F.lit(1))).alias("medium"),
+        "url",
+        "referrer",
+    )
 
 
 def channel_accounts(channels: DataFrame) -> DataFrame:
@@ -55,7 +77,8 @@ def first_touch_rows(channels: DataFrame, first_touch: DataFrame, config: Scorec
     nor a hot account travel row by row.
     """
     left = with_copies(channel_accounts(channels), "account_id", "heroku").withColumnRenamed("copies", "left_copies")
-    right = with_copies(touches(first_touch, config), "account_id", "touch").withColumnRenamed("copies", "right_copies")
+    labelled_touches = touches(first_touch).select("account_id", touch_channel(config).alias("touch"))
+    right = with_copies(labelled_touches, "account_id", "touch").withColumnRenamed("copies", "right_copies")
     joined = left.withColumn("found", F.col("account_id")).join(right, "account_id", "full_outer")
     label = F.when(F.col("heroku"), config.heroku_channel).otherwise(
         F.coalesce("touch", F.lit(config.untracked_channel))
@@ -69,8 +92,7 @@ def first_touch_rows(channels: DataFrame, first_touch: DataFrame, config: Scorec
 
 
 def _label_bits(config: ScorecardConfig) -> dict[str, int]:
-    labels = dict.fromkeys(label for _, label in touch_cases(config))
-    bits = {label: _FIRST_TOUCH_BIT << n for n, label in enumerate(labels)}
+    bits = {label: _FIRST_TOUCH_BIT << n for n, label in enumerate(touch_labels(config))}
     if max(bits.values()) >= 1 << 63:
         raise ValueError("the rules have too many different labels for one number")
     return bits
@@ -78,12 +100,11 @@ def _label_bits(config: ScorecardConfig) -> dict[str, int]:
 
 def channel_bit_rows(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> list[DataFrame]:
     """What each channels row and each first touch adds to its account's bits."""
-    bits = _label_bits(config)
     hosted = F.when(F.col("heroku"), _HOSTED).otherwise(_PLAIN)
-    touched = first_value((condition, bits[label]) for condition, label in touch_cases(config))
+    touched = touch_channel(config, _label_bits(config))
     return [
         channel_accounts(channels).select("account_id", hosted.cast("bigint").alias(BITS)),
-        first_touch.select(int_key(F.col("account_id")).alias("account_id"), touched.cast("bigint").alias(BITS)),
+        touches(first_touch).select("account_id", touched.cast("bigint").alias(BITS)),
     ]
 
 

@@ -34,11 +34,11 @@ def human_views(splash_page_views: DataFrame, as_of: AsOf, config: ScorecardConf
     )
 
 
-def session_blocked(web_sessions: DataFrame) -> DataFrame:
-    """Accounts whose sessions all began at or after the account's creation; their views do not count.
+def session_state(web_sessions: DataFrame) -> DataFrame:
+    """One row per account with sessions: did one begin before the account's creation, or lack a creation time?
 
-    A session before creation, or one without a creation time, unblocks the account. Sessions shrink to one row per
-    account here, so views are never multiplied by sessions.
+    The views of an account count if so, or if it has no sessions at all. With one row per account the views are
+    never multiplied by sessions.
     """
     unblocks = F.col("account_created_at").isNull() | F.coalesce(
         F.col("session_created_at") < F.col("account_created_at"), F.lit(False)
@@ -47,8 +47,6 @@ def session_blocked(web_sessions: DataFrame) -> DataFrame:
         web_sessions.filter("account_id is not null")
         .groupBy("account_id")
         .agg(F.max(unblocks).alias("unblocked"))
-        .filter(~F.col("unblocked"))
-        .select("account_id")
     )
 
 
@@ -66,9 +64,18 @@ def recent_channels(channels: DataFrame, as_of: AsOf, config: ScorecardConfig) -
     )
 
 
-def eligible_accounts(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+def of_recent_accounts(per_account: DataFrame, sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+    """Keep the accounts that are recent and whose sessions do not rule their views out.
+
+    The account id is taken from the views: a runtime filter that Spark derives from the scored accounts then prunes
+    the scan of the views, by far the largest of the three.
+    """
     recent = recent_channels(sources["channels"], as_of, config)
-    return recent.join(session_blocked(sources["web_sessions"]), "account_id", "left_anti")
+    return (
+        per_account.join(recent, "account_id")
+        .join(session_state(sources["web_sessions"]), "account_id", "left")
+        .filter(F.coalesce("unblocked", F.lit(True)))
+    )
 
 
 def tutorial_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
@@ -77,15 +84,15 @@ def tutorial_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> Da
     counts = views.groupBy("account_id").agg(
         F.count_distinct(F.when(is_tutorial(config), F.col("id"))).alias(TUTORIALS)
     )
-    eligible = eligible_accounts(sources, as_of, config).filter("before_today")
-    return eligible.join(counts, "account_id").select("account_id", TUTORIALS)
+    kept = of_recent_accounts(counts, sources, as_of, config)
+    return kept.filter("before_today").select("account_id", TUTORIALS)
 
 
 def docs_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
     """Distinct docs views of accounts created before `as_of`."""
     views = human_views(sources["splash_page_views"], as_of, config).filter(is_docs(config))
     counts = views.groupBy("account_id").agg(F.count_distinct("id").alias(DOCS))
-    return eligible_accounts(sources, as_of, config).join(counts, "account_id").select("account_id", DOCS)
+    return of_recent_accounts(counts, sources, as_of, config).select("account_id", DOCS)
 
 
 def content_flag(counted: DataFrame, config: ScorecardConfig) -> DataFrame:
@@ -111,9 +118,8 @@ def content_accounts(sources: Sources, as_of: AsOf, config: ScorecardConfig) ->
         )
         .filter("tutorials or docs")
     )
-    eligible = eligible_accounts(sources, as_of, config)
     return (
-        eligible.join(seen, "account_id")
+        of_recent_accounts(seen, sources, as_of, config)
         .filter("docs or (tutorials and before_today)")
         .select("account_id", F.lit(1).alias(CONTENT))
     )

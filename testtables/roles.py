@@ -111,15 +111,20 @@ class SparkRoles(dict):
     def __init__(self, spark: SparkSession, directory: str) -> None:
         super().__init__()
         self._spark, self._directory = spark, directory
+        self._tables: dict[str, DataFrame] = {}
 
     def __missing__(self, role: str) -> DataFrame:
         # The tables hold timestamps without zone; the literals must have that type whatever the session's default.
         sql = ROLE_SQL[role].replace("timestamp '", "timestamp_ntz '")
         names = [name for name in TABLES if f"{{{name}}}" in sql]
-        tables = {name: self._spark.read.parquet(f"{self._directory}/{name}.parquet") for name in names}
-        self[role] = self._spark.sql(sql, **tables)
+        self[role] = self._spark.sql(sql, **{name: self._table(name) for name in names})
         return self[role]
 
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self._tables[name]
+
 
 def duckdb_roles() -> dict[str, str]:
     return {role: sql.format(**{name: name for name in TABLES}) for role, sql in ROLE_SQL.items()}
