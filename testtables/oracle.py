@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from testtables.roles import AS_OF, CONFIG, duckdb_roles
 
@@ -171,20 +172,20 @@ _HELPERS = {
           as account_number, {_TOUCH} as touch from first_touch""",
 }
 
-_ALL = {**duckdb_roles(), **_HELPERS, **RELATIONS}
-_NAME = re.compile(r"\b[a-z_]+\b")
+def oracle(name: str, roles: Mapping[str, str] | None = None) -> str:
+    """The query with every relation it reads, directly or not, as a CTE.
 
-
-def oracle(name: str) -> str:
-    """The query with every relation it reads, directly or not, as a CTE."""
+    `roles` is the SQL of the input tables, by default their mapping over the test tables; roles left out are taken
+    to exist as tables.
+    """
+    known = {**(duckdb_roles() if roles is None else roles), **_HELPERS, **RELATIONS}
     ordered: dict[str, str] = {}
 
     def visit(relation: str) -> None:
-        sources = re.findall(r"(?:from|join)\s+([a-z_]+)", _ALL[relation])
-        for source in sources:
-            if source in _ALL and source != relation and source not in ordered:
+        for source in re.findall(r"(?:from|join)\s+([a-z_]+)", known[relation]):
+            if source in known and source != relation and source not in ordered:
                 visit(source)
-        ordered[relation] = _ALL[relation]
+        ordered[relation] = known[relation]
 
     visit(name)
     ctes = ",\n".join(f"{relation} as ({sql})" for relation, sql in ordered.items())
