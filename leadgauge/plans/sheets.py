@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -17,14 +18,14 @@ from leadgauge.sources import Sources
 KINDS = {"Business": 1, "Personal": 0, "All": None}
 
 
-def sheet(sources: Sources, as_of: AsOf, config: ScorecardConfig, kind: str) -> DataFrame:
-    """One sheet, best total first; equal totals by account and channel.
+def sheet_of(counted: DataFrame, config: ScorecardConfig, kind: str) -> DataFrame:
+    """One sheet of a counted scorecard, best total first; equal totals by account and channel.
 
     Sorted before equal rows are written out, so the sort moves one row where a hot account has a thousand.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown sheet {kind!r}, expected one of {', '.join(KINDS)}")
-    rows = counted_scorecard(sources, as_of, config)
+    rows = counted
     if KINDS[kind] is not None:
         rows = rows.filter(F.col("bus_email_flag") == KINDS[kind])
     rows = rows.orderBy(F.col("total").desc_nulls_last(), "account_id", "FTC", "piece")
@@ -32,6 +33,10 @@ def sheet(sources: Sources, as_of: AsOf, config: ScorecardConfig, kind: str) ->
     return repeat_copies(rows, "account_id", "email", *features, "total")
 
 
+def sheet(sources: Sources, as_of: AsOf, config: ScorecardConfig, kind: str) -> DataFrame:
+    return sheet_of(counted_scorecard(sources, as_of, config), config, kind)
+
+
 def csv_path(directory: str, kind: str, day: date) -> str:
     return f"{directory}/Customer_Scorecard_{kind}_{day.isoformat()}.csv"
 
@@ -47,3 +52,25 @@ def write_sheet_csv(rows: DataFrame, directory: str, kind: str, day: date, mode:
         .csv(path)
     )
     return path
+
+
+def write_sheets(
+    sources: Sources,
+    as_of: AsOf,
+    config: ScorecardConfig,
+    directory: str,
+    day: date,
+    kinds: Iterable[str] = tuple(KINDS),
+    mode: str = "errorifexists",
+) -> list[str]:
+    """Several sheets from one pass over the event tables.
+
+    The scorecard, some ten numbers per account, is checkpointed to the shared folder of `spark.checkpoint.dir`, so
+    neither the second sheet nor a lost executor sends Spark back to the events.
+    """
+    counted = counted_scorecard(sources, as_of, config)
+    context = counted.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{directory}/_checkpoint")
+    counted = counted.checkpoint()
+    return [write_sheet_csv(sheet_of(counted, config, kind), directory, kind, day, mode) for kind in kinds]

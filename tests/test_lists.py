@@ -65,3 +65,12 @@ def test_spark_runs_pattern_and_rules(spark):
     rule_list = [Rule("url", "%'s%", "quote"), Rule("url", "%a_b%", "wild"), Rule("url", "x%", "x")]
     labels = df.select(first_rule(rule_list, str)).collect()
     assert [row[0] for row in labels] == ["wild", "wild", "quote", "wild", None]
+
+
+def test_long_vocabulary_in_spark(spark):
+    vocabulary = ["".join(chr(97 + (n * k + k * k) % 26) for k in range(2, 7)) for n in range(400)]
+    texts = [f"x{word}y" for word in vocabulary[::7]] + [word[:-1] for word in vocabulary[::5]] + ["", "zzz"]
+    df = spark.createDataFrame([(text,) for text in texts], "url string")
+    found = [row[0] for row in df.select(has_word(F.col("url"), vocabulary)).collect()]
+    assert found == [any(word in text for word in vocabulary) for text in texts]
+    assert True in found and False in found

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from conftest import AS_OF, SCHEMAS, bag
 
-from leadgauge import scorecard_events, sheet, weighted_scorecard, write_sheet_csv
+from leadgauge import scorecard_events, sheet, weighted_scorecard, write_sheet_csv, write_sheets
 
 NOON = "2024-01-10 12:00:00"
 DASHBOARD = "https://dashboard.pusher.com/apps"
@@ -92,6 +92,16 @@ def test_csv(sources, config, tmp_path):
     assert len(data) == 8
 
 
+def test_all_sheets_come_from_one_checkpointed_scorecard(spark, sources, config, tmp_path):
+    paths = write_sheets(sources, AS_OF, config, str(tmp_path), date(2024, 1, 20))
+    assert [Path(path).name.split("_")[2] for path in paths] == ["Business", "Personal", "All"]
+    for path, kind in zip(paths, ["Business", "Personal", "All"], strict=True):
+        written = spark.read.option("header", True).option("escape", '"').csv(path)
+        expected = sheet(sources, AS_OF, config, kind)
+        assert bag(written) == bag(expected.select([expected[c].cast("string") for c in expected.columns]))
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
 def test_csv_writes_null_as_na(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "x,y")], "account_id int, email string, note string")
     path = write_sheet_csv(df.coalesce(1), str(tmp_path), "All", date(2024, 1, 20))

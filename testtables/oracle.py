@@ -109,9 +109,9 @@ RELATIONS = {
     "active_app": """select account_id, case when number_of_active_apps > 0 then 1 else 0 end as active_app
         from active_apps""",
     "active_app_attached": _attached("active_app", "active_app"),
-    "multiple_environments": f"""select account_id, case when count(multiple_environments) > 0 then 1 else 0 end
+    "multiple_env": f"""select account_id, case when count(multiple_environments) > 0 then 1 else 0 end
           as multiple_env_flag from app_created where created_at {_RECENT} group by account_id""",
-    "multiple_environments_attached": _attached("multiple_environments", "multiple_env_flag"),
+    "multiple_env_attached": _attached("multiple_env", "multiple_env_flag"),
     "collaborators": f"""select account_id, count(distinct collaborator_email) as collaborators
         from app_collaborator_added where created_at {_RECENT} group by account_id""",
     "collaborator_flag": """select account_id, case when collaborators > 0 then 1 else 0 end as collaborators
@@ -123,36 +123,38 @@ RELATIONS = {
     "tutorial_views_attached": _attached("tutorial_views", "tutorial_views"),
     "docs_views": _counted(_NOW, "v.id", "contains(v.url, 'docs')", "docs_page_views"),
     "docs_views_attached": _attached("docs_views", "docs_page_views"),
-    "content_flag": """select p.account_id, p.email, case when coalesce(t.tutorial_views, 0) > 0
+    "tut_doc_flag": """select p.account_id, p.email, case when coalesce(t.tutorial_views, 0) > 0
           or coalesce(d.docs_page_views, 0) > 1 then 1 else 0 end as tut_doc_pv
         from spine p left join tutorial_views t on t.account_id = p.account_id
           left join docs_views d on d.account_id = p.account_id""",
-    "connection_limit": f"select distinct account_id from connections_soft_limit where created_at {_RECENT}",
-    "message_limit": f"select distinct account_id from messages_soft_limit where created_at {_RECENT}",
-    "connection_limit_attached": """select account_id, email, case when account_id in (
-          select account_id from connection_limit) then 1 else 0 end as con_soft_limit_flag from spine""",
-    "message_limit_attached": """select account_id, email, case when account_id in (
-          select account_id from message_limit) then 1 else 0 end as mes_soft_limit_flag from spine""",
-    "limit_flag": """select c.account_id, c.email, case when c.con_soft_limit_flag > 0 or m.mes_soft_limit_flag > 1
+    "tut_doc_accounts": """select account_id, 1 as tut_doc_pv from tutorial_views where tutorial_views > 0
+        union select account_id, 1 from docs_views where docs_page_views > 1""",
+    "conn_soft_limit": f"select distinct account_id from connections_soft_limit where created_at {_RECENT}",
+    "msg_soft_limit": f"select distinct account_id from messages_soft_limit where created_at {_RECENT}",
+    "conn_soft_limit_attached": """select account_id, email, case when account_id in (
+          select account_id from conn_soft_limit) then 1 else 0 end as con_soft_limit_flag from spine""",
+    "msg_soft_limit_attached": """select account_id, email, case when account_id in (
+          select account_id from msg_soft_limit) then 1 else 0 end as mes_soft_limit_flag from spine""",
+    "hit_soft_limit": """select c.account_id, c.email, case when c.con_soft_limit_flag > 0 or m.mes_soft_limit_flag > 1
           then 1 else 0 end as hit_soft_limit
-        from connection_limit_attached c join message_limit_attached m on m.account_id = c.account_id""",
-    "first_touch_rows": """select c.id as account_id,
+        from conn_soft_limit_attached c join msg_soft_limit_attached m on m.account_id = c.account_id""",
+    "full_outer_touch": """select c.id as account_id,
           case when c.heroku then 'HEROKU' else coalesce(t.touch, 'AD BLOCKER') end as first_touch_channel
         from channels c full join touch t on t.account_number = c.id""",
-    "first_touch_channels": """select distinct c.id as account_id,
+    "channel_distinct": """select distinct c.id as account_id,
           case when c.heroku then 'HEROKU' else coalesce(t.touch, 'AD BLOCKER') end as first_touch_channel
         from channels c left join touch t on t.account_number = c.id""",
     "channel_attached": """select p.account_id, p.email, coalesce(f.first_touch_channel, 'DIRECT') as FTC
-        from spine p left join first_touch_channels f on f.account_id = p.account_id""",
+        from spine p left join channel_distinct f on f.account_id = p.account_id""",
     "scorecard_events": f"""select p.account_id, p.bus_email_flag, p.email, {', '.join(_NAMES)}
         from business_flag p
           join dashboard_attached using (account_id) join engagement_attached using (account_id)
           join named_apps_attached using (account_id) join tech_info_attached using (account_id)
-          join active_app_attached using (account_id) join multiple_environments_attached using (account_id)
-          join collaborators_attached using (account_id) join content_flag using (account_id)
-          join limit_flag using (account_id)""",
+          join active_app_attached using (account_id) join multiple_env_attached using (account_id)
+          join collaborators_attached using (account_id) join tut_doc_flag using (account_id)
+          join hit_soft_limit using (account_id)""",
     "scorecard_events_with_channel": """select e.*, coalesce(f.first_touch_channel, 'DIRECT') as FTC
-        from scorecard_events e left join first_touch_channels f on f.account_id = e.account_id""",
+        from scorecard_events e left join channel_distinct f on f.account_id = e.account_id""",
     "weighted_scorecard": f"""select account_id, bus_email_flag, email, FTC,
           {', '.join(f'{points} as {name}' for name, points in zip(_NAMES, _POINTS))},
           {' + '.join(_POINTS)} as total
