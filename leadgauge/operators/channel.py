@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadgauge.config import PAID_MARKETING, Rule, ScorecardConfig, live_rules
 from leadgauge.functions.measure import repeat_copies, split_copies, with_copies
-from leadgauge.functions.text import first_rule, int_key
+from leadgauge.functions.text import first_rule, int_key, like_sql
 
 CHANNEL = "first_touch_channel"
 BITS = "channel_bits"
@@ -46,7 +46,7 @@ def touch_channel(config: ScorecardConfig, code: Mapping[str, str | int] | None
         return code[label] if code else label
 
     fallback = (
-        F.when(F.col("referrer").isNotNull() | F.col("url").like(config.tagged_url), value(config.other_channel))
+        F.when(F.col("referrer").isNotNull() | F.expr(like_sql("url", config.tagged_url)), value(config.other_channel))
         .when(F.col("url").isNull(), value(config.untracked_channel))
         .otherwise(value(config.default_channel))
     )
@@ -54,11 +54,13 @@ def touch_channel(config: ScorecardConfig, code: Mapping[str, str | int] | None
 
 
 def touches(first_touch: DataFrame) -> DataFrame:
-    """First touches by account number with what the rules look at."""
-    after_key = F.split_part("url", F.lit("utm_medium="), F.lit(2))
+    """First touches by account number with what the rules look at; most URLs name no medium and are not split."""
+    key = "utm_medium="
+    after_key = F.split_part("url", F.lit(key), F.lit(2))
+    medium = F.upper(F.split_part(after_key, F.lit("&"), F.lit(1)))
     return first_touch.select(
         int_key(F.col("account_id")).alias("account_id"),
-        F.upper(F.split_part(after_key, F.lit("&"), F.lit(1))).alias("medium"),
+        F.when(F.col("url").contains(key), medium).alias("medium"),
         "url",
         "referrer",
     )

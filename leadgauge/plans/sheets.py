@@ -34,7 +34,12 @@ def sheet_of(counted: DataFrame, config: ScorecardConfig, kind: str) -> DataFram
 
 
 def sheet(sources: Sources, as_of: AsOf, config: ScorecardConfig, kind: str) -> DataFrame:
-    return sheet_of(counted_scorecard(sources, as_of, config), config, kind)
+    """One sheet from the event tables.
+
+    A sort reads its input twice, once to find the ranges. The exchange before it makes that the finished rows instead
+    of the joins behind them.
+    """
+    return sheet_of(counted_scorecard(sources, as_of, config).hint("rebalance"), config, kind)
 
 
 def csv_path(directory: str, kind: str, day: date) -> str:
