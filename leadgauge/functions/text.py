@@ -14,8 +14,13 @@ from leadgauge.config import Rule, minimal_words
 
 
 def is_numeric(text: Column) -> Column:
-    """True when the text reads as a number."""
-    return text.try_cast("decimal(38,9)").isNotNull()
+    """True when the text reads as a number.
+
+    Whole numbers are told first; of the rest only texts made of the characters of a number are parsed, because a
+    failed decimal parse costs an exception per row.
+    """
+    parsed = text.rlike(r"^[-+.eE\s\p{Nd}]+$") & text.try_cast("decimal(38,9)").isNotNull()
+    return int_key(text).isNotNull() | F.coalesce(parsed, F.lit(False))
 
 
 def int_key(text: Column) -> Column:

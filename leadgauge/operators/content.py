@@ -21,7 +21,13 @@ def is_tutorial(config: ScorecardConfig) -> Column:
 
 
 def is_docs(config: ScorecardConfig) -> Column:
-    return F.rtrim(F.col("url"), F.lit("/")).like(config.docs_url)
+    """The URL without trailing slashes is like the docs pattern.
+
+    They are only taken off where they can decide: an open-ended pattern without slash or `_` fits with them as well.
+    """
+    pattern, url = config.docs_url, F.col("url")
+    open_ended = pattern.endswith("%") and not set(pattern) & set("/_\\")
+    return (url if open_ended else F.rtrim(url, F.lit("/"))).like(pattern)
 
 
 def human_views(splash_page_views: DataFrame, as_of: AsOf, config: ScorecardConfig) -> DataFrame:

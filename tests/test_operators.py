@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leadgauge import ScorecardConfig
 from leadgauge.functions.measure import distinct_over, repeat_copies, split_copies, with_copies
+from leadgauge.functions.text import is_numeric
 from leadgauge.functions.window import Clock
 from leadgauge.operators import apps, channel, collaborators, content, dashboard, engagement, limits, score, spine
 from leadgauge.operators.attach import attach, attach_membership
@@ -111,6 +112,25 @@ def test_dashboard_days(table, config):
     assert days == {"1": 1, "3": 1, "7": 1, "8": 1, "09": 1, "11": 1}
 
 
+def test_is_numeric_is_what_a_decimal_cast_accepts(spark):
+    texts = ["7", "07", " 7 ", "-7", "+7", "7.5", ".5", "7.", "1e3", "1E-3", "e", "-", "", " ", "anon", "1-2", "1.2.3"]
+    texts += ["4f0c", "99999999999", "9" * 29, "9" * 30, "NaN", "0x1f", None]
+    df = spark.createDataFrame([(text,) for text in texts], "id string")
+    rows = df.select(is_numeric(F.col("id")), F.expr("try_cast(id as decimal(38,9)) is not null")).collect()
+    assert [row[0] for row in rows] == [row[1] for row in rows]
+    assert [text for text, row in zip(texts, rows) if row[0]][:9] == texts[:9]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "ids"), [("%docs%", {1, 2, 3}), ("%docs", {1, 2}), ("%/docs/%", {3}), ("%docs_%", {3})]
+)
+def test_docs_url_is_matched_without_trailing_slashes(spark, pattern, ids):
+    urls = [(1, "e.example/docs"), (2, "e.example/docs//"), (3, "e.example/docs/a/"), (4, "e.example/"), (5, None)]
+    df = spark.createDataFrame(urls, "id int, url string")
+    found = df.filter(content.is_docs(ScorecardConfig(docs_url=pattern)))
+    assert {row.id for row in found.collect()} == ids
+
+
 def test_dashboard_cap_and_number(spark, config):
     days = spark.createDataFrame(
         [("1", 11), ("2", 10), ("7", 3), ("07", 4), ("1.5", 5), (" 9 ", 1), ("1e3", 2)],
