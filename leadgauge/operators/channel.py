@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leadgauge.config import PAID_MARKETING, Rule, ScorecardConfig, live_rules
 from leadgauge.functions.measure import repeat_copies, split_copies, with_copies
-from leadgauge.functions.text import first_rule, int_key, like_sql
+from leadgauge.functions.text import first_rule, int_key, like_sql, sql_literal
 
 CHANNEL = "first_touch_channel"
 BITS = "channel_bits"
@@ -110,28 +110,23 @@ def channel_bit_rows(channels: DataFrame, first_touch: DataFrame, config: Scorec
     ]
 
 
-def channels_of_bits(bits: Column, config: ScorecardConfig) -> Column:
+def channels_of_bits(config: ScorecardConfig) -> Column:
     """The channel names behind an account's bits; empty without a channels row.
 
-    Accounts of the hosting partner have its channel, other accounts those of their touches, or the untracked one.
+    Each name stands in the array at the place of its bit. The hosting partner's accounts have its channel, other
+    accounts those of their touches, or the untracked one if they have none.
     """
-
-    def has(bit: int) -> Column:
-        return bits.bitwiseAND(F.lit(bit)) != 0
-
-    def when(condition: Column, label: str) -> Column:
-        return F.when(condition, F.lit(label))
-
-    untouched = bits < _FIRST_TOUCH_BIT
-    touched = [
-        when(has(_PLAIN) & (has(bit) | (untouched if label == config.untracked_channel else F.lit(False))), label)
-        for label, bit in _label_bits(config).items()
-    ]
-    return F.array_distinct(F.array_compact(F.array(when(has(_HOSTED), config.heroku_channel), *touched)))
+    labels = [config.heroku_channel, config.untracked_channel, *touch_labels(config)]
+    names = ", ".join(sql_literal(label) for label in labels)
+    return F.expr(f"""
+        array_distinct(filter(array({names}), (label, place) ->
+            shiftright(coalesce({BITS}, 0L), place) & 1 = 1
+            and case place when 0 then true when 1 then {BITS} < {_FIRST_TOUCH_BIT} else {BITS} & {_PLAIN} > 0 end))
+    """)
 
 
 def first_touch_channels(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
     """The distinct channels of each channels account; several channels rows or touches can give several."""
     rows, touch_rows = channel_bit_rows(channels, first_touch, config)
     bits = rows.unionByName(touch_rows).groupBy("account_id").agg(F.bit_or(BITS).alias(BITS))
-    return bits.select("account_id", F.explode(channels_of_bits(F.col(BITS), config)).alias(CHANNEL))
+    return bits.select("account_id", F.explode(channels_of_bits(config)).alias(CHANNEL))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadgauge.config import ScorecardConfig
-from leadgauge.functions.text import email_domain
+from leadgauge.functions.text import email_domain, sql_literal
 from leadgauge.functions.window import AsOf, Clock
 
 
@@ -20,13 +20,14 @@ def spine(account: DataFrame, as_of: AsOf, config: ScorecardConfig) -> DataFrame
     ).select(F.col("id").alias("account_id"), "email")
 
 
-def personal_domain(email: Column, config: ScorecardConfig) -> Column:
-    return email_domain(email).isin(list(config.personal_domains))
+def personal_domain(config: ScorecardConfig) -> Column:
+    domains = ", ".join(sql_literal(domain) for domain in config.personal_domains)
+    return F.expr(f"split_part(email, '@', 2) in ({domains})")
 
 
 def personal_emails(account: DataFrame, config: ScorecardConfig) -> DataFrame:
     """All accounts, of any plan and age, with an e-mail at a personal domain."""
-    return account.filter(personal_domain(F.col("email"), config)).select(
+    return account.filter(personal_domain(config)).select(
         F.col("id").alias("account_id"), "email", email_domain(F.col("email")).alias("domain")
     )
 
@@ -36,5 +37,5 @@ def business_flag(accounts: DataFrame, config: ScorecardConfig) -> DataFrame:
 
     Decided from the account's own e-mail, so that a filter on the flag reaches the account scan.
     """
-    flag = F.when(personal_domain(F.col("email"), config), 0).otherwise(1)
+    flag = F.when(personal_domain(config), 0).otherwise(1)
     return accounts.withColumn("bus_email_flag", flag)

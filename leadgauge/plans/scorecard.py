@@ -67,10 +67,9 @@ def _counted_events(
     columns = [F.coalesce(f.name, F.lit(0)).alias(f.name) for f in config.features]
     columns.append(F.coalesce("copies", F.lit(1)).alias("copies"))
     if with_channel:
-        found = channel.channels_of_bits(F.coalesce(channel.BITS, F.lit(0)), config)
-        none = F.array(F.lit(config.default_channel))
-        columns.append(F.explode(F.when(F.size(found) > 0, found).otherwise(none)).alias("FTC"))
-    return joined.select(*EVENT_COLUMNS, *columns)
+        columns.append(F.explode_outer(channel.channels_of_bits(config)).alias("FTC"))
+    events = joined.select(*EVENT_COLUMNS, *columns)
+    return events.fillna(config.default_channel, ["FTC"]) if with_channel else events
 
 
 def counted_scorecard(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
