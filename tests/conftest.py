@@ -14,6 +14,15 @@ from leadgauge import ScorecardConfig  # noqa: E402
 
 AS_OF = "2024-01-20 12:00:00"
 
+# Addresses the default patterns look for.
+_DEFAULTS = ScorecardConfig()
+DASHBOARD = f"https://{_DEFAULTS.dashboard_url.strip('%')}/apps"
+EXCLUDED = f"https://{_DEFAULTS.dashboard_url_excluded.strip('%')}/1"
+BOT = _DEFAULTS.bot_agent
+GROWTH, BLOG, OWN_SITE = (
+    rule.pattern.strip("%") + "/a" for rule in (_DEFAULTS.url_rules[5], *_DEFAULTS.referrer_rules[:2])
+)
+
 SCHEMAS = {
     "account": "id int, plan_id int, email string, created_at timestamp_ntz",
     "page_view": "account_id string, created_at timestamp_ntz, url string",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
-from conftest import AS_OF, bag, mapping
+from conftest import AS_OF, BLOG, BOT, DASHBOARD, EXCLUDED, GROWTH, OWN_SITE, bag, mapping
 from pyspark.sql import functions as F
 
 from leadgauge import ScorecardConfig
@@ -15,7 +15,6 @@ from leadgauge.functions.window import Clock
 from leadgauge.operators import apps, channel, collaborators, content, dashboard, engagement, limits, score, spine
 from leadgauge.operators.attach import attach, attach_membership
 
-DASHBOARD = "https://dashboard.pusher.com/apps"
 NOON = "2024-01-10 12:00:00"
 OLD = "2023-12-20 11:59:59"
 LOW = "2023-12-20 12:00:00"
@@ -85,7 +84,7 @@ def test_dashboard_days(table, config):
         ("1", "2024-01-10 09:00:00", DASHBOARD),
         ("2", NOON, DASHBOARD),
         ("3", NOON, DASHBOARD + "/x"),
-        ("4", NOON, "https://dashboard.pusher.com/account/1"),
+        ("4", NOON, EXCLUDED),
         ("5", NOON, None),
         ("abc", NOON, DASHBOARD),
         (None, NOON, DASHBOARD),
@@ -271,7 +270,7 @@ def test_content_date_bounds(table, config):
 def test_content_agents_assets_and_days(table, config):
     channels = [(n, NOON, None) for n in range(1, 9)]
     views = [
-        (1, "1", "tutorials", "Pusher Web Analytics Bot", "/docs", NOON),
+        (1, "1", "tutorials", BOT, "/docs", NOON),
         (2, "2", "tutorials", None, "/docs", NOON),
         (3, "3", "site", AGENT, "/x", NOON),
         (4, "4", "tutorials", AGENT, "/x", "2024-01-20 23:59:59"),
@@ -350,10 +349,10 @@ TOUCHES = [
     ("https://x.example/?utm_medium=referral", None, "REFERRALS"),
     ("https://x.example/?utm_medium=social", None, "SOCIAL"),
     ("https://x.example/?growth", None, "PAID MARKETING"),
-    ("https://x.example/", "https://growth.pusher.com", "PAID MARKETING"),
+    ("https://x.example/", GROWTH, "PAID MARKETING"),
     ("https://x.example/?gclid=1", "https://github.com", "PAID MARKETING"),
-    (None, "https://blog.pusher.com/a", "BLOG"),
-    (None, "https://pusher.com/a", "PUSHER"),
+    (None, BLOG, "BLOG"),
+    (None, OWN_SITE, ScorecardConfig().referrer_rules[1].label),
     ("https://x.example/", "https://mail.google.com/", "ORGANIC"),
     ("https://x.example/", "https://pinterest.com/", "SOCIAL"),
     ("https://x.example/", "https://laravel-news.com", "REFERRALS"),

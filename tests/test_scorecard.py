@@ -6,12 +6,11 @@ from datetime import date
 from pathlib import Path
 
 import pytest
-from conftest import AS_OF, SCHEMAS, bag
+from conftest import AS_OF, DASHBOARD, SCHEMAS, bag
 
 from leadgauge import scorecard_events, sheet, weighted_scorecard, write_sheet_csv, write_sheets
 
 NOON = "2024-01-10 12:00:00"
-DASHBOARD = "https://dashboard.pusher.com/apps"
 
 
 @pytest.fixture(scope="module")
