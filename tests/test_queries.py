@@ -10,7 +10,8 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {name: contract.queries()[name] for name in contract.QUERIES}
+SQL = {name: contract.oracle_sql()[name] for name in contract.QUERIES}
 
 
 @pytest.fixture(scope="module")
