@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgauge.llm import token_count, topk
+from leadgauge.llm import jaccard_join, token_count, topk
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return jaccard_join.jaccard_components(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -27,6 +32,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op10_topk": op10_topk,
 }
