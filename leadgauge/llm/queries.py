@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leadgauge.llm import jaccard_join, token_count, topk
+from pyspark.sql import functions as F
+
+from leadgauge.llm import jaccard_join, secret_scan, token_count, topk
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.number_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
+    spans = secret_scan.listed(F.col("spans")).alias("spans")
+    digest = F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("row.doc_id", *counts, digest, spans)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return jaccard_join.jaccard_components(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -32,6 +42,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op10_topk": op10_topk,

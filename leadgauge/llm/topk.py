@@ -140,7 +140,7 @@ def top_k(
     def searched(asked: DataFrame, where: DataFrame) -> DataFrame:
         return (
             where.groupBy("shard", "block")
-            .cogroup(asked.groupBy("shard", "block"))
+            .cogroup(asked.toDF(*asked.columns).groupBy("shard", "block"))
             .applyInPandas(_searched(k), HITS)
         )
 
