@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import jaccard_join, quality, secret_scan, token_count, topk
+from leadgauge.llm import jaccard_join, quality, secret_scan, token_count, topk, toxicity
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return jaccard_join.jaccard_components(docs, words=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -49,6 +54,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op10_topk": op10_topk,
