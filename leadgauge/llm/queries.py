@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import jaccard_join, quality, secret_scan, token_count, topk, toxicity
+from leadgauge.llm import decontaminate, jaccard_join, quality, secret_scan, token_count, topk, toxicity
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
+    "op8_decontaminate": op8_decontaminate,
     "op10_topk": op10_topk,
 }
 
