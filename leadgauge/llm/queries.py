@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import decontaminate, jaccard_join, quality, secret_scan, token_count, topk, toxicity
+from leadgauge.llm import decontaminate, jaccard_join, quality, secret_scan, substring_dedup, token_count, topk, toxicity
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_topk": op10_topk,
 }
 
