@@ -18,29 +18,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round first ties a node's larger neighbours to its least one, then its smaller ones, and writes the result;
     the edges end as one star for each component after about log(nodes) rounds. No neighbourhood is gathered: the
-    least neighbour is an aggregate, and pairs are joined to it.
+    least neighbour is an aggregate, and pairs are joined to it. A round that changes nothing is the last.
     """
-    pairs = edges.filter(F.col("a") != F.col("b")).distinct()
-    pairs = stored(pairs, "edges")
+    pairs = stored(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges")
+    mark = None
     while True:
         ways = _both_ways(pairs)
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = ways.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = ways.join(least, "a").filter(F.col("b") > F.col("a"))
+        large = large.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         # Now a > b everywhere: tie each node's smaller neighbours, and itself, to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = (
-            large.join(low, "a")
-            .select(F.col("b").alias("a"), F.col("least").alias("b"))
-            .unionByName(low.select("a", F.col("least").alias("b")))
-            .filter("a <> b")
-            .distinct()
-        )
-        after = stored(small, "edges")
-        # A forest of stars: no node is both a leaf and a root.
-        roots, leaves = after.select(F.col("b").alias("node")), after.select(F.col("a").alias("node"))
-        parents = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-        if parents.isEmpty() and roots.distinct().join(leaves.distinct(), "node", "left_semi").isEmpty():
-            tied = after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return tied.unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        pairs = after
+        tied = large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        small = tied.unionByName(low.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
+        pairs = stored(small, "edges")
+        before, mark = mark, pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        if mark == before:
+            leaves = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return leaves.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -13,8 +13,8 @@ shingles, on some segment:
 
 A set is indexed in its own band and, as the larger partner, in those below that a partner's size can fall in. Sets that
 share a signature are candidates; they are verified exactly on the whole texts. Inside a bucket every set is paired with
-one hub, not with every other one. After links have joined sets to components, buckets that still hold several get
-another hub, and at last all their pairs across components, so that no link between different components is missed.
+one hub, not with every other one. Two sets of a bucket that link but do not both link with its hub share a difference
+from the hub; sets that do and are in different components yet are verified with each other, so no link is missed.
 
 Equal sets are one node, so groups of copies cost one node each. Nodes are 64-bit hashes of the whole sets. Null and
 empty texts have empty sets and link with nothing. Rows with equal ids and different texts are nodes of their own; a
@@ -24,7 +24,7 @@ component takes the smallest non-null id of its rows, a null id links as any oth
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,14 +34,12 @@ from pyspark.sql import functions as F
 
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
-from leadgauge.llm.shared import small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.hub_join import at_hubs, texts_of_nodes
+from leadgauge.llm.shared import stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
-HUB_ROUNDS = 3
-#: Rows of one task's share of a hub's partners.
-HUB_SHARE = 256
 
 
 class Bands:
@@ -190,25 +188,30 @@ def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(index, "signature long, node long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of the candidate pairs (a, b), on whole texts.
+def difference_prefix(shingles: np.ndarray, hub: np.ndarray, common: int, percent: int) -> np.ndarray:
+    """Some shingles in which a set differs from its hub, such that two sets that link with each other, but not both with
+    the hub, have one of them in common.
 
-    The pairs of a hub b are dealt to shares of bounded size; each share gets the hub's text once, ahead of its
-    partners' texts, and tasks read them as a stream.
+    Let a set lack `lacks` of the hub's `size` shingles and have `adds` others. Two sets that differ from the hub in
+    disjoint ways are no more similar than either is to the hub. So a set that does not link with the hub
+    shares differences with every set it links with, at least lacks + t * adds - (1 - t) * size of them (from
+    the similarity of both, as what they share is at most what the other one has). Leaving out one fewer than that keeps
+    one shared difference. Added shingles come first, as the rarer ones, so the common ones are left out.
     """
-    share = F.pmod(F.xxhash64("a"), F.greatest(F.lit(1), F.ceil(F.col("n") / HUB_SHARE)).cast("long"))
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    dealt = pairs.join(sizes, "b").select("b", share.alias("share"), "a")
-    partners = dealt.join(texts, dealt["a"] == texts["node"]).select("b", "share", "a", "text")
-    hubs = dealt.select("b", "share").distinct().join(texts, F.col("b") == F.col("node"))
-    hubs = hubs.select("b", "share", F.lit(None).cast("long").alias("a"), "text")
-    rows = partners.unionByName(hubs).repartition("b", "share")
-    rows = rows.sortWithinPartitions("b", "share", F.asc_nulls_first("a"))
+    lacks, adds = len(hub) - common, len(shingles) - common
+    least = max(1, -(-(100 * lacks + percent * adds - (100 - percent) * len(hub)) // 100))
+    added = np.setdiff1d(shingles, hub, assume_unique=True)
+    lacking = np.setdiff1d(hub, shingles, assume_unique=True)
+    return np.concatenate([mixed(added), mixed(~lacking)])[: lacks + adds - least + 1]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, linked, differences) of the candidate pairs (a, b), on whole texts."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a_side, b_side, links = [], [], []
+            a_side, b_side, links, prefixes = [], [], [], []
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for (b, a), shingles in zip(ids, _sets(batch.column(2), words)):
                 if a is None:
@@ -218,59 +221,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 a_side.append(a)
                 b_side.append(b)
                 links.append(100 * common >= percent * (len(hub) + len(shingles) - common))
+                prefixes.append(difference_prefix(shingles, hub, common, percent).view(np.int64))
             arrays = [pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64()), pa.array(links, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked"])
-
-    return rows.select("b", "a", "text").mapInArrow(verify, "a long, b long, linked boolean")
-
-
-def _mixed_order(column: str, turn: int) -> F.Column:
-    return F.xxhash64(column, F.lit(turn))
-
-
-def linked_nodes(buckets: DataFrame, texts_of, words: int, percent: int) -> DataFrame | None:
-    """(node, root) of all nodes that have links. `buckets` has (signature, node, hub), hub the least of its nodes."""
-    tested, roots, turn = None, None, 0
-    open_rows = buckets
-    while True:
-        if turn == 0:
-            pairs = open_rows.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        else:
-            rooted = open_rows.join(roots, "node", "left").select(
-                "signature", "node", F.coalesce("root", "node").alias("root")
-            )
-            spread = Window.partitionBy("signature")
-            rooted = rooted.withColumns({"low": F.min("root").over(spread), "high": F.max("root").over(spread)})
-            open_rows = stored(rooted.filter("low <> high").drop("low", "high"), "open-buckets")
-            if turn <= HUB_ROUNDS:
-                hubs = open_rows.groupBy("signature").agg(
-                    F.max_by(F.struct("node", "root"), _mixed_order("node", turn)).alias("hub")
-                )
-                pairs = open_rows.join(hubs, "signature").filter(F.col("root") != F.col("hub.root"))
-                pairs = pairs.select(
-                    F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")
-                )
-            else:
-                left, right = open_rows.alias("x"), open_rows.alias("y")
-                across = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.root") != F.col("y.root"))
-                pairs = left.join(right, across & (F.col("x.node") > F.col("y.node")))
-                pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            open_rows = open_rows.drop("root")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if tested is None or turn > HUB_ROUNDS:
-                return roots
-            turn = HUB_ROUNDS + 1  # other hubs bring nothing new: look at all pairs left
-            continue
-        result = stored(_verified(pairs, texts_of(pairs), words, percent), "verified")
-        tested = result if tested is None else tested.unionByName(result)
-        roots = components(tested.filter("linked"))
-        if turn > HUB_ROUNDS:
-            return roots
-        turn += 1
+            arrays.append(pa.array(prefixes, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked", "differences"])
+
+    schema = "a long, b long, linked boolean, differences array<long>"
+    return at_hubs(pairs, texts).mapInArrow(verify, schema)
+
+
+def linked_nodes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+    """(node, root) of all nodes that have links. `buckets` has (signature, node, hub), hub the least of its nodes.
+
+    Each bucket's sets are verified against its hub. Two sets of a bucket that link, but are in different components
+    then, share a difference from the hub; those that share one are verified with each other.
+    """
+    pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
+    tested = stored(_verified(pairs, texts_of(pairs), words, percent), "verified")
+    links = tested.filter("linked").select("a", "b")
+    roots = stored(components(links), "roots")
+    differing = tested.select("a", "b", "linked", F.explode("differences").alias("difference"))
+    differing = differing.join(roots.withColumnRenamed("node", "a"), "a", "left")
+    differing = differing.withColumn("root", F.coalesce("root", "a"))
+    spread = differing.groupBy("b", "difference").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    several = spread.filter("low <> high").select("b", "difference")
+    met = stored(differing.join(several, ["b", "difference"]), "differing")
+    one, other = met.filter("not linked").alias("x"), met.alias("y")
+    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.difference") == F.col("y.difference"))
+    across = one.join(other, same & (F.col("x.root") != F.col("y.root")))
+    nodes = (F.col("x.a"), F.col("y.a"))
+    more = across.select(F.greatest(*nodes).alias("a"), F.least(*nodes).alias("b")).distinct()
+    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return roots
+    found = stored(_verified(more, texts_of(more), words, percent).filter("linked").select("a", "b"), "verified")
+    if found.isEmpty():
+        return roots
+    return components(links.unionByName(found))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
@@ -289,16 +277,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     holders = sets.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        """The text of one row of each node of the pairs."""
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        needed = stored(holders.join(nodes, "node", "left_semi"), "needed")
-        held = keyed.select("key", "text").join(small_or_shuffled(needed, needed.count()), "key")
-        return stored(held.dropDuplicates(["node"]).select("node", "text"), "texts")
+        return texts_of_nodes(pairs, holders, keyed)
 
     roots = linked_nodes(buckets, texts_of, words, percent)
-    rows = sets.withColumn("root", F.col("node"))
-    if roots is not None:
-        rows = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     rows = rows.join(smallest, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
