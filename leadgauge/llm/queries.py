@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import decontaminate, jaccard_join, quality, secret_scan, substring_dedup, token_count, topk, toxicity
+from leadgauge.llm import decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup, token_count, topk, toxicity
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixing.taken_words(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [secret_scan.number_of(F.col("base"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]]
@@ -60,6 +65,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
