@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup, token_count, topk, toxicity
+from leadgauge.llm import chat, decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup, token_count, topk, toxicity
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,37 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
+#: What a call made of a user's turn must hold.
+ASK = {
+    "type": "object",
+    "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
+    "required": ["prompt", "turn"],
+    "additionalProperties": False,
+}
+
+
+def tool_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations as tool use: a user's turn calls `ask`, needing the call two turns before if the turn is no early
+    one; an assistant's turn is the result of the call one turn before."""
+    turn = F.col("turn")
+    number = F.concat(F.lit("c"), turn.cast("string"))
+    before = F.when(turn >= 3, F.array(F.concat(F.lit("c"), (turn - 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    arguments = F.struct(F.col("text").alias("prompt"), turn.alias("turn"))
+    call = F.struct(number.alias("id"), F.lit("ask").alias("name"), arguments.alias("arguments"), before.alias("after"))
+    answer = F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id")
+    text = (
+        F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+        .when(F.col("role") == "assistant", F.to_json(F.struct(answer, F.col("text").alias("content"))))
+        .otherwise(F.col("text"))
+    )
+    role = F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_calls(tool_messages(read(spark, sf_dir, "conversations")), {"ask": ASK})
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -68,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
+    "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
@@ -77,6 +109,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_chat": """
+        with u as (select * from conversations where role = 'user'),
+        a as (select * from conversations where role = 'assistant'),
+        linked as (
+            select u.conv_id, u.turn, u.text, a.turn as result_turn, a.text as content,
+                   u.turn >= 3 as needs,
+                   case when coalesce(length(u.text), 0) = 0 then 'invalid'
+                        when u.turn >= 3 and p.turn is null then 'dangling'
+                        when a.turn is null then 'unanswered'
+                        else 'ok' end as status
+            from u
+            left join a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+            left join u p on p.conv_id = u.conv_id and p.turn = u.turn - 2
+        )
+        select conv_id, turn, 0::integer as place, 'c' || turn as call_id, 'ask' as name, status, result_turn,
+               '{"after":[' || case when needs then '"c' || (turn - 2) || '"' else '' end
+               || '],"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn
+               || '},"id":"c' || turn || '","name":"ask","result":'
+               || case when result_turn is null then 'null' else to_json(content)::varchar end
+               || ',"status":"' || status || '"}' as call
+        from linked
+    """,
     "op10_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vector
