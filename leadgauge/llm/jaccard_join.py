@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, texts_of_nodes
-from leadgauge.llm.shared import stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import small_or_shuffled, stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
@@ -262,9 +262,10 @@ def linked_nodes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
-    """(id, key, n_shingles, component_id) of every row: links at percent / 100 or more, components by smallest id.
+    """(id, key, n_shingles, root, component_id) of every row: links at percent / 100 or more, components by smallest id.
 
-    `key` is a hash of id and text; rows with equal keys are equal in both.
+    `key` is a hash of id and text; rows with equal keys are equal in both. `root` is a component's least node, null for
+    an empty set.
     """
     keyed = docs.select(F.col(id_column).alias("doc_id"), text_or_empty().alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
@@ -284,4 +285,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     rows = rows.join(smallest, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return rows.select(F.col("doc_id").alias(id_column), "key", "n_shingles", component.alias("component_id"))
+    return rows.select(F.col("doc_id").alias(id_column), "key", "n_shingles", "root", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
+    """The documents but for all of each component except that of the smallest id, nulls last; of rows equal in id and
+    text one stays. Documents without words all stay. All columns are kept."""
+    rows = stored(jaccard_components(docs, words, percent, id_column).filter("root is not null"), "components")
+    place = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), "key")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"))
+    dropped = stored(rows.join(first, "root").filter(F.col("key") != F.col("first.key")).select("key").distinct(), "dropped")
+    repeated = stored(rows.groupBy("key").count().filter("count > 1").select("key"), "repeated")
+    key = F.xxhash64(F.col(id_column), text_or_empty())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    kept = keyed.join(small_or_shuffled(dropped, dropped.count()), "key", "left_anti")
+    several = small_or_shuffled(repeated, repeated.count())
+    single = kept.join(several, "key", "left_anti")
+    once = kept.join(several, "key", "left_semi").dropDuplicates(["key"])
+    return single.unionByName(once).select("row.*")

@@ -173,3 +173,15 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", threshold:
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.withColumn("__text", text_or_empty())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch.column(batch.num_columns - 1)) >= threshold))
+
+    return rows.mapInArrow(keep, rows.schema).drop("__text")
