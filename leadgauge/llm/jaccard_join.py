@@ -188,77 +188,105 @@ def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(index, "signature long, node long")
 
 
-def difference_prefix(shingles: np.ndarray, hub: np.ndarray, common: int, percent: int) -> np.ndarray:
-    """Some shingles in which a set differs from its hub, such that two sets that link with each other, but not both with
-    the hub, have one of them in common.
-
-    Let a set lack `lacks` of the hub's `size` shingles and have `adds` others. Two sets that differ from the hub in
-    disjoint ways are no more similar than either is to the hub. So a set that does not link with the hub
-    shares differences with every set it links with, at least lacks + t * adds - (1 - t) * size of them (from
-    the similarity of both, as what they share is at most what the other one has). Leaving out one fewer than that keeps
-    one shared difference. Added shingles come first, as the rarer ones, so the common ones are left out.
-    """
-    lacks, adds = len(hub) - common, len(shingles) - common
-    least = max(1, -(-(100 * lacks + percent * adds - (100 - percent) * len(hub)) // 100))
-    added = np.setdiff1d(shingles, hub, assume_unique=True)
-    lacking = np.setdiff1d(hub, shingles, assume_unique=True)
-    return np.concatenate([mixed(added), mixed(~lacking)])[: lacks + adds - least + 1]
+VERIFIED = "a long, b long, linked boolean, size long, lacks long, adds long, differences array<long>"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked, differences) of the candidate pairs (a, b), on whole texts."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, with_differences: bool) -> DataFrame:
+    """The candidate pairs (a, b) on whole texts: do they link; the hub's size, how many of its shingles a lacks, how
+    many others it adds; and, if asked for, hashes of those that it adds and lacks."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            a_side, b_side, links, prefixes = [], [], [], []
+            rows = []
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for (b, a), shingles in zip(ids, _sets(batch.column(2), words)):
                 if a is None:
                     hub = shingles
                     continue
                 common = len(np.intersect1d(hub, shingles, assume_unique=True))
-                a_side.append(a)
-                b_side.append(b)
-                links.append(100 * common >= percent * (len(hub) + len(shingles) - common))
-                prefixes.append(difference_prefix(shingles, hub, common, percent).view(np.int64))
-            arrays = [pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64()), pa.array(links, pa.bool_())]
-            arrays.append(pa.array(prefixes, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "linked", "differences"])
-
-    schema = "a long, b long, linked boolean, differences array<long>"
-    return at_hubs(pairs, texts).mapInArrow(verify, schema)
+                linked = 100 * common >= percent * (len(hub) + len(shingles) - common)
+                differences = np.zeros(0, dtype=np.int64)
+                if with_differences:
+                    added = np.setdiff1d(shingles, hub, assume_unique=True)
+                    lacking = np.setdiff1d(hub, shingles, assume_unique=True)
+                    differences = np.concatenate([mixed(added), mixed(~lacking)]).view(np.int64)
+                rows.append((a, b, linked, len(hub), len(hub) - common, len(shingles) - common, differences))
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            names = ["a", "b", "linked", "size", "lacks", "adds", "differences"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return at_hubs(pairs, texts).mapInArrow(verify, VERIFIED)
+
+
+def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can link, though not both link with a hub they have in common.
+
+    Let a set lack some of the hub's shingles and add others. Two sets that differ from the hub in disjoint ways are no
+    more similar than either is to it. With t the threshold, sets x and y link only if they share at least
+    (t (size + adds_x + adds_y) - (size - lacks_x - lacks_y)) / (1 + t) of their differences. If x does not link with the hub,
+    that is at least lacks_x + t adds_x - (1 - t) size, for what they share is at most what y has; and
+    more than (lacks_y + t adds_y) / (1 + t). With the differences of a hub in one order, rare ones first, each set leaves out
+    its last ones, one fewer than it must share: two sets that can link still share one. Its places in both
+    orders tell how many more they can share at most.
+    """
+    p = percent
+    unlinked = F.ceil((100 * F.col("lacks") + p * F.col("adds") - (100 - p) * F.col("size")) / 100)
+    with_linked = F.floor((100 * F.col("lacks") + p * F.col("adds")) / (100 + p)) + 1
+    least = F.greatest(F.lit(1), F.when(F.col("linked"), with_linked).otherwise(unlinked))
+    rows = tested.withColumn("all", F.size("differences")).withColumn("prefix", F.col("all") - least + 1)
+    rows = rows.select("a", "b", "linked", "size", "lacks", "adds", "all", "prefix", F.explode("differences").alias("d"))
+    counts = rows.groupBy("b", "d").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("b", "a").orderBy("n", "d")
+    ranked = rows.join(counts, ["b", "d"]).withColumn("place", F.row_number().over(order))
+    ranked = ranked.filter((F.col("place") <= F.col("prefix")) & (F.col("n") > 1)).drop("n", "prefix")
+    ranked = ranked.join(roots.withColumnRenamed("node", "a"), "a", "left")
+    ranked = stored(ranked.withColumn("root", F.coalesce("root", "a")), "differences")
+    several = ranked.groupBy("b", "d").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    ranked = ranked.join(several.filter("low <> high").select("b", "d"), ["b", "d"], "left_semi")
+    x, y = ranked.filter("not linked").alias("x"), ranked.alias("y")
+    met = (F.col("x.b") == F.col("y.b")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
+    share = p * (F.col("x.size") + F.col("x.adds") + F.col("y.adds")) - 100 * (
+        F.col("x.size") - F.col("x.lacks") - F.col("y.lacks")
+    )
+    most = 1 + F.least(F.col("x.all") - F.col("x.place"), F.col("y.all") - F.col("y.place"))
+    pairs = x.join(y, met & (share <= (100 + p) * most))
+    return pairs.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
 
 
 def linked_nodes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that have links. `buckets` has (signature, node, hub), hub the least of its nodes.
 
-    Each bucket's sets are verified against its hub. Two sets of a bucket that link, but are in different components
-    then, share a difference from the hub; those that share one are verified with each other.
+    Each bucket's sets are verified against its hub. Buckets that hold several components then take as hub the set with
+    the most links so far. Two sets of a bucket that link, but are still in different components, share differences
+    from that hub; those that can link by what they share are verified with each other.
     """
     pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
-    tested = stored(_verified(pairs, texts_of(pairs), words, percent), "verified")
+    tested = stored(_verified(pairs, texts_of(pairs), words, percent, False), "verified")
     links = tested.filter("linked").select("a", "b")
     roots = stored(components(links), "roots")
-    differing = tested.select("a", "b", "linked", F.explode("differences").alias("difference"))
-    differing = differing.join(roots.withColumnRenamed("node", "a"), "a", "left")
-    differing = differing.withColumn("root", F.coalesce("root", "a"))
-    spread = differing.groupBy("b", "difference").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    several = spread.filter("low <> high").select("b", "difference")
-    met = stored(differing.join(several, ["b", "difference"]), "differing")
-    one, other = met.filter("not linked").alias("x"), met.alias("y")
-    same = (F.col("x.b") == F.col("y.b")) & (F.col("x.difference") == F.col("y.difference"))
-    across = one.join(other, same & (F.col("x.root") != F.col("y.root")))
-    nodes = (F.col("x.a"), F.col("y.a"))
-    more = across.select(F.greatest(*nodes).alias("a"), F.least(*nodes).alias("b")).distinct()
+    degrees = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("links"))
+    rows = buckets.select("signature", "node").join(roots.join(degrees, "node", "left"), "node", "left")
+    rows = rows.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0))})
+    best = rows.groupBy("signature").agg(
+        F.max(F.struct("links", "node")).alias("best"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
+    )
+    best = best.filter("low <> high and n > 2").select("signature", F.col("best.node").alias("hub"))
+    again = rows.join(best, "signature").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    again = stored(again.distinct(), "pairs")
+    if again.isEmpty():
+        return roots
+    closer = stored(_verified(again, texts_of(again), words, percent, True), "verified")
+    links = links.unionByName(closer.filter("linked").select("a", "b"))
+    roots = stored(components(links), "roots")
+    more = _sharing_differences(closer, roots, percent)
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return roots
-    found = stored(_verified(more, texts_of(more), words, percent).filter("linked").select("a", "b"), "verified")
-    if found.isEmpty():
-        return roots
-    return components(links.unionByName(found))
+    found = _verified(more, texts_of(more), words, percent, False).filter("linked").select("a", "b")
+    return components(links.unionByName(stored(found, "verified")))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
