@@ -25,7 +25,7 @@ def is_numeric(text: Column) -> Column:
 
 def int_key(text: Column) -> Column:
     """The account number in a text id, NULL where there is none."""
-    return text.try_cast("int")
+    return text.try_cast("bigint")
 
 
 def email_domain(email: Column) -> Column:

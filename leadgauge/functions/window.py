@@ -7,6 +7,7 @@ the Parquet scan as a pushed filter.
 from __future__ import annotations
 
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,13 @@ class Clock:
         self._type = "timestamp" if zoned else "timestamp_ntz"
         self._column = F.col(column)
         self._months = months
-        text = as_of.isoformat(sep=" ") if isinstance(as_of, datetime) else as_of
-        self.now = F.lit(text).cast(self._type)
+        if not isinstance(as_of, datetime):
+            as_of = datetime.fromisoformat(as_of)
+        if as_of.tzinfo is not None:
+            # One moment for all columns: the session's wall clock, which a column without zone is read by.
+            zone = ZoneInfo(df.sparkSession.conf.get("spark.sql.session.timeZone"))
+            as_of = as_of.astimezone(zone).replace(tzinfo=None)
+        self.now = F.lit(as_of.isoformat(sep=" ")).cast(self._type)
 
     @property
     def month_ago(self) -> Column:

@@ -19,7 +19,7 @@ ACTIVE = "active_app"
 def generated_name(name: Column, config: ScorecardConfig) -> Column:
     """Does the name look like the generator's adjective-noun-x? Words count anywhere inside their part."""
     if not config.name_adjectives:
-        raise ValueError("ScorecardConfig.name_adjectives must hold the generator's adjectives, see read_words")
+        raise ValueError("ScorecardConfig.name_adjectives must hold the generator's adjectives")
     noun = has_word(name_part(name, 2), config.name_nouns)
     return noun & has_word(name_part(name, 1), config.name_adjectives)
 

@@ -1,13 +1,11 @@
 """First-touch marketing channel of an account.
 
-There are only some ten channel names, so an account's set of them is kept as bits of one number: combining the sets
-of any number of rows is a `bit_or`, done map-side before the only shuffle.
+An account's set of channels is kept as one boolean column for each channel name: combining the sets of any number of
+rows is a maximum of each, done map-side before the only shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,41 +14,26 @@ from leadgauge.functions.measure import repeat_copies, split_copies, with_copies
 from leadgauge.functions.text import first_rule, int_key, like_sql, sql_literal
 
 CHANNEL = "first_touch_channel"
-BITS = "channel_bits"
-
-# The two lowest bits tell which kinds of channels rows the account has, the others which touches.
-_HOSTED, _PLAIN, _FIRST_TOUCH_BIT = 1, 2, 4
-
 
 def touch_rules(config: ScorecardConfig) -> list[Rule]:
-    """Rules that name a channel for what an ad, a mail or a referring site left behind, in order."""
-    return [
-        *(Rule("medium", medium, PAID_MARKETING) for medium in config.paid_mediums),
-        *config.url_rules,
-        *live_rules(config.referrer_rules),
-    ]
+    """Rules that name a channel for what a mail, an ad or a referring site left behind, in order."""
+    return live_rules(config.first_touch_rules())
 
 
 def touch_labels(config: ScorecardConfig) -> list[str]:
     fallbacks = [config.other_channel, config.untracked_channel, config.default_channel]
-    return list(dict.fromkeys([rule.label for rule in touch_rules(config)] + fallbacks))
-
-
-def touch_channel(config: ScorecardConfig, code: Mapping[str, str | int] | None = None) -> Column:
-    """Channel of one first touch from its `medium`, `url` and `referrer`: the first rule that holds decides.
-
-    With `code`, the channel's code instead of its name.
-    """
+    return list(dict.fromkeys([PAID_MARKETING, *(rule.label for rule in touch_rules(config)), *fallbacks]))
 
-    def value(label: str) -> str | int:
-        return code[label] if code else label
 
+def touch_channel(config: ScorecardConfig) -> Column:
+    """Channel of one first touch from its `medium`, `url` and `referrer`: a paid medium, else the first rule that holds."""
+    paid = F.col("medium").isin([medium.upper() for medium in config.paid_mediums])
     fallback = (
-        F.when(F.col("referrer").isNotNull() | F.expr(like_sql("url", config.tagged_url)), value(config.other_channel))
-        .when(F.col("url").isNull(), value(config.untracked_channel))
-        .otherwise(value(config.default_channel))
+        F.when(F.col("referrer").isNotNull() | F.expr(like_sql("url", config.tagged_url)), config.other_channel)
+        .when(F.col("url").isNull(), config.untracked_channel)
+        .otherwise(config.default_channel)
     )
-    return F.coalesce(first_rule(touch_rules(config), value), fallback)
+    return F.when(paid, PAID_MARKETING).otherwise(F.coalesce(first_rule(touch_rules(config), str), fallback))
 
 
 def touches(first_touch: DataFrame) -> DataFrame:
@@ -93,40 +76,73 @@ def first_touch_rows(channels: DataFrame, first_touch: DataFrame, config: Scorec
     return repeat_copies(split_copies(labelled).hint("rebalance"), "account_id", CHANNEL)
 
 
-def _label_bits(config: ScorecardConfig) -> dict[str, int]:
-    bits = {label: _FIRST_TOUCH_BIT << n for n, label in enumerate(touch_labels(config))}
-    if max(bits.values()) >= 1 << 63:
-        raise ValueError("the rules have too many different labels for one number")
-    return bits
+def set_columns(config: ScorecardConfig) -> list[str]:
+    """Boolean columns of an account's set: hosted or other channels rows, then one for each label of a touch."""
+    return ["_hosted", "_plain", *(f"_touch_{n}" for n in range(len(touch_labels(config))))]
+
 
+def channel_set_rows(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> list[DataFrame]:
+    """What each channels row and each first touch adds to its account's set.
 
-def channel_bit_rows(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> list[DataFrame]:
-    """What each channels row and each first touch adds to its account's bits."""
-    hosted = F.when(F.col("heroku"), _HOSTED).otherwise(_PLAIN)
-    touched = touch_channel(config, _label_bits(config))
+    A touch's number has the type of the channels' ids; one that does not fit it can have no channels row.
+    """
+    hosted, plain, *touched = set_columns(config)
+    account = F.col("account_id").try_cast(channels.schema["id"].dataType).alias("account_id")
+    labelled = touches(first_touch).select(account, touch_channel(config).alias("label"))
+    labels = zip(touched, touch_labels(config))
     return [
-        channel_accounts(channels).select("account_id", hosted.cast("bigint").alias(BITS)),
-        touches(first_touch).select("account_id", touched.cast("bigint").alias(BITS)),
+        channel_accounts(channels).select("account_id", F.col("heroku").alias(hosted), (~F.col("heroku")).alias(plain)),
+        labelled.select("account_id", *((F.col("label") == label).alias(name) for name, label in labels)),
     ]
 
 
-def channels_of_bits(config: ScorecardConfig) -> Column:
-    """The channel names behind an account's bits; empty without a channels row.
+def channels_of_set(config: ScorecardConfig) -> Column:
+    """The channel names behind an account's set; empty without a channels row.
 
-    Each name stands in the array at the place of its bit. The hosting partner's accounts have its channel, other
-    accounts those of their touches, or the untracked one if they have none.
+    The hosting partner's accounts have its channel, other accounts those of their touches, or the untracked one if
+    they have none.
     """
-    labels = [config.heroku_channel, config.untracked_channel, *touch_labels(config)]
-    names = ", ".join(sql_literal(label) for label in labels)
-    return F.expr(f"""
-        array_distinct(filter(array({names}), (label, place) ->
-            shiftright(coalesce({BITS}, 0L), place) & 1 = 1
-            and case place when 0 then true when 1 then {BITS} < {_FIRST_TOUCH_BIT} else {BITS} & {_PLAIN} > 0 end))
-    """)
+    hosted, plain, *touched = set_columns(config)
+
+    def has(name: str) -> Column:
+        return F.coalesce(name, F.lit(False))
+
+    any_touch = F.lit(False)
+    names = []
+    for name, label in zip(touched, touch_labels(config)):
+        any_touch = any_touch | has(name)
+        names.append(F.when(has(plain) & has(name), F.lit(label)))
+    names = [F.when(has(hosted), F.lit(config.heroku_channel)), *names]
+    names.append(F.when(has(plain) & ~any_touch, F.lit(config.untracked_channel)))
+    return F.array_distinct(F.array_compact(F.array(*names)))
 
 
 def first_touch_channels(channels: DataFrame, first_touch: DataFrame, config: ScorecardConfig) -> DataFrame:
-    """The distinct channels of each channels account; several channels rows or touches can give several."""
-    rows, touch_rows = channel_bit_rows(channels, first_touch, config)
-    bits = rows.unionByName(touch_rows).groupBy("account_id").agg(F.bit_or(BITS).alias(BITS))
-    return bits.select("account_id", F.explode(channels_of_bits(config)).alias(CHANNEL))
+    """The distinct channels of each account; several channels rows or touches can give several.
+
+    Touches of no channels row, and all rows without id, belong to the NULL account: a channels row without id has no
+    touches, a touch of no channels row keeps its own channel.
+    """
+    rows, touch_rows = channel_set_rows(channels, first_touch, config)
+    stacked = rows.unionByName(touch_rows, allowMissingColumns=True)
+    columns = set_columns(config)
+    hosted, plain, *touched = columns
+    sets = stacked.groupBy("account_id").agg(*(F.max(c).alias(c) for c in columns))
+    known = F.col("account_id").isNotNull() & F.coalesce(F.col(hosted) | F.col(plain), F.lit(False))
+    lone = sets.withColumns(
+        {
+            "labels": F.array_compact(
+                F.array(
+                    *(F.when(F.col(c), F.lit(label)) for c, label in zip(touched, touch_labels(config))),
+                    F.when(F.col(hosted), F.lit(config.heroku_channel)),
+                    F.when(F.col(plain), F.lit(config.untracked_channel)),
+                )
+            ),
+            "known": known,
+        }
+    )
+    listed = lone.withColumn("labels", F.when(F.col("known"), channels_of_set(config)).otherwise(F.col("labels")))
+    account = F.when(F.col("known"), F.col("account_id")).alias("account_id")
+    named = listed.select(account, F.explode("labels").alias(CHANNEL))
+    # Accounts of channels rows have distinct channels by now; what is left over meets in few (NULL, channel) rows.
+    return named.distinct()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from leadgauge.config import ScorecardConfig
 from leadgauge.functions.measure import distinct_over, flag
-from leadgauge.functions.text import int_key
 from leadgauge.functions.window import AsOf, Clock
 from leadgauge.sources import Sources
 
@@ -30,12 +29,16 @@ def is_docs(config: ScorecardConfig) -> Column:
     return (url if open_ended else F.rtrim(url, F.lit("/"))).like(pattern)
 
 
-def human_views(splash_page_views: DataFrame, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    """Views by a known agent that is not the bot, up to the end of the day, with a usable account number."""
-    clock = Clock(splash_page_views, "created_at", as_of, config.window_months)
+def human_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+    """Views by a known agent that is not the bot, up to the end of the day, with a usable account number.
+
+    The number has the type of the channels' ids: one that does not fit it can have no channels row.
+    """
+    views, id_type = sources["splash_page_views"], sources["channels"].schema["id"].dataType
+    clock = Clock(views, "created_at", as_of, config.window_months)
     return (
-        splash_page_views.filter((F.col("user_agent") != config.bot_agent) & (F.col("created_at") < clock.tomorrow))
-        .withColumn("account_id", int_key(F.col("account_id")))
+        views.filter((F.col("user_agent") != config.bot_agent) & (F.col("created_at") < clock.tomorrow))
+        .withColumn("account_id", F.col("account_id").try_cast(id_type))
         .filter("account_id is not null")
     )
 
@@ -70,35 +73,38 @@ def recent_channels(channels: DataFrame, as_of: AsOf, config: ScorecardConfig) -
     )
 
 
-def of_recent_accounts(per_account: DataFrame, sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    """Keep the accounts that are recent and whose sessions do not rule their views out.
+def eligible_accounts(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+    """(account_id, before_today) of the recent accounts whose sessions do not rule their views out, each once."""
+    recent = recent_channels(sources["channels"], as_of, config).filter("account_id is not null")
+    joined = recent.join(session_state(sources["web_sessions"]), "account_id", "left")
+    return joined.filter(F.coalesce("unblocked", F.lit(True))).select("account_id", "before_today")
+
 
-    The account id is taken from the views: a runtime filter that Spark derives from the scored accounts then prunes
-    the scan of the views, by far the largest of the three.
+def of_eligible_accounts(per_account: DataFrame, sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
+    """Keep the rows of eligible accounts.
+
+    The account id is taken from the left side: a runtime filter that Spark derives from the scored accounts then prunes
+    the scan of the views, by far the largest of the three, and a hot account of the views can be split.
     """
-    recent = recent_channels(sources["channels"], as_of, config)
-    return (
-        per_account.join(recent, "account_id")
-        .join(session_state(sources["web_sessions"]), "account_id", "left")
-        .filter(F.coalesce("unblocked", F.lit(True)))
-    )
+    return per_account.join(eligible_accounts(sources, as_of, config), "account_id")
 
 
 def tutorial_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    """Distinct tutorial views of accounts created before today; 0 when an account has only other views."""
-    views = human_views(sources["splash_page_views"], as_of, config)
-    counts = views.groupBy("account_id").agg(
-        F.count_distinct(F.when(is_tutorial(config), F.col("id"))).alias(TUTORIALS)
-    )
-    kept = of_recent_accounts(counts, sources, as_of, config)
-    return kept.filter("before_today").select("account_id", TUTORIALS)
+    """Distinct tutorial views of accounts created before today; 0 when an account has only other views.
+
+    Views of all time meet the few eligible accounts before they are counted, so the count shuffles only theirs.
+    """
+    views = human_views(sources, as_of, config)
+    views = views.select("account_id", F.when(is_tutorial(config), F.col("id")).alias("id"))
+    kept = of_eligible_accounts(views, sources, as_of, config).filter("before_today")
+    return kept.groupBy("account_id").agg(F.count_distinct("id").alias(TUTORIALS))
 
 
 def docs_views(sources: Sources, as_of: AsOf, config: ScorecardConfig) -> DataFrame:
-    """Distinct docs views of accounts created before `as_of`."""
-    views = human_views(sources["splash_page_views"], as_of, config).filter(is_docs(config))
-    counts = views.groupBy("account_id").agg(F.count_distinct("id").alias(DOCS))
-    return of_recent_accounts(counts, sources, as_of, config).select("account_id", DOCS)
+    """Distinct docs views of accounts created before `as_of`, counted after the join like tutorial views."""
+    views = human_views(sources, as_of, config).filter(is_docs(config)).select("account_id", "id")
+    kept = of_eligible_accounts(views, sources, as_of, config)
+    return kept.groupBy("account_id").agg(F.count_distinct("id").alias(DOCS))
 
 
 def content_flag(counted: DataFrame, config: ScorecardConfig) -> DataFrame:
@@ -115,7 +121,7 @@ def content_accounts(sources: Sources, as_of: AsOf, config: ScorecardConfig) ->
     """
     tutorial, docs = is_tutorial(config), is_docs(config)
     seen = (
-        human_views(sources["splash_page_views"], as_of, config)
+        human_views(sources, as_of, config)
         .filter(tutorial | docs)
         .groupBy("account_id")
         .agg(
@@ -125,7 +131,7 @@ def content_accounts(sources: Sources, as_of: AsOf, config: ScorecardConfig) ->
         .filter("tutorials or docs")
     )
     return (
-        of_recent_accounts(seen, sources, as_of, config)
+        of_eligible_accounts(seen, sources, as_of, config)
         .filter("docs or (tutorials and before_today)")
         .select("account_id", F.lit(1).alias(CONTENT))
     )

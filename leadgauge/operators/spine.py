@@ -21,7 +21,7 @@ def spine(account: DataFrame, as_of: AsOf, config: ScorecardConfig) -> DataFrame
 
 
 def personal_domain(config: ScorecardConfig) -> Column:
-    domains = ", ".join(sql_literal(domain) for domain in config.personal_domains)
+    domains = ", ".join(sql_literal(domain) for domain in config.all_personal_domains())
     return F.expr(f"split_part(email, '@', 2) in ({domains})")
 
 

@@ -23,7 +23,7 @@ EVENT_COLUMNS = ("account_id", "bus_email_flag", "email")
 
 
 def grouped_features(sources: Sources, as_of: AsOf, config: ScorecardConfig, with_channel: bool) -> DataFrame:
-    """Apps, activity, collaborators, limits and channel bits of each account with any of them."""
+    """Apps, activity, collaborators, limits and channel sets of each account with any of them."""
     rows = [
         apps.created_rows(sources["app_created"], as_of, config),
         apps.active_rows(sources["daily_logs"], as_of, config),
@@ -31,10 +31,10 @@ def grouped_features(sources: Sources, as_of: AsOf, config: ScorecardConfig, wit
         *limits.limit_rows(
             sources["connections_soft_limit"], sources["messages_soft_limit"], as_of, config
         ),
-        *(channel.channel_bit_rows(sources["channels"], sources["first_touch"], config) if with_channel else []),
+        *(channel.channel_set_rows(sources["channels"], sources["first_touch"], config) if with_channel else []),
     ]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    combine = {apps.NAMED: F.sum, channel.BITS: F.bit_or}
+    combine = {apps.NAMED: F.sum}
     return (
         stacked.filter("account_id is not null")
         .groupBy("account_id")
@@ -67,7 +67,7 @@ def _counted_events(
     columns = [F.coalesce(f.name, F.lit(0)).alias(f.name) for f in config.features]
     columns.append(F.coalesce("copies", F.lit(1)).alias("copies"))
     if with_channel:
-        columns.append(F.explode_outer(channel.channels_of_bits(config)).alias("FTC"))
+        columns.append(F.explode_outer(channel.channels_of_set(config)).alias("FTC"))
     events = joined.select(*EVENT_COLUMNS, *columns)
     return events.fillna(config.default_channel, ["FTC"]) if with_channel else events
 

@@ -42,13 +42,18 @@ def sheet(sources: Sources, as_of: AsOf, config: ScorecardConfig, kind: str) ->
     return sheet_of(counted_scorecard(sources, as_of, config).hint("rebalance"), config, kind)
 
 
-def csv_path(directory: str, kind: str, day: date) -> str:
-    return f"{directory}/Customer_Scorecard_{kind}_{day.isoformat()}.csv"
+PREFIX = "scorecard"
 
 
-def write_sheet_csv(rows: DataFrame, directory: str, kind: str, day: date, mode: str = "errorifexists") -> str:
+def csv_path(directory: str, kind: str, day: date, prefix: str = PREFIX) -> str:
+    return f"{directory}/{prefix}_{kind}_{day.isoformat()}.csv"
+
+
+def write_sheet_csv(
+    rows: DataFrame, directory: str, kind: str, day: date, mode: str = "errorifexists", prefix: str = PREFIX
+) -> str:
     """Write a sheet as CSV with header, NA for NULL and doubled quotes; the part files are in row order."""
-    path = csv_path(directory, kind, day)
+    path = csv_path(directory, kind, day, prefix)
     (
         rows.write.mode(mode)
         .option("header", True)
@@ -65,17 +70,18 @@ def write_sheets(
     config: ScorecardConfig,
     directory: str,
     day: date,
+    scratch: str,
     kinds: Iterable[str] = tuple(KINDS),
     mode: str = "errorifexists",
+    prefix: str = PREFIX,
 ) -> list[str]:
     """Several sheets from one pass over the event tables.
 
-    The scorecard, some ten numbers per account, is checkpointed to the shared folder of `spark.checkpoint.dir`, so
-    neither the second sheet nor a lost executor sends Spark back to the events.
+    The scorecard, some ten numbers per account, is written once as Parquet to `scratch`, a folder that all executors share
+    and that must not exist yet, and read back for each sheet: neither the second sheet nor a lost executor sends Spark
+    back to the events, and a sheet's filter reaches the files. The caller removes the folder.
     """
     counted = counted_scorecard(sources, as_of, config)
-    context = counted.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{directory}/_checkpoint")
-    counted = counted.checkpoint()
-    return [write_sheet_csv(sheet_of(counted, config, kind), directory, kind, day, mode) for kind in kinds]
+    counted.write.parquet(scratch)
+    counted = counted.sparkSession.read.schema(counted.schema).parquet(scratch)
+    return [write_sheet_csv(sheet_of(counted, config, kind), directory, kind, day, mode, prefix) for kind in kinds]

@@ -6,8 +6,7 @@ from leadgauge.sources.tables import (
     from_catalog,
     from_jdbc,
     from_parquet,
-    read_words,
     resolve_table,
 )
 
-__all__ = ["ROLES", "Sources", "from_catalog", "from_jdbc", "from_parquet", "read_words", "resolve_table"]
+__all__ = ["ROLES", "Sources", "from_catalog", "from_jdbc", "from_parquet", "resolve_table"]

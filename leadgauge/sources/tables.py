@@ -32,9 +32,6 @@ ROLES: dict[str, tuple[str, ...]] = {
     "messages_soft_limit": ("account_id", "created_at"),
 }
 
-# The paid-signup table has another name in the warehouse.
-WAREHOUSE_NAMES = {"paid_signup": "chargify_signup_success"}
-
 # Tables whose names carry a generated prefix: (name LIKE, name NOT LIKE).
 SCRATCH_NAMES = {
     "user_engagement": ("%user_engagement", None),
@@ -44,8 +41,6 @@ SCRATCH_NAMES = {
     "web_sessions": ("%web_sessions", "%elements_web_sessions"),
 }
 
-MAX_WORDS = 10_000
-
 
 class Split(NamedTuple):
     """How a JDBC table is cut into parallel reads."""
@@ -75,17 +70,20 @@ def resolve_table(spark: SparkSession, database: str, like: str, not_like: str |
 def from_catalog(
     spark: SparkSession,
     database: str = "default",
-    scratch_database: str = "looker_scratch",
+    scratch_database: str | None = None,
     tables: Mapping[str, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Catalog tables: scratch roles by name pattern, the rest by name; `tables` overrides single roles."""
+    """Catalog tables: scratch roles by name pattern, the rest by name; `tables` gives the names of single roles.
+
+    Tables with generated prefixes are looked for in `scratch_database`, by default where the others are.
+    """
 
     def name(role: str) -> str:
         if tables and role in tables:
             return tables[role]
         if role in SCRATCH_NAMES:
-            return resolve_table(spark, scratch_database, *SCRATCH_NAMES[role])
-        return f"`{database}`.`{WAREHOUSE_NAMES.get(role, role)}`"
+            return resolve_table(spark, scratch_database or database, *SCRATCH_NAMES[role])
+        return f"`{database}`.`{role}`"
 
     return {role: spark.table(name(role)) for role in ROLES}
 
@@ -115,12 +113,3 @@ def from_jdbc(
         )
 
     return {role: read(role) for role in tables}
-
-
-def read_words(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """A vocabulary, one word per line. It ends up in an expression, so a longer one than MAX_WORDS is refused."""
-    lines = spark.read.text(path).select(F.trim("value").alias("word")).filter("word <> ''")
-    words = [row.word for row in lines.limit(MAX_WORDS + 1).collect()]
-    if len(words) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} words in {path}")
-    return tuple(words)

@@ -19,9 +19,8 @@ _DEFAULTS = ScorecardConfig()
 DASHBOARD = f"https://{_DEFAULTS.dashboard_url.strip('%')}/apps"
 EXCLUDED = f"https://{_DEFAULTS.dashboard_url_excluded.strip('%')}/1"
 BOT = _DEFAULTS.bot_agent
-GROWTH, BLOG, OWN_SITE = (
-    rule.pattern.strip("%") + "/a" for rule in (_DEFAULTS.url_rules[5], *_DEFAULTS.referrer_rules[:2])
-)
+_SITE = _DEFAULTS.own_site
+GROWTH, BLOG, OWN_SITE = f"https://growth.{_SITE}/a", f"https://blog.{_SITE}/a", f"https://{_SITE}/a"
 
 SCHEMAS = {
     "account": "id int, plan_id int, email string, created_at timestamp_ntz",

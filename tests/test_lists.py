@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 import pytest
 from hypothesis import given, settings
@@ -44,12 +45,32 @@ def test_live_rules_decide_the_same(all_rules, url, referrer):
     assert decide(live_rules(all_rules), row) == decide(all_rules, row)
 
 
-def test_default_lists_are_already_short():
+def test_default_lists_are_whole():
+    config = ScorecardConfig(own_site="site.example", own_hosts=("demo.example", "chat.example"))
+    assert len(config.all_personal_domains()) == len(set(config.all_personal_domains())) == 102
+    assert (len(config.name_nouns), len(config.first_touch_rules())) == (185, 166 + len(config.url_rules))
+    assert "flowers" not in minimal_words(config.name_nouns) and "flowers" in config.name_nouns
+
+
+def test_a_rule_that_is_taken_out_brings_back_the_one_it_shadowed():
+    mail = Rule("referrer", "%mail.google.com%", "EMAIL")
     config = ScorecardConfig()
-    assert minimal_words(config.name_nouns) == list(config.name_nouns)
-    assert live_rules(config.referrer_rules) == list(config.referrer_rules)
-    assert len(config.personal_domains) == len(set(config.personal_domains)) == 102
-    assert (len(config.name_nouns), len(config.referrer_rules)) == (168, 112)
+    assert mail in config.first_touch_rules() and mail not in live_rules(config.first_touch_rules())
+    without = tuple(rule for rule in config.referrer_rules if rule.pattern != "%google.%")
+    assert mail in live_rules(replace(config, referrer_rules=without).first_touch_rules())
+
+
+def test_own_site_names_its_rules():
+    rules = ScorecardConfig(own_site="site.example").first_touch_rules()
+    assert Rule("referrer", "%growth.site%", "PAID MARKETING") in rules
+    assert Rule("referrer", "%https://site.example%", "OWN SITE") in rules
+    assert not any("{" in rule.pattern for rule in rules)
+
+
+@pytest.mark.parametrize("name", ["tutorials_over", "docs_over", "connection_limit_over", "message_limit_over"])
+def test_negative_thresholds_are_refused(name):
+    with pytest.raises(ValueError, match=name):
+        ScorecardConfig(**{name: -1})
 
 
 @pytest.mark.parametrize("bad", [[], ["a", ""]])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import AS_OF, BLOG, BOT, DASHBOARD, EXCLUDED, GROWTH, OWN_SITE, bag, mapping
 from pyspark.sql import functions as F
 
 from leadgauge import ScorecardConfig
+from leadgauge.config import Rule, live_rules
 from leadgauge.functions.measure import distinct_over, repeat_copies, split_copies, with_copies
-from leadgauge.functions.text import is_numeric
+from leadgauge.functions.text import int_key, is_numeric
 from leadgauge.functions.window import Clock
 from leadgauge.operators import apps, channel, collaborators, content, dashboard, engagement, limits, score, spine
 from leadgauge.operators.attach import attach, attach_membership
@@ -352,7 +355,7 @@ TOUCHES = [
     ("https://x.example/", GROWTH, "PAID MARKETING"),
     ("https://x.example/?gclid=1", "https://github.com", "PAID MARKETING"),
     (None, BLOG, "BLOG"),
-    (None, OWN_SITE, ScorecardConfig().referrer_rules[1].label),
+    (None, OWN_SITE, ScorecardConfig().own_channel),
     ("https://x.example/", "https://mail.google.com/", "ORGANIC"),
     ("https://x.example/", "https://pinterest.com/", "SOCIAL"),
     ("https://x.example/", "https://laravel-news.com", "REFERRALS"),
@@ -372,11 +375,49 @@ def test_touch_channel(table, config):
     assert mapping(labels) == {n: label for n, (_, _, label) in enumerate(TOUCHES)}
 
 
-def test_every_referrer_rule_decides_for_its_own_text(table, config):
-    texts = [rule.pattern.strip("%") for rule in config.referrer_rules]
-    rows = table("first_touch", *((str(n), None, text) for n, text in enumerate(texts)))
+def test_every_live_referrer_rule_decides_for_its_own_text(table, config):
+    rules = [rule for rule in live_rules(config.first_touch_rules()) if rule.column == "referrer"]
+    rows = table("first_touch", *((str(n), None, rule.pattern.strip("%")) for n, rule in enumerate(rules)))
     labels = channel.touches(rows).select("account_id", channel.touch_channel(config))
-    assert mapping(labels) == {n: rule.label for n, rule in enumerate(config.referrer_rules)}
+    assert mapping(labels) == {n: rule.label for n, rule in enumerate(rules)}
+
+
+def test_paid_mediums_are_equal_not_alike(table):
+    config = ScorecardConfig(paid_mediums=("paid_search",))
+    urls = ["https://x.example/?utm_medium=PAID_SEARCH", "https://x.example/?utm_medium=paidxsearch"]
+    rows = table("first_touch", *((str(n), url, None) for n, url in enumerate(urls)))
+    labels = channel.touches(rows).select("account_id", channel.touch_channel(config))
+    assert mapping(labels) == {0: "PAID MARKETING", 1: "DIRECT"}
+
+
+def test_more_channel_labels_than_a_number_has_bits(table, config):
+    rules = tuple(Rule("url", f"%/p{n:02d}/%", f"LABEL {n}") for n in range(70))
+    many = replace(config, url_rules=rules)
+    channels = table("channels", *((n, NOON, False) for n in range(70)))
+    touches = table("first_touch", *((str(n), f"https://x.example/p{n:02d}/", None) for n in range(70)))
+    found = channel.first_touch_channels(channels, touches, many)
+    assert mapping(found) == {n: f"LABEL {n}" for n in range(70)}
+
+
+def test_rows_without_account_keep_their_channels(table, config):
+    touch = table("first_touch", ("abc", "https://x.example/", "https://github.com"))
+    both = Counter([(None, "AD BLOCKER"), (None, "REFERRALS")])
+    assert bag(channel.first_touch_channels(table("channels", (None, NOON, False)), touch, config)) == both
+    one = Counter([(1, "AD BLOCKER"), (None, "REFERRALS")])
+    assert bag(channel.first_touch_channels(table("channels", (1, NOON, False)), touch, config)) == one
+
+
+def test_ids_above_32_bits_keep_their_rows(spark):
+    ids = spark.createDataFrame([("5000000000",), ("7",), ("x",)], "id string")
+    assert [row[0] for row in ids.select(int_key(F.col("id"))).collect()] == [5_000_000_000, 7, None]
+
+
+def test_as_of_with_a_zone_is_one_moment(spark):
+    moment = datetime(2024, 1, 20, 12, tzinfo=timezone(timedelta(hours=5)))
+    df = spark.range(1).select(F.lit(None).cast("timestamp_ntz").alias("a"), F.lit(None).cast("timestamp").alias("b"))
+    for column in ("a", "b"):
+        now = df.select(Clock(df, column, moment, 1).now.cast("string")).collect()[0][0]
+        assert now == "2024-01-20 07:00:00"
 
 
 def test_first_touch_channels(table, config):
@@ -399,7 +440,8 @@ def test_first_touch_channels(table, config):
         (1, "HEROKU"), (2, "AD BLOCKER"), (3, "REFERRALS"), (3, "DIRECT"), (4, "HEROKU"), (4, "REFERRALS"),
         (5, "AD BLOCKER"),
     ]
-    assert bag(channel.first_touch_channels(channels, first_touch, config)) == Counter(expected)
+    lone = [(None, "REFERRALS"), (None, "AD BLOCKER")]
+    assert bag(channel.first_touch_channels(channels, first_touch, config)) == Counter(expected + lone)
     rows = Counter(expected) + Counter(
         [(3, "DIRECT"), (None, "REFERRALS"), (None, "AD BLOCKER"), (None, "AD BLOCKER")]
     )

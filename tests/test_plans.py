@@ -22,8 +22,10 @@ def stored(spark, tmp_path_factory):
     for role in ROLE_SQL:
         roles[role].write.parquet(f"{directory}/{role}.parquet")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # else long paths are cut off in plans
     yield from_parquet(spark, str(directory))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
 def plan(df) -> str:
@@ -66,8 +68,10 @@ def test_grouped_features_take_one_shuffle_after_a_partial_aggregate(stored):
     assert re.search(r"Exchange hashpartitioning.*\n.*HashAggregate.*partial_sum", text)
 
 
-def test_channels_take_one_shuffle(stored):
-    assert exchanges(plan(channel.first_touch_channels(stored["channels"], stored["first_touch"], CONFIG))) == 1
+def test_channels_shuffle_rows_once_and_finished_names_once(stored):
+    text = plan(channel.first_touch_channels(stored["channels"], stored["first_touch"], CONFIG))
+    assert exchanges(text) == 2
+    assert re.search(r"Exchange hashpartitioning.*\n.*HashAggregate.*partial_max", text)
 
 
 def test_content_shuffles_each_table_once(stored):
@@ -76,6 +80,13 @@ def test_content_shuffles_each_table_once(stored):
     assert text.count("partial_max") >= 3
 
 
+@pytest.mark.parametrize("views", [content.tutorial_views, content.docs_views])
+def test_views_meet_the_eligible_accounts_before_they_are_counted(stored, views):
+    text = plan(views(stored, AS_OF, CONFIG))
+    assert text.index("count(distinct") < text.index("Join")
+    assert "count(distinct" not in text[text.index("Join") :]
+
+
 def test_joins_are_hash_joins_on_keys_without_full_outer(stored):
     text = plan(sheet(stored, AS_OF, CONFIG, "All"))
     assert "FullOuter" not in text

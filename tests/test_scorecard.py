@@ -81,7 +81,7 @@ def test_unknown_sheet_is_refused(sources, config):
 def test_csv(sources, config, tmp_path):
     rows = sheet(sources, AS_OF, config, "Business")
     path = write_sheet_csv(rows, str(tmp_path), "Business", date(2024, 1, 20))
-    assert path.endswith("/Customer_Scorecard_Business_2024-01-20.csv")
+    assert path.endswith("/scorecard_Business_2024-01-20.csv")
     lines = [line for part in sorted(Path(path).glob("part-*")) for line in part.read_text().splitlines()]
     header = "account_id,email,dashboard_daily_pageviews,engagement_frequency,number_of_named_apps,tech_info,"
     assert lines[0].startswith(header)
@@ -92,13 +92,13 @@ def test_csv(sources, config, tmp_path):
 
 
 def test_all_sheets_come_from_one_checkpointed_scorecard(spark, sources, config, tmp_path):
-    paths = write_sheets(sources, AS_OF, config, str(tmp_path), date(2024, 1, 20))
-    assert [Path(path).name.split("_")[2] for path in paths] == ["Business", "Personal", "All"]
+    paths = write_sheets(sources, AS_OF, config, f"{tmp_path}/out", date(2024, 1, 20), f"{tmp_path}/scratch", prefix="leads")
+    assert [Path(path).name.split("_")[1] for path in paths] == ["Business", "Personal", "All"]
     for path, kind in zip(paths, ["Business", "Personal", "All"], strict=True):
         written = spark.read.option("header", True).option("escape", '"').csv(path)
         expected = sheet(sources, AS_OF, config, kind)
         assert bag(written) == bag(expected.select([expected[c].cast("string") for c in expected.columns]))
-    assert spark.sparkContext.getCheckpointDir() is not None
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(Path(path).name for path in paths)
 
 
 def test_csv_writes_null_as_na(spark, tmp_path):

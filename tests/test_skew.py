@@ -57,7 +57,7 @@ def duck(hot):
 
 @pytest.mark.parametrize(
     "name",
-    ["dashboard_days", "active_apps", "tutorial_views", "docs_views", "channel_distinct", "full_outer_touch", "tut_doc_accounts", "weighted_scorecard",
+    ["dashboard_days", "active_apps", "tutorial_views", "docs_views", "channel_distinct", "full_outer_touch", "engagement_attached", "tut_doc_accounts", "weighted_scorecard",
      "sheet_all"],
 )
 def test_hot_account(spark, hot, duck, name):

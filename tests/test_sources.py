@@ -3,8 +3,8 @@ from __future__ import annotations
 import pytest
 from conftest import SCHEMAS
 
-from leadgauge.sources import ROLES, from_catalog, from_jdbc, read_words, resolve_table
-from leadgauge.sources.tables import SCRATCH_NAMES, WAREHOUSE_NAMES
+from leadgauge.sources import ROLES, from_catalog, from_jdbc, resolve_table
+from leadgauge.sources.tables import SCRATCH_NAMES
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +12,7 @@ def warehouse(spark):
     spark.sql("create database scratch")
     spark.sql("create database facts")
     for role, schema in SCHEMAS.items():
-        name = f"scratch.lr_2_{role}" if role in SCRATCH_NAMES else f"facts.{WAREHOUSE_NAMES.get(role, role)}"
+        name = f"scratch.lr_2_{role}" if role in SCRATCH_NAMES else f"facts.{role}"
         spark.createDataFrame([], schema).write.saveAsTable(name)
     for name in ("lr_1_elements_first_touch", "lr_1_elements_web_sessions", "lr_3_first_touch", "lr_3_web_sessions"):
         spark.range(1).write.saveAsTable(f"scratch.{name}")
@@ -45,16 +45,3 @@ def test_catalog_override(warehouse):
 def test_jdbc_wants_a_split_for_each_table(spark):
     with pytest.raises(ValueError, match="no split given for account"):
         from_jdbc(spark, "jdbc:none", {"account": "account"}, {})
-
-
-def test_read_words(spark, tmp_path):
-    path = tmp_path / "words.txt"
-    path.write_text("happy\n\n brave \n")
-    assert sorted(read_words(spark, str(path))) == ["brave", "happy"]
-
-
-def test_read_words_refuses_a_text_that_is_no_vocabulary(spark, tmp_path):
-    path = tmp_path / "words.txt"
-    path.write_text("\n".join(f"w{n}" for n in range(10_001)))
-    with pytest.raises(ValueError, match="more than 10000 words"):
-        read_words(spark, str(path))

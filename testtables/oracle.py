@@ -16,10 +16,10 @@ def _list(values) -> str:
     return ", ".join(f"'{value}'" for value in values)
 
 
-_DOMAINS = _list(CONFIG.personal_domains)
+_DOMAINS = _list(CONFIG.all_personal_domains())
 _RULES = "\n".join(
     f"when {rule.column} like '{rule.pattern}' then '{rule.label}'"
-    for rule in (*CONFIG.url_rules, *CONFIG.referrer_rules)
+    for rule in CONFIG.first_touch_rules()
 )
 _TOUCH = f"""case
     when upper(split_part(split_part(url, 'utm_medium=', 2), '&', 1)) in ({_list(CONFIG.paid_mediums)})
@@ -31,8 +31,22 @@ _GENERATED = (
     f"regexp_matches(split_part(app_name, '-', 1), '{'|'.join(CONFIG.name_adjectives)}')"
     f" and regexp_matches(split_part(app_name, '-', 2), '{'|'.join(CONFIG.name_nouns)}')"
 )
-_BACK = f"(case when coalesce(backend_tech, '{CONFIG.unknown_tech}') = '{CONFIG.unknown_tech}' then 0 else 1 end)"
-_FRONT = _BACK.replace("backend", "frontend")
+
+
+def _known(column: str) -> str:
+    return f"cast({column} is not null and {column} <> '{CONFIG.unknown_tech}' as int)"
+
+
+def _capped(relation: str, feature: str) -> str:
+    cap = CONFIG.cap(feature)
+    return f"select account_id, case when {feature} > {cap} then {cap} else {feature} end as {feature} from {relation}"
+
+
+def _some(relation: str, number: str, name: str, over: int = 0) -> str:
+    return f"select account_id, cast({number} > {over} as int) as {name} from {relation}"
+
+
+_BACK, _FRONT = _known("backend_tech"), _known("frontend_tech")
 _IS_ID = "regexp_full_match({0}, '[0-9]+')"
 _NAMES = [f.name for f in CONFIG.features]
 _POINTS = [f"{f.name} * {f.weight}" for f in CONFIG.features]
@@ -71,7 +85,7 @@ RELATIONS = {
         as personal from account""",
     "numeric_guard": f"""select account_id, count(*) as views,
           try_cast(account_id as decimal(38, 9)) is not null as is_numeric,
-          case when {_IS_ID.format('account_id')} then try_cast(account_id as int) end as account_number
+          case when {_IS_ID.format('account_id')} then try_cast(account_id as bigint) end as account_number
         from page_view group by account_id""",
     "dashboard_days": f"""select account_id, count(distinct cast(created_at as date)) as dashboard_daily_pageviews
         from page_view v
@@ -82,40 +96,35 @@ RELATIONS = {
             or exists (select 1 from paid_signup s where cast(s.account_id as varchar) = v.account_id
               and (s.created_at is null or v.created_at < s.created_at)))
         group by account_id""",
-    "dashboard_capped": """select account_id, case when dashboard_daily_pageviews > 10 then 10
-          else dashboard_daily_pageviews end as dashboard_daily_pageviews from dashboard_days""",
-    "dashboard_number": f"""select cast(account_id as int) as account_id, dashboard_daily_pageviews
+    "dashboard_capped": _capped("dashboard_days", "dashboard_daily_pageviews"),
+    "dashboard_number": f"""select cast(account_id as bigint) as account_id, dashboard_daily_pageviews
         from (select * from dashboard_capped where {_IS_ID.format('account_id')})""",
     "dashboard_attached": _attached("dashboard_number", "dashboard_daily_pageviews"),
     "engagement": f"select account_id, engagement_frequency from user_engagement where month {_RECENT}",
-    "engagement_capped": """select account_id, case when engagement_frequency > 6 then 6
-          else engagement_frequency end as engagement_frequency from engagement""",
+    "engagement_capped": _capped("engagement", "engagement_frequency"),
     "engagement_attached": _attached("engagement_capped", "engagement_frequency"),
     "word_match": f"""select account_id, app_name, coalesce({_GENERATED}, false) as is_generated from app_created""",
     "named_apps": f"""select account_id, count(*) - count(*) filter (where {_GENERATED}) as number_of_named_apps
         from app_created where created_at {_RECENT} group by account_id""",
-    "named_apps_capped": """select account_id, case when number_of_named_apps > 4 then 4 else number_of_named_apps end
-        as number_of_named_apps from named_apps""",
+    "named_apps_capped": _capped("named_apps", "number_of_named_apps"),
     "named_apps_attached": _attached("named_apps_capped", "number_of_named_apps"),
     "tech_flags": f"""select account_id, {_BACK} as backend_tech, {_FRONT} as frontend_tech,
-          max(case when backend_tech is null and frontend_tech is null or backend_tech = 'none'
-            and frontend_tech = 'none' then 0 else 1 end) as tech_info
+          max(cast(not (backend_tech is not distinct from frontend_tech
+            and coalesce(backend_tech, '{CONFIG.unknown_tech}') = '{CONFIG.unknown_tech}') as int)) as tech_info
         from app_created where created_at {_RECENT} group by account_id, {_BACK}, {_FRONT}""",
     "tech_info": f"""select account_id, max({_BACK} + {_FRONT}) as tech_info
         from app_created where created_at {_RECENT} group by account_id""",
     "tech_info_attached": _attached("tech_info", "tech_info"),
     "active_apps": f"""select account_id, count(distinct app_id) as number_of_active_apps from daily_logs
         where max_connections >= 5 and all_messages >= 100 and created_at {_RECENT} group by account_id""",
-    "active_app": """select account_id, case when number_of_active_apps > 0 then 1 else 0 end as active_app
-        from active_apps""",
+    "active_app": _some("active_apps", "number_of_active_apps", "active_app"),
     "active_app_attached": _attached("active_app", "active_app"),
     "multiple_env": f"""select account_id, case when count(multiple_environments) > 0 then 1 else 0 end
           as multiple_env_flag from app_created where created_at {_RECENT} group by account_id""",
     "multiple_env_attached": _attached("multiple_env", "multiple_env_flag"),
     "collaborators": f"""select account_id, count(distinct collaborator_email) as collaborators
         from app_collaborator_added where created_at {_RECENT} group by account_id""",
-    "collaborator_flag": """select account_id, case when collaborators > 0 then 1 else 0 end as collaborators
-        from collaborators""",
+    "collaborator_flag": _some("collaborators", "collaborators", "collaborators"),
     "collaborators_attached": _attached("collaborator_flag", "collaborators"),
     "tutorial_views": _counted(
         f"cast({_NOW} as date)", "case when v.web_asset = 'tutorials' then v.id end", "true", "tutorial_views"
@@ -141,9 +150,7 @@ RELATIONS = {
     "full_outer_touch": """select c.id as account_id,
           case when c.heroku then 'HEROKU' else coalesce(t.touch, 'AD BLOCKER') end as first_touch_channel
         from channels c full join touch t on t.account_number = c.id""",
-    "channel_distinct": """select distinct c.id as account_id,
-          case when c.heroku then 'HEROKU' else coalesce(t.touch, 'AD BLOCKER') end as first_touch_channel
-        from channels c left join touch t on t.account_number = c.id""",
+    "channel_distinct": "select distinct account_id, first_touch_channel from full_outer_touch",
     "channel_attached": """select p.account_id, p.email, coalesce(f.first_touch_channel, 'DIRECT') as FTC
         from spine p left join channel_distinct f on f.account_id = p.account_id""",
     "scorecard_events": f"""select p.account_id, p.bus_email_flag, p.email, {', '.join(_NAMES)}
@@ -166,11 +173,11 @@ RELATIONS = {
 
 # Relations that only the SQL above reads.
 _HELPERS = {
-    "human_view": f"""select *, case when {_IS_ID.format('account_id')} then try_cast(account_id as int) end
+    "human_view": f"""select *, case when {_IS_ID.format('account_id')} then try_cast(account_id as bigint) end
           as account_number
         from splash_page_views
         where user_agent <> '{CONFIG.bot_agent}' and cast(created_at as date) <= cast({_NOW} as date)""",
-    "touch": f"""select case when {_IS_ID.format('account_id')} then try_cast(account_id as int) end
+    "touch": f"""select case when {_IS_ID.format('account_id')} then try_cast(account_id as bigint) end
           as account_number, {_TOUCH} as touch from first_touch""",
 }
 

@@ -11,14 +11,18 @@ from leadgauge import ScorecardConfig
 
 AS_OF = "2024-01-20 12:00:00"
 
-# The adjectives with which the mapping below builds app names.
-CONFIG = ScorecardConfig(name_adjectives=("happy", "brave", "calm", "bright", "and"))
+# A vocabulary as long as the generator's, made by a rule; the mapping below builds app names from 500 such words.
+CONFIG = ScorecardConfig(
+    own_site="site.example",
+    own_hosts=("demo.host.example",),
+    name_adjectives=("happy", "brave", "and", *(f"quick{n:03d}" for n in range(375))),
+)
 
 TABLES = ("customer", "orders", "lineitem", "events", "pages")
 
 _DASHBOARD = f"https://{CONFIG.dashboard_url.strip('%')}"
 _EXCLUDED = f"https://{CONFIG.dashboard_url_excluded.strip('%')}"
-_BLOG = f"https://{CONFIG.referrer_rules[0].pattern.strip('%')}"
+_BLOG = f"https://blog.{CONFIG.own_site}"
 
 ROLE_SQL = {
     "account": """
@@ -49,8 +53,8 @@ ROLE_SQL = {
         from {events} group by user_id, event_type""",
     "app_created": """
         select cast(o_custkey as int) as account_id,
-               case when o_orderkey % 11 = 0 then null when o_orderkey % 4 = 0 then 'happy-tiger-'
-                 || cast(o_orderkey as varchar(20)) when o_orderkey % 5 = 0 then 'brave-sunflower'
+               case when o_orderkey % 11 = 0 then null when o_orderkey % 4 = 0 then
+                   'quick' || lpad(cast(o_orderkey % 500 as varchar(20)), 3, '0') || '-tiger-1' when o_orderkey % 5 = 0 then 'brave-sunflower'
                  when o_orderkey % 7 = 0 then 'sandy-sandy' when o_orderkey % 13 = 0 then 'Happy-tiger'
                  else 'shop-' || lower(o_orderpriority) end as app_name,
                case o_orderkey % 3 when 0 then 'none' when 1 then 'ruby' else null end as backend_tech,
@@ -65,12 +69,12 @@ ROLE_SQL = {
         from {lineitem} join {orders} on l_orderkey = o_orderkey""",
     "app_collaborator_added": """
         select cast(o_custkey as int) as account_id,
-               case when o_orderkey % 3 = 0 then null else 'u' || cast(o_orderkey % 7 as varchar(20)) || '@x.example' end
+               case when o_orderkey % 3 = 0 or o_orderstatus <> 'F' then null else 'u' || cast(o_orderkey % 7 as varchar(20)) || '@x.example' end
                  as collaborator_email,
                timestamp '2023-12-01 00:00:00' + (o_orderkey % 60) * interval '1' day as created_at
-        from {orders} where o_orderstatus = 'F'""",
+        from {orders}""",
     "channels": """
-        select cast(c_custkey as int) as id,
+        select case when c_custkey % 23 = 0 then null else cast(c_custkey as int) end as id,
                timestamp '2023-12-10 00:00:00' + (c_custkey % 50) * interval '1' day as created_at,
                case c_custkey % 10 when 0 then true when 1 then null else false end as heroku
         from {customer}""",
@@ -88,13 +92,16 @@ ROLE_SQL = {
                  else timestamp '2024-01-10 00:00:00' end as account_created_at
         from {events} where event_type = 'signup'""",
     "connections_soft_limit": """
-        select cast(user_id as int) as account_id, ts as created_at
-        from {events} where event_type = 'error' and value > 60""",
+        select cast(user_id as int) as account_id,
+               case when value > 60 then ts when value > 40 then null else timestamp '2023-10-01 00:00:00' end as created_at
+        from {events} where event_type = 'error'""",
     "messages_soft_limit": """
-        select cast(user_id as int) as account_id, ts as created_at
-        from {events} where event_type = 'purchase' and value > 60""",
+        select cast(user_id as int) as account_id,
+               case when value > 60 then ts when value > 40 then null else timestamp '2023-10-01 00:00:00' end as created_at
+        from {events} where event_type = 'purchase'""",
     "first_touch": f"""
-        select cast(cast(floor(page_id / 2) as int) as varchar(20)) as account_id,
+        select case when page_id % 37 = 0 then null when page_id % 29 = 0 then 'anon' when page_id % 31 = 0 then '5000000000'
+                 else cast(cast(floor(page_id / 2) as int) as varchar(20)) end as account_id,
                case page_id % 9 when 0 then null when 1 then url || '&utm_medium=cpc&x=1'
                  when 2 then url || '&utm_medium=email' when 3 then url || '?growth'
                  when 4 then url || '&utm_source=list' else url end as url,
