@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from leadgauge.llm.shared import ship_package  # noqa: E402
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory) -> SparkSession:
+    session = (
+        SparkSession.builder.master("local[4]")
+        .appName("llm-tests")
+        .config("spark.driver.memory", "4g")
+        .config("spark.driver.host", "127.0.0.1")
+        .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
+    return session
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Documents from (doc_id, text) or (doc_id, text, source), with a column whose name operators use themselves."""
+
+    def make(rows, clash: str | None = None):
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1] or "")) for r in rows]
+        df = spark.createDataFrame(full, DOCUMENT)
+        return df if clash is None else df.withColumn(clash, df["doc_id"])
+
+    return make
+
+
+#: Nulls in id, text and source, an empty and a blank text, repeated rows and ids, a very long word, letters of many bytes.
+ODD = [
+    (1, "plain words here and some more"),
+    (None, "plain words here and some more"),
+    (2, None),
+    (3, ""),
+    (4, " \t\n "),
+    (5, "same row"),
+    (5, "same row"),
+    (5, "other text of the same id"),
+    (6, "x" * 200_000),
+    (7, "é𝄞ß " * 300, None),
+]
