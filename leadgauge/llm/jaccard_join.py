@@ -188,12 +188,13 @@ def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(index, "signature long, node long")
 
 
-VERIFIED = "a long, b long, linked boolean, size long, lacks long, adds long, differences array<long>"
+VERIFIED = "a long, b long, linked boolean, size int, lacks int, adds int, differences array<int>"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, with_differences: bool) -> DataFrame:
     """The candidate pairs (a, b) on whole texts: do they link; the hub's size, how many of its shingles a lacks, how
-    many others it adds; and, if asked for, hashes of those that it adds and lacks."""
+    many others it adds; and, if asked for, 32-bit hashes of those that it adds and lacks. Where these collide, more pairs are
+    verified, never fewer."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, dtype=np.uint64)
@@ -206,14 +207,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, with
                     continue
                 common = len(np.intersect1d(hub, shingles, assume_unique=True))
                 linked = 100 * common >= percent * (len(hub) + len(shingles) - common)
-                differences = np.zeros(0, dtype=np.int64)
+                differences = np.zeros(0, dtype=np.int32)
                 if with_differences:
                     added = np.setdiff1d(shingles, hub, assume_unique=True)
                     lacking = np.setdiff1d(hub, shingles, assume_unique=True)
-                    differences = np.concatenate([mixed(added), mixed(~lacking)]).view(np.int64)
+                    hashes = np.concatenate([mixed(added), mixed(~lacking)])
+                    differences = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows.append((a, b, linked, len(hub), len(hub) - common, len(shingles) - common, differences))
             columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
             names = ["a", "b", "linked", "size", "lacks", "adds", "differences"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -228,29 +230,31 @@ def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> D
     (t (size + adds_x + adds_y) - (size - lacks_x - lacks_y)) / (1 + t) of their differences. If x does not link with the hub,
     that is at least lacks_x + t adds_x - (1 - t) size, for what they share is at most what y has; and
     more than (lacks_y + t adds_y) / (1 + t). With the differences of a hub in one order, rare ones first, each set leaves out
-    its last ones, one fewer than it must share: two sets that can link still share one. Its places in both
-    orders tell how many more they can share at most.
+    its last ones, one fewer than it must share: two sets that can link still share one. What is
+    behind it in both orders tells how many more they can share at most.
     """
     p = percent
+    # Most differences are one set's own. They come first in its order, and only their number matters.
+    held = tested.select("b", "a", F.explode("differences").alias("d"))
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy("b", "d"))).filter("n > 1")
+    last = F.row_number().over(Window.partitionBy("b", "a").orderBy(F.desc("n"), F.desc("d")))
+    held = held.withColumn("behind", last - 1).drop("n")
     unlinked = F.ceil((100 * F.col("lacks") + p * F.col("adds") - (100 - p) * F.col("size")) / 100)
     with_linked = F.floor((100 * F.col("lacks") + p * F.col("adds")) / (100 + p)) + 1
     least = F.greatest(F.lit(1), F.when(F.col("linked"), with_linked).otherwise(unlinked))
-    rows = tested.withColumn("all", F.size("differences")).withColumn("prefix", F.col("all") - least + 1)
-    rows = rows.select("a", "b", "linked", "size", "lacks", "adds", "all", "prefix", F.explode("differences").alias("d"))
-    counts = rows.groupBy("b", "d").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("b", "a").orderBy("n", "d")
-    ranked = rows.join(counts, ["b", "d"]).withColumn("place", F.row_number().over(order))
-    ranked = ranked.filter((F.col("place") <= F.col("prefix")) & (F.col("n") > 1)).drop("n", "prefix")
+    sets = tested.select("b", "a", "linked", "size", "lacks", "adds", least.alias("least"))
+    # A set leaves out its last ones, one fewer than it must share.
+    ranked = held.join(sets, ["b", "a"]).filter(F.col("behind") >= F.col("least") - 1).drop("least")
     ranked = ranked.join(roots.withColumnRenamed("node", "a"), "a", "left")
     ranked = stored(ranked.withColumn("root", F.coalesce("root", "a")), "differences")
     several = ranked.groupBy("b", "d").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     ranked = ranked.join(several.filter("low <> high").select("b", "d"), ["b", "d"], "left_semi")
     x, y = ranked.filter("not linked").alias("x"), ranked.alias("y")
     met = (F.col("x.b") == F.col("y.b")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
-    share = p * (F.col("x.size") + F.col("x.adds") + F.col("y.adds")) - 100 * (
+    share = p * (F.col("x.size") + F.col("x.adds") + F.col("y.adds")).cast("long") - 100 * (
         F.col("x.size") - F.col("x.lacks") - F.col("y.lacks")
     )
-    most = 1 + F.least(F.col("x.all") - F.col("x.place"), F.col("y.all") - F.col("y.place"))
+    most = 1 + F.least("x.behind", "y.behind")
     pairs = x.join(y, met & (share <= (100 + p) * most))
     return pairs.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
 
