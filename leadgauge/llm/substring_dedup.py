@@ -8,9 +8,9 @@ and their centres are the least tokens of the stretches of just that length.
 Texts whose windows share a least hash are paired at one of them, the hub. For a pair, the windows are joined as intervals:
 stretches covered by windows of enough hash functions are candidates. They are verified on the whole texts: a
 passage is kept where every stretch of `length` words has so many of its shingles in the other text's stretch that their
-similarity can reach the threshold, and where the similarity of both passages does reach it. Windows that are in no passage
-after that are paired again among those that also share the words left of the centre, then those right of it, and then
-with further hubs.
+similarity can reach the threshold, and where the similarity of both passages does reach it. Windows are paired first among
+those that also share the words left of the centre, then those right of it, which leaves out short common phrases; windows
+in no passage after that are paired by the least hash alone, if enough functions do.
 
 Result: one row for every document with its passages and a class: documents that are joined by shared passages, numbered by the
 smallest id. Equal texts are one node, so groups of copies cost one node each; all their words are repeated if they are
@@ -37,8 +37,9 @@ HASHES = 4
 ENOUGH = 2
 #: Texts a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
-#: What windows must share to be paired, round by round: the least hash, the words to its left, to its right.
-ROUNDS = (("hash",), ("hash", "before"), ("hash", "after"), ("hash",))
+#: What windows must share to be paired, round by round, and from how many hash functions a pair needs them. An equal
+#: passage reaches far enough to the left or to the right of its least token; edited ones may only share that token.
+ROUNDS = ((("hash", "before"), 1), (("hash", "after"), 1), (("hash",), ENOUGH))
 
 WINDOWS = "hash long, node long, function int, l int, c int, r int, before int, after int"
 
@@ -283,16 +284,19 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return numbered.groupBy("node", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def _pairs(open_windows: DataFrame, shared: tuple[str, ...], turn: int) -> DataFrame:
+def _pairs(open_windows: DataFrame, shared: tuple[str, ...], functions: int) -> DataFrame:
     """(a, b, seeds): the windows' texts paired with one hub for each value of the shared columns."""
-    place = F.struct("node", "l", "c", "r")
-    hub = F.min(place) if turn == 0 else F.max_by(place, F.xxhash64("node", F.lit(turn)))
+    hub = F.min(F.struct("node", "l", "c", "r"))
     hubs = open_windows.groupBy(*shared).agg(hub.alias("hub"), F.min("node").alias("x"), F.max("node").alias("y"))
     hubs = hubs.filter("x <> y").select(*shared, "hub")
     met = open_windows.join(hubs, list(shared)).filter(F.col("node") != F.col("hub.node"))
     seed = F.array("function", "l", "c", "r", "hub.l", "hub.c", "hub.r")
     seeds = F.flatten(F.collect_set(seed)).alias("seeds")  # as many as one text has windows
-    return met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(seeds)
+    pairs = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    if functions > 1:
+        pairs = pairs.agg(seeds, F.count_distinct("function").alias("functions"))
+        return pairs.filter(F.col("functions") >= functions).drop("functions")
+    return pairs.agg(seeds)
 
 
 def repeated_passages(
@@ -312,8 +316,8 @@ def repeated_passages(
     )
     windows = stored(windows.filter("x <> y").drop("x", "y"), "windows")
     passages, tested, open_windows = None, None, windows
-    for turn, shared in enumerate(ROUNDS):
-        pairs = _pairs(open_windows, shared, turn)
+    for turn, (shared, functions) in enumerate(ROUNDS):
+        pairs = _pairs(open_windows, shared, functions)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "window-pairs")
