@@ -43,18 +43,3 @@ def documents(spark):
         return df if clash is None else df.withColumn(clash, df["doc_id"])
 
     return make
-
-
-#: Nulls in id, text and source, an empty and a blank text, repeated rows and ids, a very long word, letters of many bytes.
-ODD = [
-    (1, "plain words here and some more"),
-    (None, "plain words here and some more"),
-    (2, None),
-    (3, ""),
-    (4, " \t\n "),
-    (5, "same row"),
-    (5, "same row"),
-    (5, "other text of the same id"),
-    (6, "x" * 200_000),
-    (7, "é𝄞ß " * 300, None),
-]

@@ -8,9 +8,9 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 import corpus_pipeline
