@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from odd_rows import ODD
+from odd_rows import ODD, documents, shipped  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
