@@ -11,13 +11,23 @@ from leadgauge.llm.shared import small_or_shuffled, stored
 HUB_SHARE = 256
 
 
+def holders_of(rows: DataFrame) -> DataFrame:
+    """(node, key, times) of the nodes of rows (node, key): one key for each node, and how many rows have it."""
+    times = rows.groupBy("node", "key").agg(F.count("*").alias("times"))
+    return times.groupBy("node").agg(F.min(F.struct("key", "times")).alias("first")).select("node", "first.*")
+
+
 def texts_of_nodes(pairs: DataFrame, holders: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of the pairs (a, b). `holders` has (node, key) with one key for each node, `keyed`
-    (key, text); rows with equal keys have equal texts."""
+    """(node, text) of the nodes of the pairs (a, b). `holders` is that of holders_of, `keyed` has (key, text); rows with
+    equal keys have equal texts.
+
+    Only rows that share their key with others are made distinct, so other texts are not shuffled for it.
+    """
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = stored(holders.join(nodes, "node", "left_semi"), "needed")
     held = keyed.select("key", "text").join(small_or_shuffled(needed, needed.count()), "key")
-    return stored(held.dropDuplicates(["node"]).select("node", "text"), "texts")
+    once = held.filter("times = 1").select("node", "text")
+    return once.unionByName(held.filter("times > 1").dropDuplicates(["node"]).select("node", "text"))
 
 
 def at_hubs(pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:

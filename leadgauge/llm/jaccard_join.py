@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
-from leadgauge.llm.hub_join import at_hubs, texts_of_nodes
+from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
 from leadgauge.llm.shared import small_or_shuffled, stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
@@ -307,7 +307,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         {"hub": F.min("node").over(spread), "last": F.max("node").over(spread)}
     )
     buckets = stored(shared.filter("hub <> last").drop("last"), "buckets")
-    holders = sets.filter("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    holders = holders_of(sets.filter("node is not null"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         return texts_of_nodes(pairs, holders, keyed)

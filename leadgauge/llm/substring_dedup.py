@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
-from leadgauge.llm.hub_join import at_hubs, texts_of_nodes
+from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
 from leadgauge.llm.shared import stored, text_chunks, text_or_empty
 
 HASHES = 4
@@ -307,9 +307,8 @@ def repeated_passages(
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("node"), "text")
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = stored(keyed.select("doc_id", "key", "node", n_words.alias("n_words")), "texts-described")
-    holders = rows.groupBy("node").agg(
-        F.min("key").alias("key"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")
-    )
+    copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("n_words").alias("n_words"))
+    holders = holders_of(rows)
     spread = Window.partitionBy("hash")
     windows = _indexed(keyed.select("node", "text"), words, length, hashes).withColumns(
         {"x": F.min("node").over(spread), "y": F.max("node").over(spread)}
@@ -323,7 +322,7 @@ def repeated_passages(
         pairs = stored(pairs, "window-pairs")
         if pairs.isEmpty():
             continue
-        texts = texts_of_nodes(pairs, holders.select("node", "key"), keyed)
+        texts = texts_of_nodes(pairs, holders, keyed)
         result = stored(_verified(pairs, texts, words, length, percent, hashes, enough), "passages")
         passages = result if passages is None else passages.unionByName(result)
         both = pairs.select("a", "b")
@@ -332,7 +331,7 @@ def repeated_passages(
             spans = merged_spans(passages.select("node", "start", "end"))
             within = (F.col("w.node") == F.col("s.node")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end"))
             open_windows = stored(windows.alias("w").join(spans.alias("s"), within, "left_anti"), "open-windows")
-    whole = holders.filter((F.col("copies") > 1) & (F.col("n_words") >= length))
+    whole = copies.filter((F.col("copies") > 1) & (F.col("n_words") >= length))
     spans = whole.select("node", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
     roots = None
     if passages is not None:
