@@ -286,10 +286,9 @@ def merged_spans(spans: DataFrame) -> DataFrame:
 
 def _pairs(open_windows: DataFrame, shared: tuple[str, ...], functions: int) -> DataFrame:
     """(a, b, seeds): the windows' texts paired with one hub for each value of the shared columns."""
-    hub = F.min(F.struct("node", "l", "c", "r"))
-    hubs = open_windows.groupBy(*shared).agg(hub.alias("hub"), F.min("node").alias("x"), F.max("node").alias("y"))
-    hubs = hubs.filter("x <> y").select(*shared, "hub")
-    met = open_windows.join(hubs, list(shared)).filter(F.col("node") != F.col("hub.node"))
+    group = Window.partitionBy(*shared)  # rows are narrow, and a group's hub is all that is kept of it
+    met = open_windows.withColumn("hub", F.min(F.struct("node", "l", "c", "r")).over(group))
+    met = met.filter(F.col("node") != F.col("hub.node"))
     seed = F.array("function", "l", "c", "r", "hub.l", "hub.c", "hub.r")
     seeds = F.flatten(F.collect_set(seed)).alias("seeds")  # as many as one text has windows
     pairs = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"))
