@@ -143,8 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = sample.select("doc_id", "label", "text").mapInArrow(described, f"doc_id {kind}, label int, columns binary")
     taken = table.select(F.xxhash64("doc_id", "columns").alias("at"), "label", "columns").orderBy("at").toArrow()
-    columns = [np.frombuffer(x, dtype=np.uint32) for x in taken.column("columns").to_pylist()]
-    values = [ratio[c] / max(1.0, np.sqrt(len(c))) for c in columns]
+    # Views of the received bytes, and values of single precision: the driver holds the sample once.
+    columns = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in taken.column("columns")]
+    narrow = ratio.astype(np.float32)
+    values = [narrow[c] / np.float32(max(1.0, np.sqrt(len(c)))) for c in columns]
     y = taken.column("label").to_numpy()
     for_curve = np.arange(len(y)) % CURVE_SHARE == 0
     for_model = np.flatnonzero(~for_curve)
