@@ -5,12 +5,17 @@ more words that have the same least token hash form one compact window (left, ce
 and end between centre and right. Windows are the nodes of a Cartesian tree over the hashes; only those wide enough matter,
 and their centres are the least tokens of the stretches of just that length.
 
-Texts whose windows share a least hash are paired at one of them, the hub. For a pair, the windows are joined as intervals:
-stretches covered by windows of enough hash functions are candidates. They are verified on the whole texts: a
+Equal passages are found without hubs: each stretch of `length` words lies in one window of the first function, so the
+stretches of those windows whose least hash other texts share are hashed as wholes and grouped. Every text of a group
+holds the stretch, whatever else they share.
+
+Edited passages are found by two functions: two windows of different functions that cover one stretch are one key, so all
+texts of a key agree in both functions with each other, not only with a hub. Each text of a key is verified against the key's
+hub; while a key's texts are not all in passages and in one class, they are verified against more hubs, those with most links
+first and four times as many each time, at last all pairs. A pair is verified once, on the whole texts with all their
+windows as intervals: stretches covered by windows of enough hash functions are candidates, and a
 passage is kept where every stretch of `length` words has so many of its shingles in the other text's stretch that their
-similarity can reach the threshold, and where the similarity of both passages does reach it. Windows are paired first among
-those that also share the words left of the centre, then those right of it, which leaves out short common phrases; windows
-in no passage after that are paired by the least hash alone, if enough functions do.
+similarity can reach the threshold, and where the similarity of both passages does reach it.
 
 Result: one row for every document with its passages and a class: documents that are joined by shared passages, numbered by the
 smallest id. Equal texts are one node, so groups of copies cost one node each; all their words are repeated if they are
@@ -20,7 +25,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +42,12 @@ HASHES = 4
 ENOUGH = 2
 #: Texts a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
-#: What windows must share to be paired, round by round, and from how many hash functions a pair needs them. An equal
-#: passage reaches far enough to the left or to the right of its least token; edited ones may only share that token.
-ROUNDS = ((("hash", "before"), 1), (("hash", "after"), 1), (("hash",), ENOUGH))
+#: By how much the hubs of a key grow from round to round.
+MORE_HUBS = 4
 
-WINDOWS = "hash long, node long, function int, l int, c int, r int, before int, after int"
+WINDOWS = "hash long, node long, function int, l int, c int, r int"
+#: Stretches (pair 0: window and stretch hash, start) and function pairs (pair 1: both least hashes, both centres).
+KEYS = "pair int, key long, key2 long, node long, p int, q int"
 
 
 def _running(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -84,7 +90,7 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
 
 def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame:
     """The compact windows of every text that a task has not indexed lately. `docs` has (node, text)."""
-    width, context = length - words + 1, (length - words + 1) // 2
+    width = length - words + 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = [mixed_int(j + 1) for j in range(hashes)]
@@ -100,18 +106,11 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    own = word_hash[start:end]
-                    tokens = shingle_hashes(own, words)
-                    sums = np.concatenate(([np.uint64(0)], np.cumsum(_placed(own), dtype=np.uint64)))
-                    inverse = _inverse_powers(len(own))
+                    tokens = shingle_hashes(word_hash[start:end], words)
                     for j, salt in enumerate(salts):
                         values = mixed(tokens ^ salt)
                         left, centre, right = compact_windows(values, width)
-                        before_start = np.maximum(centre - context, 0)
-                        after_end = np.minimum(centre + words + context, len(own))
-                        before = (sums[centre + words] - sums[before_start]) * inverse[before_start]
-                        after = (sums[after_end] - sums[centre]) * inverse[centre]
-                        parts.append((values[centre], node, j, left, centre, right, _short(before), _short(after)))
+                        parts.append((values[centre], node, j, left, centre, right))
                 if parts:
                     yield _batch(parts)
 
@@ -121,33 +120,75 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
         columns.append(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes))
         columns.append(np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes))
         columns += [np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (3, 4, 5)]
-        columns += [np.concatenate([p[i] for p in parts]) for i in (6, 7)]
-        names = [field.strip().split(" ")[0] for field in WINDOWS.split(",")]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(WINDOWS))
 
     return docs.mapInArrow(index, WINDOWS)
 
 
-_STEP = 0xD6E8FEB86659FD93
-_STEP_INVERSE = pow(_STEP, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    powers = np.full(n + 1, np.uint64(base))
-    powers[0] = 1
-    return np.cumprod(powers, dtype=np.uint64)
-
-
-def _placed(word_hash: np.ndarray) -> np.ndarray:
-    return word_hash * _powers(_STEP, len(word_hash))[:-1]
-
-
-def _inverse_powers(n: int) -> np.ndarray:
-    return _powers(_STEP_INVERSE, n)
-
+def _names(schema: str) -> list[str]:
+    return [field.strip().split(" ")[0] for field in schema.split(",")]
+
+
+def stretch_keys(
+    word_hash: np.ndarray, tokens: np.ndarray, windows: np.ndarray, width: int, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least hash, hash of the stretch, start) of the stretches of `length` words in windows (hash, function, l, c, r) of
+    the first function. A window stands for a run of equal tokens from its centre on, so stretches may begin in that run."""
+    own = windows[windows[:, 1] == 0]
+    run_ends = np.append(np.flatnonzero(tokens[1:] != tokens[:-1]), len(tokens) - 1)
+    latest = run_ends[np.searchsorted(run_ends, own[:, 3])]
+    low = np.maximum(own[:, 2], own[:, 3] - width + 1)
+    high = np.minimum(latest, own[:, 4] - width + 1)
+    sizes = np.maximum(high - low + 1, 0)
+    start = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    whole = shingle_hashes(word_hash, length)
+    return np.repeat(own[:, 0], sizes), whole[start].view(np.int64), start
+
+
+def function_pairs(windows: np.ndarray, width: int) -> list[np.ndarray]:
+    """(least hash, least hash, centre, centre) of every two windows (hash, function, l, c, r) of different functions that
+    hold the least tokens of one stretch of `width` tokens."""
+    order = windows[np.lexsort((windows[:, 3], windows[:, 1]))]
+    found = [np.zeros((0, 4), dtype=np.int64)]
+    functions = [order[order[:, 1] == j] for j in np.unique(order[:, 1])]
+    for x, one in enumerate(functions):
+        for other in functions[x + 1 :]:
+            first = np.searchsorted(other[:, 3], one[:, 3] - width + 1)
+            sizes = np.searchsorted(other[:, 3], one[:, 3] + width) - first
+            left = one[np.repeat(np.arange(len(one)), sizes)]
+            right = other[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            earliest = np.maximum(np.maximum(left[:, 2], right[:, 2]), np.maximum(left[:, 3], right[:, 3]) - width + 1)
+            latest = np.minimum(np.minimum(left[:, 3], right[:, 3]), np.minimum(left[:, 4], right[:, 4]) - width + 1)
+            both = earliest <= latest
+            found.append(np.stack([left[both, 0], right[both, 0], left[both, 3], right[both, 3]], axis=1))
+    return list(np.concatenate(found).T)
+
+
+def _keyed(texts: DataFrame, words: int, length: int) -> DataFrame:
+    """KEYS of the rows (node, text, windows), windows being arrays of (hash, function, l, c, r)."""
+    width = length - words + 1
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    return (mixed(hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, held = batch.column(0).to_pylist(), batch.column(2)
+            for rows, data, offsets in text_chunks(batch.column(1)):
+                word_hash, first, _, _ = word_hashes(data, offsets)
+                parts = []
+                for row, start, end in zip(range(rows.start, rows.stop), first[:-1], first[1:]):
+                    windows = held[row].values.to_numpy().reshape(-1, 5)
+                    tokens = shingle_hashes(word_hash[start:end], words)
+                    hashes, stretches, places = stretch_keys(word_hash[start:end], tokens, windows, width, length)
+                    parts.append((0, nodes[row], hashes, stretches, places, places))
+                    parts.append((1, nodes[row], *function_pairs(windows, width)))
+                sizes = [len(p[2]) for p in parts]
+                columns = [np.repeat(np.array([p[0] for p in parts], dtype=np.int32), sizes)]
+                columns += [np.concatenate([p[i] for p in parts]) for i in (2, 3)]
+                columns.append(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes))
+                columns += [np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (4, 5)]
+                if sum(sizes):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(KEYS))
+
+    return texts.mapInArrow(keys, KEYS)
 
 
 def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -214,17 +255,24 @@ def shared_passages(
     return found
 
 
-def shared_windows(mine: np.ndarray, hub: np.ndarray, width: int, hashes: int) -> np.ndarray:
+def hashed_windows(tokens: np.ndarray, width: int, hashes: int) -> list[tuple[np.ndarray, ...]]:
+    """(least hash, left, centre, right) of the compact windows of each function."""
+    found = []
+    for j in range(hashes):
+        values = mixed(tokens ^ mixed_int(j + 1))
+        left, centre, right = compact_windows(values, width)
+        found.append((values[centre], left, centre, right))
+    return found
+
+
+def shared_windows(mine: list[tuple[np.ndarray, ...]], hub: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """The windows of two texts with equal least hashes, one of the hub's for each of the other's, as shared_passages
     takes them."""
     found = []
-    for j in range(hashes):
-        sides = []
-        for tokens in (mine, hub):
-            values = mixed(tokens ^ mixed_int(j + 1))
-            sides.append((values, *compact_windows(values, width)))
-        (values, left, centre, right), (others, low, middle, high) = sides
-        _, own, theirs = np.intersect1d(values[centre], others[middle], return_indices=True)
+    for j, ((values, left, centre, right), (others, low, middle, high)) in enumerate(zip(mine, hub)):
+        distinct, first = np.unique(others, return_index=True)
+        own = np.flatnonzero(np.isin(values, distinct))
+        theirs = first[np.searchsorted(distinct, values[own])]
         function = np.full(len(own), j)
         found.append(np.stack([function, left[own], centre[own], right[own], low[theirs], middle[theirs], high[theirs]], axis=1))
     return np.concatenate(found)
@@ -244,7 +292,7 @@ def _verified(
                 yield shingle_hashes(hashes[start:end], words)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_id, held = np.zeros(0, np.uint64), None, np.zeros(0, bool)
+        hub, hub_id, held, hub_windows = np.zeros(0, np.uint64), None, np.zeros(0, bool), []
 
         def hub_rows() -> list[tuple]:
             return [(None, hub_id, hub_id, s, e + words - 1) for s, e in _spans(held)] if hub_id is not None else []
@@ -252,14 +300,13 @@ def _verified(
         for batch in batches:
             rows: list[tuple] = []
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for (b, a), tokens, seeds in zip(ids, tokens_of(batch.column(2)), batch.column(3)):
+            for (b, a), tokens in zip(ids, tokens_of(batch.column(2))):
                 if a is None:
                     rows += hub_rows()
                     hub, hub_id, held = tokens, b, np.zeros(len(tokens), bool)
+                    hub_windows = hashed_windows(hub, width, hashes)
                     continue
-                windows = seeds.values.to_numpy().reshape(-1, 7)
-                if len(np.unique(windows[:, 0])) < enough:  # the others were paired with other hubs
-                    windows = shared_windows(tokens, hub, width, hashes)
+                windows = shared_windows(hashed_windows(tokens, width, hashes), hub_windows)
                 for s, e, c, d in shared_passages(tokens, hub, windows, width, percent, enough):
                     rows.append((a, b, a, s, e + words - 1))
                     held[c:d] = True
@@ -272,7 +319,7 @@ def _verified(
         arrays = [pa.array(column, pa.int64()) for column in zip(*rows)]
         return pa.RecordBatch.from_arrays(arrays, ["a", "b", "node", "start", "end"])
 
-    return at_hubs(pairs, texts, ("seeds",)).mapInArrow(verify, "a long, b long, node long, start long, end long")
+    return at_hubs(pairs, texts).mapInArrow(verify, "a long, b long, node long, start long, end long")
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -284,18 +331,67 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return numbered.groupBy("node", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def _pairs(open_windows: DataFrame, shared: tuple[str, ...], functions: int) -> DataFrame:
-    """(a, b, seeds): the windows' texts paired with one hub for each value of the shared columns."""
-    group = Window.partitionBy(*shared)  # rows are narrow, and a group's hub is all that is kept of it
-    met = open_windows.withColumn("hub", F.min(F.struct("node", "l", "c", "r")).over(group))
-    met = met.filter(F.col("node") != F.col("hub.node"))
-    seed = F.array("function", "l", "c", "r", "hub.l", "hub.c", "hub.r")
-    seeds = F.flatten(F.collect_set(seed)).alias("seeds")  # as many as one text has windows
-    pairs = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-    if functions > 1:
-        pairs = pairs.agg(seeds, F.count_distinct("function").alias("functions"))
-        return pairs.filter(F.col("functions") >= functions).drop("functions")
-    return pairs.agg(seeds)
+def _equal_stretches(keys: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (node, start, end) of the stretches that several texts hold, and edges (a, b) to the least text of each."""
+    group = Window.partitionBy("key", "key2")  # rows are narrow, and two nodes are all that is kept of a group
+    held = keys.filter("pair = 0").select("key", "key2", "node", "p")
+    held = held.withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group)}).filter("least <> most")
+    start = F.col("p").cast("long")
+    held = stored(held.select("node", "least", start.alias("start"), (start + length).alias("end")), "stretches")
+    edges = held.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    return stored(merged_spans(held.select("node", "start", "end")), "stretch-spans"), stored(edges, "stretch-edges")
+
+
+def _unsettled(items: DataFrame, passages: DataFrame, edges: DataFrame) -> DataFrame:
+    """The items (group, node, p, q, ...) of the groups whose texts are not all in passages there and in one class."""
+    spans = merged_spans(passages.select("node", "start", "end"))
+    within = (F.col("w.node") == F.col("s.node")) & F.col("p").between(F.col("start"), F.col("end") - 1)
+    within = within & F.col("q").between(F.col("start"), F.col("end") - 1)
+    rooted = items.alias("w").join(spans.alias("s"), within, "left").select("w.group", "w.node", "p", "q", F.col("start").isNotNull().alias("covered"))
+    rooted = rooted.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = Window.partitionBy("group")
+    rooted = rooted.withColumns({"x": F.min("root").over(group), "y": F.max("root").over(group), "all": F.min("covered").over(group)})
+    return rooted.filter("x <> y or not all").select("group", "node", "p", "q", "covered", "root")
+
+
+def _edited_passages(
+    keys: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame | None:
+    """Verified passages (a, b, node, start, end) of the texts that share a pair of functions' least hashes."""
+    group = Window.partitionBy("group")
+    items = keys.filter("pair = 1").select(F.xxhash64("key", "key2").alias("group"), "node", "p", "q")
+    items = items.withColumns({"hub": F.min("node").over(group), "last": F.max("node").over(group)}).filter("hub <> last")
+    items = stored(items, "function-pairs")
+    pairs = items.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    passages, tested, links, hubs = None, None, None, 1
+    while True:
+        pairs = stored(pairs, "window-pairs")
+        if not pairs.isEmpty():
+            found = stored(verified(pairs, texts_of(pairs)), "passages")
+            passages = found if passages is None else passages.unionByName(found)
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = passages.filter("a is not null").select("a", "b").distinct()
+            if hubs == 1 or not found.isEmpty():
+                items = _unsettled(items, passages, edges.unionByName(links))
+        if tested is None:
+            return None
+        # All pairs are verified where no more than one text was no hub.
+        sizes = items.groupBy("group").agg(F.count_distinct("node").alias("n")).filter(F.col("n") > hubs + 1)
+        items = stored(items.join(sizes.select("group"), "group", "left_semi"), "open-function-pairs")
+        if items.isEmpty():
+            return passages
+        hubs *= MORE_HUBS
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+        members = items.groupBy("group", "node").agg(F.min("covered").alias("covered"), F.first("root").alias("root"))
+        members = members.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
+        order = group.orderBy(F.desc_nulls_last("links"), "node")
+        ranked = members.withColumn("rank", F.row_number().over(order))
+        other = ranked.filter(F.col("rank") <= hubs).select(
+            "group", *(F.col(c).alias(f"hub_{c}") for c in ("node", "rank", "covered", "root"))
+        )
+        met = ranked.join(other, "group").filter("rank > hub_rank and not (covered and hub_covered and root = hub_root)")
+        a, b = F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")
+        pairs = met.select(a, b).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def repeated_passages(
@@ -312,36 +408,33 @@ def repeated_passages(
     windows = _indexed(keyed.select("node", "text"), words, length, hashes).withColumns(
         {"x": F.min("node").over(spread), "y": F.max("node").over(spread)}
     )
-    windows = stored(windows.filter("x <> y").drop("x", "y"), "windows")
-    passages, tested, open_windows = None, None, windows
-    for turn, (shared, functions) in enumerate(ROUNDS):
-        pairs = _pairs(open_windows, shared, functions)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "window-pairs")
-        if pairs.isEmpty():
-            continue
-        texts = texts_of_nodes(pairs, holders, keyed)
-        result = stored(_verified(pairs, texts, words, length, percent, hashes, enough), "passages")
-        passages = result if passages is None else passages.unionByName(result)
-        both = pairs.select("a", "b")
-        tested = both if tested is None else tested.unionByName(both)
-        if turn + 1 < len(ROUNDS):
-            spans = merged_spans(passages.select("node", "start", "end"))
-            within = (F.col("w.node") == F.col("s.node")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end"))
-            open_windows = stored(windows.alias("w").join(spans.alias("s"), within, "left_anti"), "open-windows")
+    windows = windows.filter("x <> y").groupBy("node")  # a text's windows are fewer than its words
+    fields = (F.col(c).cast("long") for c in ("hash", "function", "l", "c", "r"))
+    windows = stored(windows.agg(F.flatten(F.collect_set(F.array(*fields))).alias("windows")), "windows")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        return texts_of_nodes(pairs, holders, keyed)
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return _verified(pairs, texts, words, length, percent, hashes, enough)
+
+    texts = texts_of(windows.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    keys = stored(_keyed(texts.join(windows, "node").select("node", "text", "windows"), words, length), "keys")
+    equal, edges = _equal_stretches(keys, length)
+    passages = _edited_passages(keys, edges, texts_of, verified)
     whole = copies.filter((F.col("copies") > 1) & (F.col("n_words") >= length))
     spans = whole.select("node", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
-    roots = None
+    spans = spans.unionByName(equal)
     if passages is not None:
         spans = spans.unionByName(passages.select("node", "start", "end"))
-        roots = components(passages.filter("a is not null").select("a", "b"))
+        edges = edges.unionByName(passages.filter("a is not null").select("a", "b"))
+    roots = components(edges)
     spans = merged_spans(spans)
     listed = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("passages")  # disjoint spans of one text
     found = spans.groupBy("node").agg(listed, F.sum(F.col("end") - F.col("start")).alias("repeated_words"))
     result = rows.join(found, "node", "left")
     long_enough = F.when(F.col("n_words") >= length, F.col("node"))
-    result = result.join(roots, "node", "left") if roots is not None else result.withColumn("root", F.lit(None).cast("long"))
+    result = result.join(roots, "node", "left")
     result = result.withColumn("root", F.coalesce("root", long_enough))
     smallest = result.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
     result = result.join(smallest, "root", "left")

@@ -129,6 +129,65 @@ def test_repeated_passages(documents):
     assert substring_dedup.repeated_passages(documents([])).count() == 0
 
 
+def test_equal_passages_under_frequent_shorter_runs(documents):
+    """Every stretch of 50 words that two texts hold is found, whoever else holds most of it."""
+    generator = random.Random(11)
+    words = [f"v{n}" for n in range(3000)]
+    run = generator.choices(words, k=46)
+
+    def text(inner: list[str]) -> list[str]:
+        return generator.choices(words, k=40) + inner + generator.choices(words, k=40)
+
+    texts = [text(run) for _ in range(25)]
+    for _ in range(8):
+        inner = generator.choices(words, k=2) + run + generator.choices(words, k=3)
+        texts += [text(inner), text(inner)]
+    texts += [["again"] * 70 + generator.choices(words, k=30), generator.choices(words, k=30) + ["again"] * 60]
+    holders: dict = {}
+    for n, own in enumerate(texts):
+        for at in range(len(own) - 49):
+            holders.setdefault(tuple(own[at : at + 50]), []).append((n, at))
+    expected: dict = {n: set() for n in range(len(texts))}
+    for held in holders.values():
+        if len({n for n, _ in held}) > 1:
+            for n, at in held:
+                expected[n].update(range(at, at + 50))
+    found = substring_dedup.repeated_passages(documents([(n, " ".join(own)) for n, own in enumerate(texts)])).collect()
+    got = {r.doc_id: {w for p in r.passages for w in range(p.start, p.end)} for r in found}
+    assert all(got[n] >= expected[n] for n in expected)
+    classes = {r.doc_id: r.class_id for r in found}
+    assert all(classes[n] == classes[held[0][0]] for held in holders.values() for n, _ in held)
+
+
+def test_edited_passages_are_linked_whichever_is_the_hub(documents):
+    """Variants link with their original but not with each other."""
+    generator = random.Random(12)
+    words = [f"v{n}" for n in range(3000)]
+    original = generator.choices(words, k=60)
+    texts = [original]
+    for at in range(10, 50, 2):
+        texts.append([*original[:at], f"new{at}", *original[at + 1 :]])
+    rows = [(n, " ".join(generator.choices(words, k=30) + t + generator.choices(words, k=30))) for n, t in enumerate(texts)]
+    found = substring_dedup.repeated_passages(documents(rows)).collect()
+    linked = [r for r in found if r.class_id == 0 and r.repeated_words >= 50]
+    assert len(linked) >= 0.9 * len(rows)
+
+
+def test_every_shared_passage_of_two_texts_is_verified(documents):
+    generator = random.Random(13)
+    words = [f"v{n}" for n in range(3000)]
+    pairs = [(generator.choices(words, k=56), generator.choices(words, k=56)) for _ in range(6)]
+    rows = []
+    for one, other in pairs:
+        changed = [*other[:26], "changed", *other[27:]]
+        rows += [generator.choices(words, k=20) + one + generator.choices(words, k=30) + other for _ in range(2)]
+        rows[-1] = rows[-1][:-56] + changed
+        rows += [generator.choices(words, k=60) + other[:45] + generator.choices(words, k=9) for _ in range(3)]
+    found = substring_dedup.repeated_passages(documents([(n, " ".join(r)) for n, r in enumerate(rows)])).collect()
+    got = {r.doc_id: r.repeated_words for r in found}
+    assert sum(got[5 * n + k] >= 108 for n in range(6) for k in range(2)) >= 10
+
+
 @pytest.mark.parametrize("settings_", [{}, {"shard_rows": 40, "block_rows": 3}])
 def test_top_k(spark, settings_):
     generator = np.random.default_rng(3)
