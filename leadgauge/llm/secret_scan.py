@@ -2,8 +2,9 @@
 
 Fixed patterns give the base spans, leftmost and non-overlapping for each kind. The battery adds spans of kind `random`:
 
-* a candidate is a whole run of 20 or more of `A-Za-z0-9+/_=-` with a letter and a digit, padding aside; its encoding is
-  the smallest of the known alphabets that holds it;
+* a candidate is a whole run of 20 or more of `A-Za-z0-9+/_-` with a letter and a digit, padding aside; a name
+  before '=' is a run of its own. Its encoding is the smallest of the known alphabets that holds it; a run that mixes `+/`
+  with `_-` is tested by its whole pieces in either alphabet, which may overlap;
 * three tests ask whether its symbols look drawn at random from that alphabet: chi-squared uniformity, runs above and
   below the middle, and lag-one serial correlation. The smallest of the three p-values, corrected for three tests, is
   the candidate's;
@@ -33,9 +34,17 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
-)
+
+def _run(more: str) -> str:
+    """Whole runs of letters, digits and the symbols of `more`. A '=' before a run is no part of it, after it only as padding."""
+    symbols = f"A-Za-z0-9{more}"
+    mixed = f"(?=[A-Za-z{more}]*[0-9])(?=[0-9{more}]*[A-Za-z])"
+    return f"(?<![{symbols}]){mixed}[{symbols}]{{20,}}(?![{symbols}])(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+
+
+CANDIDATE = _run("+/_-")
+#: What a run is searched for if no alphabet holds all of it.
+PIECES = (_run("+/"), _run("_-"))
 #: Encodings by size: what a token is made of, and the order of its symbols.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -124,6 +133,22 @@ def _encoding(token: Column) -> Column:
     return found
 
 
+def candidates(text: Column) -> Column:
+    """The matches of CANDIDATE, those of mixed alphabets piece by piece."""
+
+    def pieces(x: Column) -> Column:
+        inside = F.concat(*(matches(x["value"], piece) for piece in PIECES))
+        moved = F.transform(
+            inside,
+            lambda p: F.struct(
+                (p["start"] + x["start"]).alias("start"), (p["end"] + x["start"]).alias("end"), p["value"].alias("value")
+            ),
+        )
+        return F.when(x["value"].rlike("[+/]") & x["value"].rlike("[_-]"), moved).otherwise(F.array(x))
+
+    return F.flatten(F.transform(matches(text, CANDIDATE), pieces))
+
+
 def tested(found: Column) -> Column:
     """Candidates with encoding, length band and p-value: array<struct<start, end, encoding, band, p>>."""
     coded = F.transform(
@@ -205,7 +230,7 @@ def _judged(x: Column) -> Column:
 
 def thresholds(text_rows: DataFrame, false_share: float) -> dict[tuple[int, int], float]:
     """The least p-value let through in each stratum. `text_rows` has one column, text; all its rows count."""
-    tests = text_rows.select(F.explode(tested(matches(F.col("text"), CANDIDATE))).alias("t"))
+    tests = text_rows.select(F.explode(tested(candidates(F.col("text")))).alias("t"))
     binned = F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int")
     counts = tests.groupBy(F.col("t.encoding").alias("encoding"), F.col("t.band").alias("band"), binned.alias("bin"))
     # At most one row for each alphabet, length band and bin.
@@ -244,7 +269,7 @@ def secret_spans(docs: DataFrame, false_share: float = 0.1) -> DataFrame:
             found = found | ((x["encoding"] == encoding) & (x["band"] == band) & (x["p"] >= p))
         return found
 
-    random = F.filter(tested(matches(text, CANDIDATE)), lets_through)
+    random = F.filter(tested(candidates(text)), lets_through)
     return rows.withColumn("spans", F.array_sort(F.concat("base", _spans(random, "random"))))
 
 

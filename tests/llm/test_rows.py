@@ -90,6 +90,20 @@ def test_random_tokens_are_told_from_structured_ones(documents):
     assert len(flagged - set(range(len(keys)))) <= 0.1 * len(flagged)
 
 
+def test_random_tokens_after_names_and_in_mixed_runs(documents):
+    generator = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    shapes = ["AWS_ACCESS_VALUE={}", "see https://h.example/a?sig={}&v=1", "Server=db;Pwd={};", "get /files/my-data/{} now", "v={}=="]
+    rows, keys = [], []
+    for n in range(300):
+        keys.append("".join(generator.choices(alphabet, k=39)) + "7")
+        rows.append((n, shapes[n % len(shapes)].format(keys[-1])))
+    found = secret_scan.secret_spans(documents(rows)).select("row.doc_id", "row.text", "spans").collect()
+    by_shape = Counter(r.doc_id % len(shapes) for r in found if any(keys[r.doc_id] in r.text[s.start : s.end] for s in r.spans))
+    assert all(by_shape[shape] > 0.8 * 60 for shape in range(len(shapes)))
+    assert not any(r.text[s.start : s.end].startswith(("AWS", "sig", "Pwd")) for r in found for s in r.spans if s.kind == "random")
+
+
 @pytest.fixture
 def benchmark(spark):
     generator = random.Random(1)
