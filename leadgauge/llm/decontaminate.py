@@ -1,6 +1,7 @@
 """Benchmark passages in documents, by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping windows; an item shorter than a window is one window. A stretch of text within k edits of a window
+Benchmark items are cut into overlapping windows, so close that every half of an item of 80 bytes or more, and every 79
+bytes of a longer one, hold a whole window; an item shorter than the shortest window is one window. A stretch of text within k edits of a window
 of w bytes shares at least w + 1 - q (k + 1) q-grams with it, all in a band of k + 1 diagonals (place in the text less
 place in the item). Three filters follow from that, each cheaper than the next: enough q-grams of any item near each other; enough
 of one window's in one of the overlapping diagonal bands; an alignment of the window inside that band with at most k
@@ -27,17 +28,23 @@ from leadgauge.llm.hashing import LOWER
 from leadgauge.llm.shared import text_chunks, text_or_empty
 
 Q = 8
-WINDOW = 100
-STEP = 50
-EDIT_SHARE = 0.06
+#: Most and least bytes of a window. Shorter ones would find everyday phrases.
+WINDOW = 64
+LEAST_WINDOW = 32
+#: Most and least bytes between the starts of an item's windows.
+STEP = 16
+LEAST_STEP = 8
+EDIT_SHARE = 0.1
+#: Bytes of text between windows found that still count as one place.
+GAP = 50
 #: Bytes of items in one block's index.
 INDEX_BYTES = 16 << 20
 SIEVE_BITS = 22
 
 
 def edit_budget(length: int) -> int:
-    """Edits allowed in a window: a share of its length, and few enough to need at least one shared q-gram."""
-    return max(0, min(int(length * EDIT_SHARE), (length - Q) // Q))
+    """Edits allowed in a window: a share of its length, and few enough to need Q + 1 shared q-grams."""
+    return max(0, min(int(length * EDIT_SHARE), (length - 2 * Q) // Q))
 
 
 def needed(length: int) -> int:
@@ -63,10 +70,9 @@ def windows(length: int) -> list[tuple[int, int]]:
     """Starts and lengths of an item's windows, the last one ending where the item does."""
     if length < Q:
         return []
-    if length <= WINDOW:
-        return [(0, length)]
-    starts = [*range(0, length - WINDOW, STEP), length - WINDOW]
-    return [(start, WINDOW) for start in starts]
+    width = min(length, max(LEAST_WINDOW, min(WINDOW, 3 * length // 8)))
+    step = max(LEAST_STEP, min(STEP, length // 2 - width + 1))
+    return [(start, width) for start in [*range(0, length - width, step), length - width]]
 
 
 @dataclass
@@ -161,7 +167,7 @@ class Index:
         spans.sort()
         first, last, edits = spans[0]
         for a, b, more in spans[1:]:
-            if a <= last + STEP:
+            if a <= last + GAP:
                 last, edits = max(last, b), max(edits, more)
         return first, last, edits
 

@@ -139,6 +139,28 @@ def test_leaks_exact_edited_and_partial(documents, benchmark):
     assert decontaminate.decontaminated(documents([]), table).count() == 0
 
 
+@pytest.mark.parametrize("size", [81, 113, 150, 184, 233, 394])
+def test_halves_of_items_and_changed_words_leak(size):
+    import numpy as np
+
+    generator = random.Random(size)
+    words = ["".join(generator.choices("etaoinshrdlu", k=generator.randint(2, 9))) for _ in range(400)]
+    item = " ".join(generator.choices(words, k=100))[:size]
+    index = decontaminate.Index.of([(1, item)])
+
+    def found(text: str) -> bool:
+        data = np.frombuffer(text.encode(), np.uint8)
+        return bool(list(index.leaks(data, np.array([0, len(data)]))))
+
+    half = (size + 1) // 2
+    assert all(found("#" * 50 + item[at : at + half] + "#" * 50) for at in range(size - half + 1))
+    changed = item.split(" ")
+    for at in range(9, len(changed), 10):
+        changed[at] = "#" * len(changed[at])
+    assert found(" ".join(changed))
+    assert not found(" ".join(generator.choices(words, k=300)))
+
+
 @given(st.text("ab", min_size=8, max_size=30), st.text("ab", max_size=40), st.integers(-3, 12))
 @settings(max_examples=150, deadline=None)
 def test_banded_alignment_is_the_edit_distance_inside_the_band(window, text, low):
