@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from leadgauge.llm import chat, decontaminate, jaccard_join, mixing, quality, secret_scan, substring_dedup, token_count, topk, toxicity
+from leadgauge.llm import (
+    chat,
+    decontaminate,
+    filter_audit,
+    jaccard_join,
+    mixing,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_count,
+    topk,
+    toxicity,
+    vector_codes,
+    warc,
+)
 from leadgauge.llm.shared import ship_package
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,6 +109,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.page_records(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
@@ -106,8 +133,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk": op10_topk,
+    "op11_warc": op11_warc,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Each round as two common table expressions: the assignment, then the means."""
+    assigned = """
+        a{r} as materialized (
+            select vec_id, p, min([d, entry]) as best from (
+                select x.vec_id, x.p, b.entry,
+                       list_sum(list_transform(list_zip(x.x, b.x), lambda q: (q[1] - q[2]) * (q[1] - q[2])))::bigint as d
+                from parts x join b{r} b using (p)
+            ) group by all
+        )"""
+    moved = """
+        m{r} as materialized (
+            select p, entry, list((s - ((s % n) + n) % n) // n order by i) as x from (
+                select p, best[2] as entry, i, sum(x[i])::bigint as s, count(*) as n
+                from a{r} join parts using (vec_id, p), lateral (select unnest(range(1, len(x) + 1)) as i)
+                group by all
+            ) group by all
+        ),
+        b{next} as materialized (select p, entry, coalesce(m.x, b.x) as x from b{r} b left join m{r} m using (p, entry))"""
+    steps = [assigned.format(r=r) + "," + moved.format(r=r, next=r + 1) for r in range(rounds)]
+    steps.append(assigned.format(r=rounds))
+    return f"""
+        with kept as (
+            select vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        parts as materialized (
+            select vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as x from kept, range({parts}) as t(p)
+        ),
+        ranked as (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept),
+        b0 as materialized (select p, entry, x from parts join ranked using (vec_id) where entry < {entries}),
+        {",".join(steps)},
+        coded as (
+            select vec_id, string_agg(printf('%02x', best[2]), '' order by p) as code, sum(best[1])::bigint as error
+            from a{rounds} group by vec_id
+        ),
+        digest as (
+            select sha256(string_agg(array_to_string(x, ','), ',' order by p, entry)) as codebooks_sha256 from b{rounds}
+        )
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+        from coded join kept using (vec_id), digest
+    """
+
 SQL: dict[str, str] = {
     "op4_chat": """
         with u as (select * from conversations where role = 'user'),
@@ -149,4 +223,56 @@ SQL: dict[str, str] = {
         )
         select query_id, "rank", vec_id, score from ranked where "rank" <= 5
     """,
+    "op11_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        g as (select *, max(page_id) over (partition by html) as last, strlen(html) as n from p)
+        select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest,
+               case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+               case when n >= 1000 and page_id <> last then last end as refers_to
+        from g
+    """,
+    "op12_filter_audit": r"""
+        with d as (select doc_id, coalesce(source, '') as part, coalesce("text", '') as t from documents),
+        w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by t) as first from d),
+        l as (
+            select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic
+            from labels group by doc_id
+        ),
+        h as (
+            select part,
+                   case when len(ws) < 50 then 'A' else '' end
+                   || case when 100 * len(list_distinct(ws)) < 65 * len(ws) then 'B' else '' end
+                   || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) then 'C' else '' end
+                   || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+                   || case when w.doc_id > first then 'E' else '' end as fails,
+                   count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic
+            from w left join l on l.doc_id = w.doc_id group by all
+        ),
+        letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+        orders as (
+            select a.x || b.x || c.x || d.x || e.x as filter_order
+            from letters a, letters b, letters c, letters d, letters e
+            where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ),
+        steps as (
+            select filter_order, step::integer as step, substr(filter_order, step, 1) as x, substr(filter_order, 1, step - 1) as before
+            from orders, range(1, 6) as s(step)
+        ),
+        met as (
+            select h.*, s.*, contains(fails, x) as failing, length(translate(before, fails, '')) < step - 1 as gone
+            from h, steps s
+        ),
+        counted as (
+            select part, filter_order, step, x,
+                   coalesce(sum(n) filter (not gone and not failing), 0)::bigint as kept,
+                   coalesce(sum(n) filter (not gone and failing), 0)::bigint as removed,
+                   coalesce(sum(n) filter (gone and failing), 0)::bigint as redundant,
+                   coalesce(sum(n) filter (fails = x), 0)::bigint as unique_fails,
+                   coalesce(sum(good) filter (not gone and failing), 0)::bigint as good_lost,
+                   coalesce(sum(toxic) filter (not gone and failing), 0)::bigint as toxic_lost
+            from met group by all
+        )
+        select * exclude (x), (sum(removed) over (partition by part, x))::bigint as shapley from counted
+    """,
+    "op13_vector_codes": _vector_codes_sql(),
 }
