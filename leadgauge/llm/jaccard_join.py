@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
-from leadgauge.llm.shared import small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import row_of, small_or_shuffled, stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
@@ -329,7 +329,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_column: s
     dropped = stored(rows.join(first, "root").filter(F.col("key") != F.col("first.key")).select("key").distinct(), "dropped")
     repeated = stored(rows.groupBy("key").count().filter("count > 1").select("key"), "repeated")
     key = F.xxhash64(F.col(id_column), text_or_empty())
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
+    keyed = docs.select(row_of(docs).alias("row"), key.alias("key"))
     kept = keyed.join(small_or_shuffled(dropped, dropped.count()), "key", "left_anti")
     several = small_or_shuffled(repeated, repeated.count())
     single = kept.join(several, "key", "left_anti")

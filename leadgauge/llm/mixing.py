@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from leadgauge.functions.measure import COPIES_PER_ROW, split_copies
 from leadgauge.llm.hashing import SPACE, word_bounds
-from leadgauge.llm.shared import small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import quoted, row_of, small_or_shuffled, stored, text_chunks, text_or_empty
 
 BLOCK_WORDS = 1 << 16
 BLOCK_ROWS = 1 << 12
@@ -75,7 +75,7 @@ def targets(words: list[int], weights: list[int], most: int) -> list[Fraction]:
 
 
 def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
-    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    told = [F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     return F.xxhash64(F.lit(1), *told), F.xxhash64(F.lit(2), *told)
 
 
@@ -266,7 +266,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     copies = mix(docs, **settings).copies
     key, key2 = _row_keys(docs)
     names = {c.lower() for c in docs.columns}
-    shard, order = ("mix_" * (c in names) + c for c in ("shard", "order"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), key2.alias("key2"))
+    shard, order = "shard", "order"
+    while names & {shard, order}:
+        shard, order = f"mix_{shard}" if shard in names else shard, f"mix_{order}" if order in names else order
+    whole = docs.select(row_of(docs).alias("row"), key.alias("key"), key2.alias("key2"))
     whole = whole.dropDuplicates(["key", "key2"])  # equal rows; the copies tell how often each is taken
     return whole.join(copies, ["key", "key2"]).select("row.*", F.col("shard").alias(shard), F.col("order").alias(order))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from leadgauge.llm.hashing import SPACE, mixed, word_hashes
 from leadgauge.llm.labels import held_out, labelled_texts
 from leadgauge.llm.linear import dual_coordinate_descent, logistic_curve, probability
-from leadgauge.llm.shared import text_chunks, text_or_empty
+from leadgauge.llm.shared import row_of, text_chunks, text_or_empty
 
 COLUMN_BITS = 17
 #: Rows that the model is fitted on at most, in expectation; each labelled row is as likely to be among them.
@@ -180,10 +180,10 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", threshold:
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.withColumn("__text", text_or_empty())
+    rows = docs.select(row_of(docs).alias("row"), text_or_empty().alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(batch.num_columns - 1)) >= threshold))
+            yield batch.filter(pa.array(shared.value.scores(batch.column(1)) >= threshold))
 
-    return rows.mapInArrow(keep, rows.schema).drop("__text")
+    return rows.mapInArrow(keep, rows.schema).select("row.*")

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadgauge.llm.shared import text_or_empty
+from leadgauge.llm.shared import row_of, text_or_empty
 
 #: The patterns of the base kinds, in their order, and the least characters that a match needs.
 ASSIGN = (
@@ -253,7 +253,7 @@ def _threshold(bins: list[int], false_share: float) -> float | None:
 def secret_spans(docs: DataFrame, false_share: float = 0.1) -> DataFrame:
     """(row, text, base, spans): row holds all columns given; base and spans are arrays of (start, rank, end, kind) by
     start, then kind. `spans` has the base ones and the random tokens, which may lie in base ones."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_or_empty().alias("text"))
+    rows = docs.select(row_of(docs).alias("row"), text_or_empty().alias("text"))
     least = thresholds(rows.select("text"), false_share)
     text = F.col("text")
     assigned = F.filter(

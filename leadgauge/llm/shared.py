@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; larger ones go through Spark's shuffle joins.
@@ -19,6 +20,7 @@ BROADCAST_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 20
 _OWN_FOLDER: list[str] = []
 _SHIPPED: set[str] = set()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -32,10 +34,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a temporary one only where it is unset, as in tests."""
+    """The folder that `spark.checkpoint.dir` names. Where it is unset, a temporary one if Spark runs in this process only, else
+    an error: executors elsewhere would not see it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="stored-"))
     return _OWN_FOLDER[0]
@@ -45,7 +51,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: lineage ends here, and columns are still pruned."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `stored` returned, once whatever is made of them is stored itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
@@ -53,6 +68,16 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def quoted(column: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of a row as one struct, which no column that an operator adds can clash with."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns))
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -161,6 +161,79 @@ def test_halves_of_items_and_changed_words_leak(size):
     assert not found(" ".join(generator.choices(words, k=300)))
 
 
+def _index(items: list[str]):
+    return decontaminate.Index.of(list(enumerate(items)))
+
+
+def _places(index, texts: list[str]) -> list[tuple]:
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    return list(index.leaks(decontaminate.LOWER[np.frombuffer(b"".join(raw), np.uint8)], offsets))
+
+
+def _least_edits(window: str, text: str) -> int:
+    """The fewest edits between a window and any stretch of a text."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(window, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(text, 1):
+            last, row[j] = row[j], min(last + (a != b), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_search_finds_every_window_within_its_edits(seed):
+    """Brute force: the least edits of each window over all stretches of each text."""
+    generator = random.Random(seed)
+    letters = "abcde" if seed % 2 else "abcdefghijklmnopqrstuvwxyz"
+    items = ["".join(generator.choices(letters, k=n)) for n in (8, 15, 25, 40, 90, 200)]
+    texts = ["".join(generator.choices(letters, k=n)) for n in (0, 5, 300)]
+    for item in items:
+        for edits in range(0, 10, 2):
+            start = generator.randrange(max(1, len(item) - 64))
+            piece = list(item[start : start + generator.randint(30, 80)])
+            for _ in range(edits):
+                at = generator.randrange(len(piece))
+                piece[at : at + generator.randint(0, 1)] = generator.choices(letters, k=generator.randint(0, 2))
+            texts.append("".join(generator.choices(letters, k=40)) + "".join(piece) + "".join(generator.choices(letters, k=30)))
+    expected = set()
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            if any(_least_edits(item[a : a + w], text) <= decontaminate.edit_budget(w) for a, w in decontaminate.windows(len(item))):
+                expected.add((t, i))
+    assert {(t, i) for t, i, *_ in _places(_index(items), texts)} == expected
+
+
+def test_every_place_and_items_too_short_for_windows():
+    item = "".join(random.Random(8).choices("abcdefghij", k=60))
+    texts = [item + "#" * 200 + item, "xyz and XYZ" + "-" * 60 + "xyz", "", "xy", "z", "aaaa"]
+    found = _places(_index([item, "xyz", "yz", "a"]), texts)
+    assert [f for f in found if f[1] == 0] == [(0, 0, 0, 60, 0), (0, 0, 260, 320, 0)]
+    assert [f for f in found if f[1] == 1] == [(1, 1, 0, 11, 0), (1, 1, 71, 74, 0)]
+    assert [f for f in found if f[1] == 2] == [(1, 2, 1, 11, 0), (1, 2, 72, 74, 0)]
+    assert (5, 3, 0, 4, 0) in found
+
+
+def test_columns_of_any_name_pass_the_row_stages(spark, documents, benchmark):
+    import corpus_pipeline
+    from leadgauge.llm import mixing, quality
+
+    odd = {"__text": "a", "a`b": "b", "row": "c", "a.b": "d", "shard": "e", "mix_shard": "f", "spans": "g"}
+    docs = documents([(n, f"some words {n} here") for n in range(5)] + ODD)
+    for name, value in odd.items():
+        docs = docs.withColumn(name, F.lit(value))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    clean = quality.accepted(docs, quality.fit(docs, labels), 0.0)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert decontaminate.decontaminated(docs, benchmark[1]).select("`a.b`", "__text").distinct().collect() == [("d", "a")]
+    safe = corpus_pipeline.without_secrets(spark, docs, "")
+    assert safe.columns == docs.columns and safe.select("`a``b`").distinct().collect() == [("b",)]
+    mixed = mixing.mixed_documents(docs)
+    assert len(set(mixed.columns)) == len(docs.columns) + 2 and mixed.select("`a``b`").distinct().collect() == [("b",)]
+
+
 @given(st.text("ab", min_size=8, max_size=30), st.text("ab", max_size=40), st.integers(-3, 12))
 @settings(max_examples=150, deadline=None)
 def test_banded_alignment_is_the_edit_distance_inside_the_band(window, text, low):
