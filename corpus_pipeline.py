@@ -29,7 +29,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Replace every secret span by a mark; the number of characters follows."""
     found = secret_scan.secret_spans(docs)
     text = F.when(F.col("row.text").isNotNull(), secret_scan.redacted(F.col("text"), F.col("spans")))
-    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": text}
     if "n_chars" in columns:
         columns["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return found.select(*(column.alias(name) for name, column in columns.items()))
