@@ -33,9 +33,11 @@ def texts_of_nodes(pairs: DataFrame, holders: DataFrame, keyed: DataFrame) -> Da
 def at_hubs(pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """(b, a, text, carried...) of the pairs (a, b, carried...) as sorted partitions: for each share of a hub b, first
     a row of the hub's own text with a null a, then its partners' rows."""
-    sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
-    share = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / HUB_SHARE).cast("long"))
-    dealt = pairs.join(sizes, "b").select("b", share.alias("share"), "a", *carried)
+    large = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > HUB_SHARE)
+    large = stored(large, "large-hubs")
+    dealt = pairs.join(small_or_shuffled(large, large.count()), "b", "left")
+    share = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / HUB_SHARE), F.lit(1)).cast("long"))
+    dealt = dealt.select("b", share.alias("share"), "a", *carried)
     partners = dealt.join(texts, F.col("a") == F.col("node")).select("b", "share", "a", "text", *carried)
     hubs = dealt.select("b", "share").distinct().join(texts, F.col("b") == F.col("node"))
     blank = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried]

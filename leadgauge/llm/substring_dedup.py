@@ -10,12 +10,16 @@ stretches of those windows whose least hash other texts share are hashed as whol
 holds the stretch, whatever else they share.
 
 Edited passages are found by two functions: two windows of different functions that cover one stretch are one key, so all
-texts of a key agree in both functions with each other, not only with a hub. Each text of a key is verified against the key's
-hub; while a key's texts are not all in passages and in one class, they are verified against more hubs, those with most links
-first and four times as many each time, at last all pairs. A pair is verified once, on the whole texts with all their
-windows as intervals: stretches covered by windows of enough hash functions are candidates, and a
-passage is kept where every stretch of `length` words has so many of its shingles in the other text's stretch that their
-similarity can reach the threshold, and where the similarity of both passages does reach it.
+texts of a key agree in both functions with each other, not only with a hub. Keys whose texts are already in passages there and in one
+class are settled. Each other key's texts are verified against a hub of the key, the text with most links: where stretches of `length` words
+around both least tokens have so many shingles in common that their similarity can reach the threshold, and the
+similarity of both passages does reach it, they are a passage. Texts of a key that are similar to each other but not
+to the hub share tokens there that the hub lacks: the nearest such tokens on both sides make keys of a longer context, which are
+verified in the next round with a hub of their own, until no key is open. So a run that many texts share, but no passage around
+it, costs one verification for each text, not for each pair.
+
+Keys that a third of all rows hold are met in each batch of texts first: only a batch's least text goes into the shuffle
+of the key, and the others are tied to it.
 
 Result: one row for every document with its passages and a class: documents that are joined by shared passages, numbered by the
 smallest id. Equal texts are one node, so groups of copies cost one node each; all their words are repeated if they are
@@ -35,19 +39,18 @@ from pyspark.sql import functions as F
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
-from leadgauge.llm.shared import stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import discard, small_or_shuffled, stored, text_chunks, text_or_empty
 
 HASHES = 4
-#: Hash functions whose windows must cover a candidate.
-ENOUGH = 2
 #: Texts a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
-#: By how much the hubs of a key grow from round to round.
-MORE_HUBS = 4
 
-WINDOWS = "hash long, node long, function int, l int, c int, r int"
+#: `least` is the least node of a batch that has the key, if several of it do; rows of the others carry it and a salt.
+WINDOWS = "hash long, node long, function int, l int, c int, r int, least long, salt long"
 #: Stretches (pair 0: window and stretch hash, start) and function pairs (pair 1: both least hashes, both centres).
-KEYS = "pair int, key long, key2 long, node long, p int, q int"
+KEYS = "pair int, key long, key2 long, node long, p int, q int, least long, salt long"
+#: Passages have a node, results a group: whether `a` has a passage with `b` at the places p and q, and tokens there that b lacks.
+FOUND = "a long, b long, node long, start long, end long, group long, p int, q int, linked boolean, lacking array<int>"
 
 
 def _running(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -96,10 +99,9 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
         salts = [mixed_int(j + 1) for j in range(hashes)]
         seen: set[int] = set()
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
+            nodes, parts = batch.column(0).to_pylist(), []
             for rows, data, offsets in text_chunks(batch.column(1)):
                 word_hash, first, _, _ = word_hashes(data, offsets)
-                parts = []
                 for node, start, end in zip(nodes[rows], first[:-1], first[1:]):
                     if end - start < length or node in seen:
                         continue
@@ -111,8 +113,8 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
                         values = mixed(tokens ^ salt)
                         left, centre, right = compact_windows(values, width)
                         parts.append((values[centre], node, j, left, centre, right))
-                if parts:
-                    yield _batch(parts)
+            if parts:
+                yield _batch(parts)
 
     def _batch(parts: list[tuple]) -> pa.RecordBatch:
         sizes = [len(p[0]) for p in parts]
@@ -120,11 +122,26 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
         columns.append(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes))
         columns.append(np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes))
         columns += [np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (3, 4, 5)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(WINDOWS))
+        columns += _met(columns[0], columns[1])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _names(WINDOWS))
 
     return docs.mapInArrow(index, WINDOWS)
 
 
+def _met(keys: np.ndarray, nodes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """`least` and `salt` of the rows of a batch: the least node that has the key, null if no other has it; and the node, but
+    0 if it is the least."""
+    order = np.lexsort((nodes, keys))
+    starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    least, most = nodes[order][starts], nodes[order][starts + sizes - 1]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.repeat(least, sizes)
+    alone = np.empty(len(keys), dtype=bool)
+    alone[order] = np.repeat(least == most, sizes)
+    return pa.array(back, pa.int64(), mask=alone), np.where(alone | (nodes == back), 0, nodes)
+
+
 def _names(schema: str) -> list[str]:
     return [field.strip().split(" ")[0] for field in schema.split(",")]
 
@@ -170,23 +187,27 @@ def _keyed(texts: DataFrame, words: int, length: int) -> DataFrame:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, held = batch.column(0).to_pylist(), batch.column(2)
+            nodes, held, parts = batch.column(0).to_pylist(), batch.column(2), []
             for rows, data, offsets in text_chunks(batch.column(1)):
                 word_hash, first, _, _ = word_hashes(data, offsets)
-                parts = []
                 for row, start, end in zip(range(rows.start, rows.stop), first[:-1], first[1:]):
                     windows = held[row].values.to_numpy().reshape(-1, 5)
                     tokens = shingle_hashes(word_hash[start:end], words)
                     hashes, stretches, places = stretch_keys(word_hash[start:end], tokens, windows, width, length)
                     parts.append((0, nodes[row], hashes, stretches, places, places))
                     parts.append((1, nodes[row], *function_pairs(windows, width)))
-                sizes = [len(p[2]) for p in parts]
-                columns = [np.repeat(np.array([p[0] for p in parts], dtype=np.int32), sizes)]
-                columns += [np.concatenate([p[i] for p in parts]) for i in (2, 3)]
-                columns.append(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes))
-                columns += [np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (4, 5)]
-                if sum(sizes):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(KEYS))
+            for pair in (0, 1):
+                own = [p for p in parts if p[0] == pair and len(p[2])]
+                if not own:
+                    continue
+                sizes = [len(p[2]) for p in own]
+                columns = [np.full(sum(sizes), pair, dtype=np.int32)]
+                columns += [np.concatenate([p[i] for p in own]) for i in (2, 3)]
+                columns.append(np.repeat(np.array([p[1] for p in own], dtype=np.int64), sizes))
+                columns += [np.concatenate([p[i] for p in own]).astype(np.int32) for i in (4, 5)]
+                none = pa.nulls(sum(sizes), pa.int64()), np.zeros(sum(sizes), dtype=np.int64)
+                columns += none if pair else _met(columns[2], columns[3])
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], _names(KEYS))
 
     return texts.mapInArrow(keys, KEYS)
 
@@ -197,93 +218,86 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _covered(windows: np.ndarray, left: int, right: int, n: int) -> np.ndarray:
-    """At how many hash functions' windows each token lies."""
-    total = np.zeros(n, dtype=np.int64)
-    for function in np.unique(windows[:, 0]):
-        own = windows[windows[:, 0] == function]
-        steps = np.zeros(n + 1, dtype=np.int64)
-        np.add.at(steps, own[:, left], 1)
-        np.add.at(steps, own[:, right] + 1, -1)
-        total += np.cumsum(steps[:-1]) > 0
-    return total
-
-
-def _similar(
-    mine: np.ndarray, hub: np.ndarray, windows: np.ndarray, a: int, b: int, percent: int
-) -> tuple[int, int] | None:
-    """Where the hub has a stretch similar enough to mine from a to b, at a shift that some window has."""
-    near = windows[(windows[:, 2] >= a) & (windows[:, 2] < b)]
-    for shift in np.unique(near[:, 5] - near[:, 2]).tolist():
+def _similar(mine: np.ndarray, hub: np.ndarray, shifts: list[int], a: int, b: int, percent: int) -> tuple[int, int] | None:
+    """Where the hub has a stretch similar enough to mine from a to b, at one of the shifts."""
+    ours = np.unique(mine[a:b])
+    for shift in shifts:
         c, d = max(0, a + shift), min(len(hub), b + shift)
-        ours, theirs = np.unique(mine[a:b]), np.unique(hub[c:d])
-        common = len(np.intersect1d(ours, theirs, assume_unique=True))
+        if d <= c:
+            continue
+        theirs = np.unique(hub[c:d])
+        common = int(_among(ours, theirs).sum())
         if 100 * common >= percent * (len(ours) + len(theirs) - common):
             return c, d
     return None
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def lacking_most(edits: int, words: int) -> int:
+    """Tokens that so many edited words change."""
+    return edits * words + 1
+
+
 def shared_passages(
-    mine: np.ndarray, hub: np.ndarray, windows: np.ndarray, width: int, percent: int, enough: int
-) -> list[tuple[int, int, int, int]]:
-    """Verified passages (start, end, start at hub, end at hub) in tokens, ends exclusive. `windows` has a row
-    (function, l, c, r, l at hub, c at hub, r at hub) for each shared least hash."""
-    found = []
-    for start, end in _spans(_covered(windows, 1, 3, len(mine)) >= enough):
-        own = windows[(windows[:, 2] >= start) & (windows[:, 2] < end)]
-        if end - start < width or not len(own):
-            continue
-        low, high = int(own[:, 4].min()), int(own[:, 6].max()) + 1
-        same = np.isin(mine[start:end], hub[low:high])
-        # Similarity s of two stretches of n tokens takes at least 2 s n / (1 + s) common ones.
-        least = -(-2 * percent * width // (100 + percent))
+    mine: np.ndarray, hub: np.ndarray, spots: np.ndarray, width: int, percent: int, lacking: int
+) -> tuple[list[tuple[int, int, int, int]], list[tuple[bool, np.ndarray]]]:
+    """Verified passages (start, end, start at hub, end at hub) in tokens, ends exclusive, around the spots (p, q, p at hub, q at
+    hub), places of least tokens that both texts have; and for each spot whether a passage holds it, with the nearest
+    `lacking` tokens on each side that the hub lacks there."""
+    passages: list[tuple[int, int, int, int]] = []
+    results: list[tuple[bool, np.ndarray]] = [(False, mine[:0])] * len(spots)
+    first, last = np.minimum(spots[:, 0], spots[:, 1]), np.maximum(spots[:, 0], spots[:, 1])
+    begin, end = np.maximum(last - width + 1, 0), np.minimum(first + width, len(mine))
+    low = np.maximum(np.maximum(spots[:, 2], spots[:, 3]) - width + 1, 0)
+    high = np.minimum(np.minimum(spots[:, 2], spots[:, 3]) + width, len(hub))
+    order = np.argsort(begin, kind="stable")
+    reach = np.maximum.accumulate(end[order])
+    # Similarity s of two stretches of n tokens takes at least 2 s n / (1 + s) common ones.
+    least = -(-2 * percent * width // (100 + percent))
+    for own in np.split(order, np.flatnonzero(begin[order][1:] >= reach[:-1]) + 1):
+        a, b = int(begin[own[0]]), int(end[own].max())
+        same = _among(mine[a:b], np.sort(hub[int(low[own].min()) : int(high[own].max())]))
+        values, times = np.unique(spots[own, 2] - spots[own, 0], return_counts=True)
+        shifts = values[np.argsort(-times, kind="stable")].tolist()
         counts = np.concatenate(([0], np.cumsum(same)))
-        close = np.zeros(end - start + 1, dtype=np.int64)
+        close = np.zeros(b - a + 1, dtype=np.int64)
         begins = np.flatnonzero(counts[width:] - counts[:-width] >= least)
         np.add.at(close, begins, 1)
         np.add.at(close, begins + width, -1)
-        for a, b in _spans(np.cumsum(close[:-1]) > 0):
-            inside = np.flatnonzero(same[a:b])
-            whole = (start + a + int(inside[0]), start + a + int(inside[-1]) + 1)
-            if (spot := _similar(mine, hub, own, *whole, percent)) is not None:
+        found = []
+        for c, d in _spans(np.cumsum(close[:-1]) > 0):
+            inside = np.flatnonzero(same[c:d])
+            whole = (a + c + int(inside[0]), a + c + int(inside[-1]) + 1)
+            if (spot := _similar(mine, hub, shifts, *whole, percent)) is not None:
                 found.append((*whole, *spot))
                 continue
-            for c, d in _spans(same[a:b]):  # the stretch as a whole differs too much: take its unbroken parts
-                part = (start + a + c, start + a + d)
-                if d - c >= width and (spot := _similar(mine, hub, own, *part, percent)) is not None:
+            for x, y in _spans(same[c:d]):  # the stretch as a whole differs too much: take its unbroken parts
+                part = (a + c + x, a + c + y)
+                if y - x >= width and (spot := _similar(mine, hub, shifts, *part, percent)) is not None:
                     found.append((*part, *spot))
-    return found
-
-
-def hashed_windows(tokens: np.ndarray, width: int, hashes: int) -> list[tuple[np.ndarray, ...]]:
-    """(least hash, left, centre, right) of the compact windows of each function."""
-    found = []
-    for j in range(hashes):
-        values = mixed(tokens ^ mixed_int(j + 1))
-        left, centre, right = compact_windows(values, width)
-        found.append((values[centre], left, centre, right))
-    return found
-
-
-def shared_windows(mine: list[tuple[np.ndarray, ...]], hub: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """The windows of two texts with equal least hashes, one of the hub's for each of the other's, as shared_passages
-    takes them."""
-    found = []
-    for j, ((values, left, centre, right), (others, low, middle, high)) in enumerate(zip(mine, hub)):
-        distinct, first = np.unique(others, return_index=True)
-        own = np.flatnonzero(np.isin(values, distinct))
-        theirs = first[np.searchsorted(distinct, values[own])]
-        function = np.full(len(own), j)
-        found.append(np.stack([function, left[own], centre[own], right[own], low[theirs], middle[theirs], high[theirs]], axis=1))
-    return np.concatenate(found)
-
-
-def _verified(
-    pairs: DataFrame, texts: DataFrame, words: int, length: int, percent: int, hashes: int, enough: int
-) -> DataFrame:
-    """(a, b, node, start, end): verified passages of both texts of each pair, in words. A hub's passages are merged over
-    the partners that a task sees one after the other; its rows have a null a where they stand for several."""
+        passages += found
+        other = np.flatnonzero(~same) + a
+        for i in own.tolist():
+            linked = any(c <= first[i] and last[i] < d for c, d, _, _ in found)
+            right = other[(other > first[i]) & (other < end[i])][:lacking]
+            left = other[(other < last[i]) & (other >= begin[i])][-lacking:]
+            results[i] = linked, mine[np.union1d(left, right)]
+    return passages, results
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, percent: int) -> DataFrame:
+    """FOUND of the pairs (a, b, spots): verified passages of both texts, in words, and the results of the spots of keys of several
+    texts. A hub's passages are merged over the partners that a task sees one after the other; its rows have a null a
+    where they stand for several."""
     width = length - words + 1
+    # Two texts that differ from each other by as many edits as the threshold allows in a stretch, and the hub by as many from one.
+    lacking = lacking_most(2 * max(1, width * (100 - percent) // (100 + percent) // words), words)
 
     def tokens_of(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, data, offsets in text_chunks(texts):
@@ -292,34 +306,43 @@ def _verified(
                 yield shingle_hashes(hashes[start:end], words)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_id, held, hub_windows = np.zeros(0, np.uint64), None, np.zeros(0, bool), []
+        hub, hub_id, held = np.zeros(0, np.uint64), None, np.zeros(0, bool)
 
         def hub_rows() -> list[tuple]:
-            return [(None, hub_id, hub_id, s, e + words - 1) for s, e in _spans(held)] if hub_id is not None else []
+            spans = _spans(held) if hub_id is not None else []
+            return [(None, hub_id, hub_id, s, e + words - 1, None, None, None, None, None) for s, e in spans]
 
         for batch in batches:
             rows: list[tuple] = []
             ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for (b, a), tokens in zip(ids, tokens_of(batch.column(2))):
+            offsets, values = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            groups, several = values.field("group").to_pylist(), values.field("several").to_pylist()
+            spots = np.stack([values.field(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "hub_p", "hub_q")], axis=1)
+            for n, ((b, a), tokens) in enumerate(zip(ids, tokens_of(batch.column(2)))):
                 if a is None:
                     rows += hub_rows()
                     hub, hub_id, held = tokens, b, np.zeros(len(tokens), bool)
-                    hub_windows = hashed_windows(hub, width, hashes)
                     continue
-                windows = shared_windows(hashed_windows(tokens, width, hashes), hub_windows)
-                for s, e, c, d in shared_passages(tokens, hub, windows, width, percent, enough):
-                    rows.append((a, b, a, s, e + words - 1))
+                own = slice(offsets[n], offsets[n + 1])
+                passages, results = shared_passages(tokens, hub, spots[own], width, percent, lacking)
+                for s, e, c, d in passages:
+                    rows.append((a, b, a, s, e + words - 1, None, None, None, None, None))
                     held[c:d] = True
+                for group, more, spot, (linked, lacks) in zip(groups[own], several[own], spots[own].tolist(), results):
+                    if more:
+                        hashes = (mixed(lacks) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        rows.append((a, b, None, None, None, group, spot[0], spot[1], linked, np.unique(hashes)))
             if rows:
                 yield _rows(rows)
         if hub_id is not None and (rows := hub_rows()):
             yield _rows(rows)
 
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
+
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        arrays = [pa.array(column, pa.int64()) for column in zip(*rows)]
-        return pa.RecordBatch.from_arrays(arrays, ["a", "b", "node", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], _names(FOUND))
 
-    return at_hubs(pairs, texts).mapInArrow(verify, "a long, b long, node long, start long, end long")
+    return at_hubs(pairs, texts, ("spots",)).mapInArrow(verify, FOUND)
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -332,70 +355,100 @@ def merged_spans(spans: DataFrame) -> DataFrame:
 
 
 def _equal_stretches(keys: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Spans (node, start, end) of the stretches that several texts hold, and edges (a, b) to the least text of each."""
-    group = Window.partitionBy("key", "key2")  # rows are narrow, and two nodes are all that is kept of a group
-    held = keys.filter("pair = 0").select("key", "key2", "node", "p")
-    held = held.withColumns({"least": F.min("node").over(group), "most": F.max("node").over(group)}).filter("least <> most")
+    """Spans (node, start, end) of the stretches that several texts hold, and edges (a, b) that tie them together."""
+    group = Window.partitionBy("key", "key2", "salt")  # one text of each batch, and one row for each of the others
+    held = keys.filter("pair = 0").select("key", "key2", "salt", "node", "p", "least")
+    held = held.withColumns({"low": F.min("node").over(group), "high": F.max("node").over(group)})
+    held = held.filter("least is not null or low <> high")
+    tied = F.when(F.col("salt") != 0, F.col("least")).otherwise(F.col("low")).alias("least")
     start = F.col("p").cast("long")
-    held = stored(held.select("node", "least", start.alias("start"), (start + length).alias("end")), "stretches")
+    held = stored(held.select("node", tied, start.alias("start"), (start + length).alias("end")), "stretches")
     edges = held.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return stored(merged_spans(held.select("node", "start", "end")), "stretch-spans"), stored(edges, "stretch-edges")
+    found = stored(merged_spans(held.select("node", "start", "end")), "stretch-spans"), stored(edges, "stretch-edges")
+    discard(held)
+    return found
 
 
-def _unsettled(items: DataFrame, passages: DataFrame, edges: DataFrame) -> DataFrame:
-    """The items (group, node, p, q, ...) of the groups whose texts are not all in passages there and in one class."""
-    spans = merged_spans(passages.select("node", "start", "end"))
-    within = (F.col("w.node") == F.col("s.node")) & F.col("p").between(F.col("start"), F.col("end") - 1)
-    within = within & F.col("q").between(F.col("start"), F.col("end") - 1)
-    rooted = items.alias("w").join(spans.alias("s"), within, "left").select("w.group", "w.node", "p", "q", F.col("start").isNotNull().alias("covered"))
-    rooted = rooted.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    group = Window.partitionBy("group")
-    rooted = rooted.withColumns({"x": F.min("root").over(group), "y": F.max("root").over(group), "all": F.min("covered").over(group)})
-    return rooted.filter("x <> y or not all").select("group", "node", "p", "q", "covered", "root")
+def _kept(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose group is among the stored groups."""
+    return rows.join(small_or_shuffled(groups, groups.count()), "group", "left_semi")
+
+
+def _unsettled(items: DataFrame, spans: DataFrame, edges: DataFrame, words: int) -> DataFrame:
+    """The items (group, node, p, q) of the groups whose texts are not all in passages there and in one class."""
+    low, high = F.least("p", "q").cast("long"), F.greatest("p", "q").cast("long") + words
+    asked = items.select("node", low.alias("at"), F.lit(None).cast("long").alias("reach"), "group", high.alias("to"))
+    blank = (F.lit(None).cast("long").alias(c) for c in ("group", "to"))
+    marks = merged_spans(spans).select("node", F.col("start").alias("at"), F.col("end").alias("reach"), *blank)
+    before = Window.partitionBy("node").orderBy("at", F.col("reach").isNull())  # of one text; its spans are disjoint
+    reach = F.last("reach", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    placed = marks.unionByName(asked).withColumn("covered", F.coalesce(F.col("to") <= reach, F.lit(False)))
+    placed = placed.filter("group is not null").select("group", "node", "covered")
+    rooted = placed.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    state = rooted.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("covered").alias("all"))
+    still = stored(state.filter("x <> y or not all").select("group"), "open-groups")
+    return stored(_kept(items, still), "open-items")
+
+
+def _finer(found: DataFrame) -> DataFrame | None:
+    """Items of the keys by which texts that are not all linked with their hub share a token that it lacks. Keys of the
+    same texts are one."""
+    results = found.filter("group is not null")
+    failed = stored(results.filter("not linked").select("group").distinct(), "failed-groups")
+    each = _kept(results, failed).select("group", F.col("a").alias("node"), "p", "q", "linked", F.explode("lacking").alias("d"))
+    each = stored(each, "lacking")
+    members = F.bit_xor(F.xxhash64("node", "p", "q")).alias("members")
+    keys = each.groupBy("group", "d").agg(
+        F.min("node").alias("x"), F.max("node").alias("y"), F.min("linked").alias("all"), F.count("*").alias("n"), members
+    )
+    keys = keys.filter("x <> y and not all").groupBy("group", "n", "members").agg(F.min("d").alias("d"))
+    keys = stored(keys.select("group", "d"), "longer-keys")
+    n = keys.count()
+    if not n:
+        return None
+    items = each.join(small_or_shuffled(keys, n), ["group", "d"])
+    items = stored(items.select(F.xxhash64("group", "d").alias("group"), "node", "p", "q"), "items")
+    discard(each, keys, failed)
+    return items
 
 
 def _edited_passages(
-    keys: DataFrame, edges: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame, DataFrame], DataFrame]
+    keys: DataFrame,
+    equal: DataFrame,
+    edges: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    verified: Callable[[DataFrame, DataFrame], DataFrame],
+    words: int,
 ) -> DataFrame | None:
     """Verified passages (a, b, node, start, end) of the texts that share a pair of functions' least hashes."""
-    group = Window.partitionBy("group")
-    items = keys.filter("pair = 1").select(F.xxhash64("key", "key2").alias("group"), "node", "p", "q")
-    items = items.withColumns({"hub": F.min("node").over(group), "last": F.max("node").over(group)}).filter("hub <> last")
-    items = stored(items, "function-pairs")
-    pairs = items.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    passages, tested, links, hubs = None, None, None, 1
-    while True:
-        pairs = stored(pairs, "window-pairs")
-        if not pairs.isEmpty():
-            found = stored(verified(pairs, texts_of(pairs)), "passages")
-            passages = found if passages is None else passages.unionByName(found)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            links = passages.filter("a is not null").select("a", "b").distinct()
-            if hubs == 1 or not found.isEmpty():
-                items = _unsettled(items, passages, edges.unionByName(links))
-        if tested is None:
-            return None
-        # All pairs are verified where no more than one text was no hub.
-        sizes = items.groupBy("group").agg(F.count_distinct("node").alias("n")).filter(F.col("n") > hubs + 1)
-        items = stored(items.join(sizes.select("group"), "group", "left_semi"), "open-function-pairs")
-        if items.isEmpty():
-            return passages
-        hubs *= MORE_HUBS
+    rows = keys.filter("pair = 1").select(F.xxhash64("key", "key2").alias("group"), "node", "p", "q")
+    several = rows.groupBy("group").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("group")
+    items = stored(_kept(rows, stored(several, "pair-groups")), "items")
+    passages, links = None, edges
+    while items is not None:
+        spans = equal if passages is None else equal.unionByName(passages.select("node", "start", "end"))
+        open_items = _unsettled(items, spans, links, words)
+        if open_items.isEmpty():
+            break
         ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-        members = items.groupBy("group", "node").agg(F.min("covered").alias("covered"), F.first("root").alias("root"))
-        members = members.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
-        order = group.orderBy(F.desc_nulls_last("links"), "node")
-        ranked = members.withColumn("rank", F.row_number().over(order))
-        other = ranked.filter(F.col("rank") <= hubs).select(
-            "group", *(F.col(c).alias(f"hub_{c}") for c in ("node", "rank", "covered", "root"))
-        )
-        met = ranked.join(other, "group").filter("rank > hub_rank and not (covered and hub_covered and root = hub_root)")
-        a, b = F.greatest("node", "hub_node").alias("a"), F.least("node", "hub_node").alias("b")
-        pairs = met.select(a, b).distinct().join(tested, ["a", "b"], "left_anti")
+        ranked = open_items.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
+        best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "p", "q")).alias("hub")
+        hubs = stored(ranked.groupBy("group").agg(best, (F.count("*") > 2).alias("several")), "hubs")
+        met = open_items.join(small_or_shuffled(hubs, hubs.count()), "group").filter("node <> hub.node")
+        spot = F.struct("group", "several", "p", "q", F.col("hub.p").alias("hub_p"), F.col("hub.q").alias("hub_q"))
+        pairs = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        pairs = stored(pairs.agg(F.collect_list(spot).alias("spots")), "pairs")  # no more than a text has windows
+        found = stored(verified(pairs, texts_of(pairs)), "passages")
+        discard(items, open_items, hubs, pairs)
+        own = found.filter("node is not null").select("a", "b", "node", "start", "end")
+        passages = own if passages is None else passages.unionByName(own)
+        links = edges.unionByName(passages.filter("a is not null").select("a", "b").distinct())
+        items = _finer(found)
+    return passages
 
 
 def repeated_passages(
-    docs: DataFrame, length: int = 50, words: int = 5, percent: int = 80, hashes: int = HASHES, enough: int = ENOUGH
+    docs: DataFrame, length: int = 50, words: int = 5, percent: int = 80, hashes: int = HASHES
 ) -> DataFrame:
     """(doc_id, n_words, repeated_words, passages, class_id) of every row; a passage is (start, end) in words."""
     keyed = docs.select("doc_id", text_or_empty().alias("text"))
@@ -404,11 +457,11 @@ def repeated_passages(
     rows = stored(keyed.select("doc_id", "key", "node", n_words.alias("n_words")), "texts-described")
     copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("n_words").alias("n_words"))
     holders = holders_of(rows)
-    spread = Window.partitionBy("hash")
+    spread = Window.partitionBy("hash", "salt")  # one text of each batch, and one row for each of the others
     windows = _indexed(keyed.select("node", "text"), words, length, hashes).withColumns(
         {"x": F.min("node").over(spread), "y": F.max("node").over(spread)}
     )
-    windows = windows.filter("x <> y").groupBy("node")  # a text's windows are fewer than its words
+    windows = windows.filter("least is not null or x <> y").groupBy("node")  # a text's windows are fewer than its words
     fields = (F.col(c).cast("long") for c in ("hash", "function", "l", "c", "r"))
     windows = stored(windows.agg(F.flatten(F.collect_set(F.array(*fields))).alias("windows")), "windows")
 
@@ -416,12 +469,12 @@ def repeated_passages(
         return texts_of_nodes(pairs, holders, keyed)
 
     def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        return _verified(pairs, texts, words, length, percent, hashes, enough)
+        return _verified(pairs, texts, words, length, percent)
 
     texts = texts_of(windows.select(F.col("node").alias("a"), F.col("node").alias("b")))
     keys = stored(_keyed(texts.join(windows, "node").select("node", "text", "windows"), words, length), "keys")
     equal, edges = _equal_stretches(keys, length)
-    passages = _edited_passages(keys, edges, texts_of, verified)
+    passages = _edited_passages(keys, equal, edges, texts_of, verified, words)
     whole = copies.filter((F.col("copies") > 1) & (F.col("n_words") >= length))
     spans = whole.select("node", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
     spans = spans.unionByName(equal)
@@ -436,8 +489,9 @@ def repeated_passages(
     long_enough = F.when(F.col("n_words") >= length, F.col("node"))
     result = result.join(roots, "node", "left")
     result = result.withColumn("root", F.coalesce("root", long_enough))
-    smallest = result.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    result = result.join(smallest, "root", "left")
+    result = stored(result, "classed")
+    smallest = stored(result.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest")), "classes")
+    result = result.join(small_or_shuffled(smallest, smallest.count()), "root", "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     return result.select(
         "doc_id",
