@@ -30,17 +30,20 @@ def texts_of_nodes(pairs: DataFrame, holders: DataFrame, keyed: DataFrame) -> Da
     return once.unionByName(held.filter("times > 1").dropDuplicates(["node"]).select("node", "text"))
 
 
-def at_hubs(pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+def at_hubs(
+    pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = (), share: int = HUB_SHARE, alone: bool = False
+) -> DataFrame:
     """(b, a, text, carried...) of the pairs (a, b, carried...) as sorted partitions: for each share of a hub b, first
-    a row of the hub's own text with a null a, then its partners' rows."""
-    large = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > HUB_SHARE)
+    a row of the hub's own text with a null a, then its partners' rows. `alone` adds whether the share has all partners."""
+    large = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > share)
     large = stored(large, "large-hubs")
     dealt = pairs.join(small_or_shuffled(large, large.count()), "b", "left")
-    share = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / HUB_SHARE), F.lit(1)).cast("long"))
-    dealt = dealt.select("b", share.alias("share"), "a", *carried)
-    partners = dealt.join(texts, F.col("a") == F.col("node")).select("b", "share", "a", "text", *carried)
-    hubs = dealt.select("b", "share").distinct().join(texts, F.col("b") == F.col("node"))
+    part = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / share), F.lit(1)).cast("long"))
+    own = ("share", *(["alone"] if alone else []))
+    dealt = dealt.withColumn("alone", F.col("n").isNull()).select("b", part.alias("share"), "a", "alone", *carried)
+    partners = dealt.join(texts, F.col("a") == F.col("node")).select("b", "a", "text", *own, *carried)
+    hubs = dealt.select("b", *own).distinct().join(texts, F.col("b") == F.col("node"))
     blank = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried]
-    hubs = hubs.select("b", "share", F.lit(None).cast("long").alias("a"), "text", *blank)
+    hubs = hubs.select("b", F.lit(None).cast("long").alias("a"), "text", *own, *blank)
     rows = partners.unionByName(hubs).repartition("b", "share")
-    return rows.sortWithinPartitions("b", "share", F.asc_nulls_first("a")).select("b", "a", "text", *carried)
+    return rows.sortWithinPartitions("b", "share", F.asc_nulls_first("a")).select("b", "a", "text", *own[1:], *carried)

@@ -12,9 +12,14 @@ shingles, on some segment:
   shingles in an index of such sets: of two linked sets, either one's parts suffice or both are in that index.
 
 A set is indexed in its own band and, as the larger partner, in those below that a partner's size can fall in. Sets that
-share a signature are candidates; they are verified exactly on the whole texts. Inside a bucket every set is paired with
-one hub, not with every other one. Two sets of a bucket that link but do not both link with its hub share a difference
-from the hub; sets that do and are in different components yet are verified with each other, so no link is missed.
+share a signature are candidates. Inside a bucket every set is paired with one hub, on whole texts, not with every other one.
+What two sets of a hub have in common follows exactly from what each lacks of the hub and adds to it, so a task that holds all of a
+hub's sets finds their links among each other by the differences that several of them share. Where a hub has too many sets for one
+task, its buckets get the hub with most links, and sets in different components that share enough differences
+from it are verified with each other. So no link is missed.
+
+Signatures are sorted by signature and node over all tasks. A signature that a third of the sets have is so cut into
+many tasks' shares; the few signatures at the edges of shares are put together by a table of them.
 
 Equal sets are one node, so groups of copies cost one node each. Nodes are 64-bit hashes of the whole sets. Null and
 empty texts have empty sets and link with nothing. Rows with equal ids and different texts are nodes of their own; a
@@ -35,11 +40,13 @@ from pyspark.sql import functions as F
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
-from leadgauge.llm.shared import row_of, small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import discard, row_of, small_or_shuffled, stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
+#: Partners and differences of one hub that a task holds at once; hubs with more are split.
+HELD_PARTNERS, HELD_DIFFERENCES = 1024, 4_000_000
 
 
 class Bands:
@@ -188,38 +195,140 @@ def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(index, "signature long, node long")
 
 
+def _buckets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(signature, node, hub) of the signatures that several sets have; hub is the least of their nodes."""
+    indexed = stored(_indexed(docs, words, percent), "signatures")
+    ordered = indexed.repartitionByRange("signature", "node").sortWithinPartitions("signature", "node")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signature, node = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(signature):
+                continue
+            new = np.append(True, (signature[1:] != signature[:-1]) | (node[1:] != node[:-1]))
+            signature, node = signature[new], node[new]
+            starts = np.flatnonzero(np.append(True, signature[1:] != signature[:-1]))
+            sizes = np.diff(np.append(starts, len(signature)))
+            edge = np.zeros(len(starts), dtype=bool)
+            edge[[0, -1]] = True  # others may have more of these signatures
+            kept = np.repeat((sizes > 1) | edge, sizes)
+            columns = signature[kept], node[kept], np.repeat(node[starts], sizes)[kept], np.repeat(edge, sizes)[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "node", "hub", "edge"])
+
+    met = stored(ordered.mapInArrow(meet, "signature long, node long, hub long, edge boolean"), "buckets")
+    discard(indexed)
+    edges = met.filter("edge").groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
+    edges = stored(edges.filter("hub <> last").drop("last"), "edge-buckets")
+    cut = met.filter("edge").drop("hub", "edge").join(small_or_shuffled(edges, edges.count()), "signature")
+    return met.filter("not edge").drop("edge").unionByName(cut)
+
+
+def links_of_partners(size: int, partners: list[tuple[int, bool, np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) among the sets of a hub that join what is not joined by links with the hub. A partner is (node, linked
+    with the hub, what it adds to the hub's set, what it lacks of it); size is that of the hub's set.
+
+    Sets x and y have size - lacks_x - lacks_y + s in common, where s is how many differences they share. If x does not link with
+    the hub, s is at least lacks_x + t adds_x - (1 - t) size for the threshold t, for s is at most what y has; sets with fewer
+    differences that any other has are left out.
+    """
+    p, m = percent, len(partners)
+    if m < 2 or all(linked for _, linked, _, _ in partners):
+        return []
+    linked = np.array([x[1] for x in partners])
+    adds, lacks = (np.array([len(x[i]) for x in partners]) for i in (2, 3))
+    values = np.concatenate([mixed(v) for _, _, added, lacking in partners for v in (added, ~lacking)])
+    owner = np.repeat(np.repeat(np.arange(m), 2), np.stack([adds, lacks], axis=1).ravel())
+    order = np.argsort(values, kind="stable")
+    starts = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1])) if len(values) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(values)))
+    shared = np.repeat(sizes > 1, sizes)
+    owner, starts, sizes = owner[order][shared], np.cumsum(sizes[sizes > 1]) - sizes[sizes > 1], sizes[sizes > 1]
+    least = np.maximum(1, -(-(100 * lacks + p * adds - (100 - p) * size) // 100))
+    able = ~linked & (np.bincount(owner, minlength=m) >= least)
+    number = np.repeat(np.arange(len(starts)), sizes)
+    by_owner = np.argsort(owner, kind="stable")
+    of_owner = np.searchsorted(owner[by_owner], np.arange(m + 1))
+    whole = size - lacks + adds
+    root = np.where(linked, m, np.arange(m)).tolist() + [m]
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for x in np.flatnonzero(able).tolist():
+        own = number[by_owner[of_owner[x] : of_owner[x + 1]]]
+        many = sizes[own]
+        places = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = size - lacks[x] - lacks + np.bincount(owner[places], minlength=m)
+        for y in np.flatnonzero(100 * common >= p * (whole[x] + whole - common)).tolist():
+            if y != x and find(x) != find(y):
+                root[find(x)] = find(y)
+                links.append((partners[x][0], partners[y][0]))
+    return links
+
+
 VERIFIED = "a long, b long, linked boolean, size int, lacks int, adds int, differences array<int>"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, with_differences: bool) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int, with_differences: bool = False) -> DataFrame:
     """The candidate pairs (a, b) on whole texts: do they link; the hub's size, how many of its shingles a lacks, how
-    many others it adds; and, if asked for, 32-bit hashes of those that it adds and lacks. Where these collide, more pairs are
+    many others it adds. Further rows are links of two partners of a hub. A hub whose partners were not held together has a row without a;
+    if asked for, its pairs have 32-bit hashes of what a adds and lacks. Where these collide, more pairs are
     verified, never fewer."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = np.zeros(0, dtype=np.uint64)
+        hub, hub_id, whole, held = np.zeros(0, dtype=np.uint64), None, True, 0
+        partners: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
+
+        def told(a: int, linked: bool, added: np.ndarray, lacking: np.ndarray, differences: bool) -> tuple:
+            hashes = np.concatenate([mixed(added), mixed(~lacking)]) if differences else np.zeros(0, dtype=np.uint64)
+            listed = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            return a, hub_id, linked, len(hub), len(lacking), len(added), listed
+
+        def finished() -> list[tuple]:
+            links = links_of_partners(len(hub), partners, percent)
+            return [(x, y, True, None, None, None, None) for x, y in links]
+
         for batch in batches:
-            rows = []
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for (b, a), shingles in zip(ids, _sets(batch.column(2), words)):
+            rows: list[tuple] = []
+            ids = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)))
+            for (b, a, alone), shingles in zip(ids, _sets(batch.column(2), words)):
                 if a is None:
-                    hub = shingles
+                    rows += finished()
+                    hub, hub_id, whole, held, partners = shingles, b, alone, 0, []
+                    if not whole:
+                        rows.append((None, b, False, None, None, None, None))
                     continue
-                common = len(np.intersect1d(hub, shingles, assume_unique=True))
+                at = np.minimum(np.searchsorted(hub, shingles), len(hub) - 1)
+                both = hub[at] == shingles
+                kept = np.ones(len(hub), dtype=bool)
+                kept[at[both]] = False
+                added, lacking, common = shingles[~both], hub[kept], int(both.sum())
                 linked = 100 * common >= percent * (len(hub) + len(shingles) - common)
-                differences = np.zeros(0, dtype=np.int32)
-                if with_differences:
-                    added = np.setdiff1d(shingles, hub, assume_unique=True)
-                    lacking = np.setdiff1d(hub, shingles, assume_unique=True)
-                    hashes = np.concatenate([mixed(added), mixed(~lacking)])
-                    differences = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                rows.append((a, b, linked, len(hub), len(hub) - common, len(shingles) - common, differences))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
-            names = ["a", "b", "linked", "size", "lacks", "adds", "differences"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    return at_hubs(pairs, texts).mapInArrow(verify, VERIFIED)
+                rows.append(told(a, linked, added, lacking, with_differences and not whole))
+                if whole:
+                    partners.append((a, linked, added, lacking))
+                    held += len(added) + len(lacking)
+                    if held > HELD_DIFFERENCES:
+                        whole = False
+                        rows.append((None, b, False, None, None, None, None))
+                        if with_differences:
+                            rows += [told(*partner, True) for partner in partners]
+                        partners = []
+            if rows:
+                yield _rows(rows)
+        if rows := finished():
+            yield _rows(rows)
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
+        names = ["a", "b", "linked", "size", "lacks", "adds", "differences"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    return at_hubs(pairs, texts, share=HELD_PARTNERS, alone=True).mapInArrow(verify, VERIFIED)
 
 
 def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -229,14 +338,17 @@ def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> D
     more similar than either is to it. With t the threshold, sets x and y link only if they share at least
     (t (size + adds_x + adds_y) - (size - lacks_x - lacks_y)) / (1 + t) of their differences. If x does not link with the hub,
     that is at least lacks_x + t adds_x - (1 - t) size, for what they share is at most what y has; and
-    more than (lacks_y + t adds_y) / (1 + t). With the differences of a hub in one order, rare ones first, each set leaves out
+    more than (lacks_y + t adds_y) / (1 + t). With the differences of a hub that several components have in one order, rare ones first, each set leaves out
     its last ones, one fewer than it must share: two sets that can link still share one. What is
     behind it in both orders tells how many more they can share at most.
     """
     p = percent
-    # Most differences are one set's own. They come first in its order, and only their number matters.
-    held = tested.select("b", "a", F.explode("differences").alias("d"))
-    held = held.withColumn("n", F.count("*").over(Window.partitionBy("b", "d"))).filter("n > 1")
+    held = tested.select("b", "a", F.explode("differences").alias("d")).distinct()
+    held = held.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    held = stored(held, "differences")
+    several = held.groupBy("b", "d").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    several = stored(several.filter("low <> high").select("b", "d", "n"), "shared-differences")
+    held = held.join(small_or_shuffled(several, several.count()), ["b", "d"])
     last = F.row_number().over(Window.partitionBy("b", "a").orderBy(F.desc("n"), F.desc("d")))
     held = held.withColumn("behind", last - 1).drop("n")
     unlinked = F.ceil((100 * F.col("lacks") + p * F.col("adds") - (100 - p) * F.col("size")) / 100)
@@ -245,10 +357,7 @@ def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> D
     sets = tested.select("b", "a", "linked", "size", "lacks", "adds", least.alias("least"))
     # A set leaves out its last ones, one fewer than it must share.
     ranked = held.join(sets, ["b", "a"]).filter(F.col("behind") >= F.col("least") - 1).drop("least")
-    ranked = ranked.join(roots.withColumnRenamed("node", "a"), "a", "left")
-    ranked = stored(ranked.withColumn("root", F.coalesce("root", "a")), "differences")
-    several = ranked.groupBy("b", "d").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    ranked = ranked.join(several.filter("low <> high").select("b", "d"), ["b", "d"], "left_semi")
+    ranked = stored(ranked, "ranked-differences")
     x, y = ranked.filter("not linked").alias("x"), ranked.alias("y")
     met = (F.col("x.b") == F.col("y.b")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.root") != F.col("y.root"))
     share = p * (F.col("x.size") + F.col("x.adds") + F.col("y.adds")).cast("long") - 100 * (
@@ -262,34 +371,41 @@ def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> D
 def linked_nodes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
     """(node, root) of all nodes that have links. `buckets` has (signature, node, hub), hub the least of its nodes.
 
-    Each bucket's sets are verified against its hub. Buckets that hold several components then take as hub the set with
-    the most links so far. Two sets of a bucket that link, but are still in different components, share differences
-    from that hub; those that can link by what they share are verified with each other.
+    Each bucket's sets are verified against its hub, and with each other as far as a task holds the hub's sets. Buckets of
+    other hubs that hold several components then take as hub the set with the most links so far. Two sets of such a bucket that link, but are
+    still in different components, share differences from that hub; those that can link by what they share are verified
+    with each other.
     """
     pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
-    tested = stored(_verified(pairs, texts_of(pairs), words, percent, False), "verified")
+    tested = stored(_verified(pairs, texts_of(pairs), words, percent), "verified")
     links = tested.filter("linked").select("a", "b")
     roots = stored(components(links), "roots")
+    split = stored(tested.filter("a is null").select(F.col("b").alias("hub")).distinct(), "split-hubs")
+    n = split.count()
+    if not n:
+        discard(pairs)
+        return roots
+    left = stored(buckets.join(small_or_shuffled(split, n), "hub", "left_semi").select("signature", "node"), "split-buckets")
     degrees = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("links"))
-    rows = buckets.select("signature", "node").join(roots.join(degrees, "node", "left"), "node", "left")
+    rows = left.join(roots.join(degrees, "node", "left"), "node", "left")
     rows = rows.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0))})
     best = rows.groupBy("signature").agg(
         F.max(F.struct("links", "node")).alias("best"), F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
     )
-    best = best.filter("low <> high and n > 2").select("signature", F.col("best.node").alias("hub"))
-    again = rows.join(best, "signature").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    again = stored(again.distinct(), "pairs")
+    best = stored(best.filter("low <> high and n > 2").select("signature", F.col("best.node").alias("hub")), "best-hubs")
+    again = left.join(small_or_shuffled(best, best.count()), "signature").filter("node <> hub")
+    again = stored(again.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     if again.isEmpty():
         return roots
     closer = stored(_verified(again, texts_of(again), words, percent, True), "verified")
     links = links.unionByName(closer.filter("linked").select("a", "b"))
     roots = stored(components(links), "roots")
-    more = _sharing_differences(closer, roots, percent)
+    more = _sharing_differences(closer.filter("size(differences) > 0"), roots, percent)
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return roots
-    found = _verified(more, texts_of(more), words, percent, False).filter("linked").select("a", "b")
+    found = _verified(more, texts_of(more), words, percent).filter("linked").select("a", "b")
     return components(links.unionByName(stored(found, "verified")))
 
 
@@ -302,21 +418,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     keyed = docs.select(F.col(id_column).alias("doc_id"), text_or_empty().alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     sets = stored(shingle_sets(keyed, words), "sets")
-    spread = Window.partitionBy("signature")
-    shared = _indexed(keyed, words, percent).withColumns(
-        {"hub": F.min("node").over(spread), "last": F.max("node").over(spread)}
-    )
-    buckets = stored(shared.filter("hub <> last").drop("last"), "buckets")
+    buckets = _buckets(keyed, words, percent)
     holders = holders_of(sets.filter("node is not null"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         return texts_of_nodes(pairs, holders, keyed)
 
     roots = linked_nodes(buckets, texts_of, words, percent)
-    rows = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    rows = rows.join(smallest, "root", "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    rows = stored(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
+    smallest = stored(smallest.filter("n > 1").drop("n"), "smallest")
+    rows = rows.join(small_or_shuffled(smallest, smallest.count()), "root", "left")
+    component = F.coalesce("smallest", "doc_id")  # a component of one row, or of rows without ids, has the row's own
     return rows.select(F.col("doc_id").alias(id_column), "key", "n_shingles", "root", component.alias("component_id"))
 
 
@@ -325,8 +438,10 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_column: s
     text one stays. Documents without words all stay. All columns are kept."""
     rows = stored(jaccard_components(docs, words, percent, id_column).filter("root is not null"), "components")
     place = F.struct(F.col(id_column).isNull().alias("no_id"), F.col(id_column).alias("id"), "key")
-    first = rows.groupBy("root").agg(F.min(place).alias("first"))
-    dropped = stored(rows.join(first, "root").filter(F.col("key") != F.col("first.key")).select("key").distinct(), "dropped")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = stored(first.drop("n"), "first-of-each")
+    later = rows.join(small_or_shuffled(first, first.count()), "root").filter(F.col("key") != F.col("first.key"))
+    dropped = stored(later.select("key").distinct(), "dropped")
     repeated = stored(rows.groupBy("key").count().filter("count > 1").select("key"), "repeated")
     key = F.xxhash64(F.col(id_column), text_or_empty())
     keyed = docs.select(row_of(docs).alias("row"), key.alias("key"))

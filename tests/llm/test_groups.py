@@ -30,13 +30,8 @@ def _family(generator: random.Random, words: list[str], length: int, members: in
     return family
 
 
-@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
-def test_jaccard_components(documents, size, percent):
-    generator = random.Random(size)
-    words = [f"w{n}" for n in range(2000)]
-    texts = [t for n, m, e in ((120, 40, 8), (35, 20, 3), (10, 15, 1), (3, 4, 0)) for t in _family(generator, words, n, m, e)]
-    generator.shuffle(texts)
-    rows = [(100 + n, text) for n, text in enumerate(texts)] + ODD
+def _brute_components(rows: list[tuple], size: int, percent: int) -> tuple[Counter, int, int]:
+    """(id, size, component) of all rows by comparing all pairs, how many components have words, and how many rows have none."""
     sets = []
     for _, text in [r[:2] for r in rows]:
         own = "".join(c.lower() if c.isascii() else c for c in text or "").split()
@@ -57,14 +52,63 @@ def test_jaccard_components(documents, size, percent):
     for x, row in enumerate(rows):
         least.setdefault(find(x), []).append(row[0])
     smallest = {r: min((i for i in ids if i is not None), default=None) for r, ids in least.items()}
-    expected = Counter((row[0], len(sets[x]), smallest[find(x)]) for x, row in enumerate(rows))
-    found = jaccard_join.jaccard_components(documents(rows, "node"), size, percent)
-    assert Counter(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == expected
-    kept = jaccard_join.one_of_each(documents(rows, "key"), size, percent).collect()
     filled = {find(x) for x in range(len(rows)) if sets[x]}
-    assert sum(bool((r.text or "").strip()) for r in kept) == len(filled)
-    assert sum(not (r.text or "").strip() for r in kept) == sum(not s for s in sets)
-    assert jaccard_join.jaccard_components(documents([]), size, percent).count() == 0
+    return Counter((row[0], len(sets[x]), smallest[find(x)]) for x, row in enumerate(rows)), len(filled), sum(not s for s in sets)
+
+
+@pytest.mark.parametrize(("size", "percent", "edits", "partners", "differences", "batch"), [
+    (4, 85, 8, 1024, 4_000_000, 10_000), (5, 80, 8, 1024, 4_000_000, 7), (5, 80, 16, 3, 4_000_000, 10_000), (4, 85, 14, 1024, 300, 10_000),
+])
+def test_jaccard_components(spark, documents, monkeypatch, size, percent, edits, partners, differences, batch):
+    monkeypatch.setattr(jaccard_join, "HELD_PARTNERS", partners)
+    monkeypatch.setattr(jaccard_join, "HELD_DIFFERENCES", differences)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    generator = random.Random(size + edits)
+    words = [f"w{n}" for n in range(2000)]
+    texts = [t for n, m, e in ((120, 40, edits), (35, 20, 3), (10, 15, 1), (3, 4, 0)) for t in _family(generator, words, n, m, e)]
+    generator.shuffle(texts)
+    rows = [(100 + n, text) for n, text in enumerate(texts)] + ODD
+    expected, components_, empty = _brute_components(rows, size, percent)
+    try:
+        found = jaccard_join.jaccard_components(documents(rows, "node"), size, percent)
+        assert Counter(map(tuple, found.select("doc_id", "n_shingles", "component_id").collect())) == expected
+        if batch == 7:
+            kept = jaccard_join.one_of_each(documents(rows, "key"), size, percent).collect()
+            assert sum(bool((r.text or "").strip()) for r in kept) == components_
+            assert sum(not (r.text or "").strip() for r in kept) == empty
+            assert jaccard_join.jaccard_components(documents([]), size, percent).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@given(st.integers(2, 12), st.integers(5, 60), st.integers(0, 1 << 30))
+@settings(max_examples=100, deadline=None)
+def test_links_of_partners_join_all_that_link(m, size, seed):
+    generator = np.random.default_rng(seed)
+    base = np.unique(generator.integers(0, 1 << 63, size, dtype=np.uint64))
+    pool = np.unique(generator.integers(0, 1 << 63, 20, dtype=np.uint64))
+    sets = []
+    for _ in range(m + 1):
+        kept = base[generator.random(len(base)) > generator.choice([0.05, 0.2, 0.4])]
+        sets.append(np.union1d(kept, generator.choice(pool, generator.integers(1, 8), replace=False)))
+    hub, partners = sets[0], []
+    for n, own in enumerate(sets[1:]):
+        common = len(np.intersect1d(hub, own))
+        linked = 100 * common >= 80 * (len(hub) + len(own) - common)
+        partners.append((n, linked, np.setdiff1d(own, hub), np.setdiff1d(hub, own)))
+    joined = list(range(m + 1))
+    links = jaccard_join.links_of_partners(len(hub), partners, 80) + [(n, m) for n, linked, _, _ in partners if linked]
+    for _ in joined:
+        for a, b in links:
+            joined[a] = joined[b] = min(joined[a], joined[b])
+    for a in range(m):
+        for b in range(a):
+            common = len(np.intersect1d(sets[1 + a], sets[1 + b]))
+            if 100 * common >= 80 * (len(sets[1 + a]) + len(sets[1 + b]) - common):
+                assert joined[a] == joined[b]
+    for a, b in jaccard_join.links_of_partners(len(hub), partners, 80):
+        common = len(np.intersect1d(sets[1 + a], sets[1 + b]))
+        assert 100 * common >= 80 * (len(sets[1 + a]) + len(sets[1 + b]) - common)
 
 
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 1 << 30))
