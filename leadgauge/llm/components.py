@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         ways = _both_ways(pairs)
         least = joined(ways.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least")))
         large = ways.join(least, "a").filter(F.col("b") > F.col("a"))
-        large = large.select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = large.select(F.col("b").alias("a"), F.col("least").alias("b"))
         # Now a > b everywhere: tie each node's smaller neighbours, and itself, to the least of them.
         low = joined(large.groupBy("a").agg(F.min("b").alias("least")))
         tied = large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -9,6 +9,8 @@ from leadgauge.llm.shared import small_or_shuffled, stored
 
 #: Partners of a hub that one task reads; hubs with more are dealt to several shares, each with the hub's text.
 HUB_SHARE = 256
+#: Plain rows that a row with carried columns counts as, when it is decided what may be broadcast.
+WIDE = 64
 
 
 def holders_of(rows: DataFrame) -> DataFrame:
@@ -41,9 +43,11 @@ def at_hubs(
     part = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("n") / share), F.lit(1)).cast("long"))
     own = ("share", *(["alone"] if alone else []))
     dealt = dealt.withColumn("alone", F.col("n").isNull()).select("b", part.alias("share"), "a", "alone", *carried)
-    partners = dealt.join(texts, F.col("a") == F.col("node")).select("b", "a", "text", *own, *carried)
-    hubs = dealt.select("b", *own).distinct().join(texts, F.col("b") == F.col("node"))
+    dealt = dealt.select(F.col("a").alias("node"), "b", "a", *own, *carried)
     blank = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in carried]
-    hubs = hubs.select("b", F.lit(None).cast("long").alias("a"), "text", *own, *blank)
-    rows = partners.unionByName(hubs).repartition("b", "share")
+    hubs = dealt.select("b", *own).distinct()
+    hubs = hubs.select(F.col("b").alias("node"), "b", F.lit(None).cast("long").alias("a"), *own, *blank)
+    wanted = dealt.unionByName(hubs)  # at most twice as many rows as pairs
+    rows = texts.join(small_or_shuffled(wanted, pairs.count() * (WIDE if carried else 2)), "node")
+    rows = rows.select("b", "a", "text", *own, *carried).repartition("b", "share")
     return rows.sortWithinPartitions("b", "share", F.asc_nulls_first("a")).select("b", "a", "text", *own[1:], *carried)

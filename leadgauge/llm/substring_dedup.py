@@ -15,8 +15,9 @@ class are settled. Each other key's texts are verified against a hub of the key,
 around both least tokens have so many shingles in common that their similarity can reach the threshold, and the
 similarity of both passages does reach it, they are a passage. Texts of a key that are similar to each other but not
 to the hub share tokens there that the hub lacks: the nearest such tokens on both sides make keys of a longer context, which are
-verified in the next round with a hub of their own, until no key is open. So a run that many texts share, but no passage around
-it, costs one verification for each text, not for each pair.
+verified with a hub of their own, until no key is open. So a run that many texts share, but no passage around
+it, costs one verification for each text, not for each pair. A task that holds all texts of a hub does this by itself;
+the keys of hubs with more texts go through another round of shuffles.
 
 Keys that a third of all rows hold are met in each batch of texts first: only a batch's least text goes into the shuffle
 of the key, and the others are tied to it.
@@ -29,6 +30,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +46,8 @@ from leadgauge.llm.shared import discard, small_or_shuffled, stored, text_chunks
 HASHES = 4
 #: Texts a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
+#: Texts of one hub, and tokens of them, that a task holds at once; hubs with more are split.
+HELD_PARTNERS, HELD_TOKENS = 16_384, 8_000_000
 
 #: `least` is the least node of a batch that has the key, if several of it do; rows of the others carry it and a salt.
 WINDOWS = "hash long, node long, function int, l int, c int, r int, least long, salt long"
@@ -291,10 +295,94 @@ def shared_passages(
     return passages, results
 
 
+#: A text of a key: its number, places p and q, whether a passage with the hub holds them, and the tokens there that the hub lacks.
+Member = tuple[int, int, int, bool, np.ndarray]
+
+
+class Partners:
+    """The texts of one hub and their passages with each other."""
+
+    def __init__(self, width: int, percent: int, lacking: int):
+        self.width, self.percent, self.lacking = width, percent, lacking
+        self.tokens: list[np.ndarray] = []
+        self.covered: list[np.ndarray] = []
+        self.root: list[int] = []
+        self.links: list[int] = []
+        self.keys: list[dict[int, tuple[int, int]]] = []
+        self.members: dict[int, list[Member]] = defaultdict(list)
+        self.tested: dict[tuple[int, int], dict[int, tuple[bool, np.ndarray]]] = {}
+        self.found: list[tuple[int, int, tuple[int, int, int, int]]] = []
+
+    def add(self, tokens: np.ndarray, passages: list, groups: list[int], spots: list[list[int]], results: list) -> None:
+        """A text with its passages with the hub, the keys that it shares with it, and their results."""
+        x = len(self.tokens)
+        self.tokens.append(tokens)
+        self.covered.append(np.zeros(len(tokens), dtype=bool))
+        for c, d, _, _ in passages:
+            self.covered[x][c:d] = True
+        self.root.append(-1 if passages else x)  # -1: the hub
+        self.links.append(len(passages))
+        self.keys.append({})
+        for group, (p, q, _, _), (linked, lacks) in zip(groups, spots, results):
+            self.keys[x].setdefault(group, (p, q))
+            self.members[group].append((x, p, q, linked, lacks))
+
+    def _find(self, x: int) -> int:
+        while x >= 0 and self.root[x] != x:
+            x = self.root[x]
+        return x
+
+    def _test(self, x: int, y: int) -> dict[int, tuple[bool, np.ndarray]]:
+        """The results of x with y as its hub, for all keys that both have."""
+        if (x, y) not in self.tested:
+            groups = [g for g in self.keys[x] if g in self.keys[y]]
+            spots = np.array([(*self.keys[x][g], *self.keys[y][g]) for g in groups], dtype=np.int64).reshape(-1, 4)
+            passages, results = shared_passages(self.tokens[x], self.tokens[y], spots, self.width, self.percent, self.lacking)
+            self.tested[x, y] = dict(zip(groups, results))
+            for c, d, e, f in passages:
+                self.covered[x][c:d] = self.covered[y][e:f] = True
+                self.found.append((x, y, (c, d, e, f)))
+                self.links[x] += 1
+                self.links[y] += 1
+                low, high = sorted((self._find(x), self._find(y)))
+                if high >= 0:
+                    self.root[high] = low
+        return self.tested[x, y]
+
+    def _settled(self, members: list[Member]) -> bool:
+        if len({self._find(x) for x, *_ in members}) > 1:
+            return False
+        return all(self.covered[x][min(p, q) : max(p, q) + 1].all() for x, p, q, _, _ in members)
+
+    def passages(self) -> list[tuple[int, int, tuple[int, int, int, int]]]:
+        """(x, y, passage) of the texts that are similar to each other where not all of a key's texts are to the hub."""
+        for group, members in self.members.items():
+            work, seen = [members], set()
+            while work:
+                holders: dict[int, list[int]] = defaultdict(list)
+                members = work.pop()
+                for i, (_, _, _, _, lacks) in enumerate(members):
+                    for token in lacks.tolist():
+                        holders[token].append(i)
+                for subset in {tuple(own) for own in holders.values() if len(own) > 1}:
+                    own = [members[i] for i in subset]
+                    texts = frozenset(x for x, *_ in own)
+                    if len(texts) < 2 or texts in seen or all(linked for _, _, _, linked, _ in own):
+                        continue
+                    seen.add(texts)
+                    if self._settled(own):
+                        continue
+                    hub = max(texts, key=lambda x: (self.links[x], -x))
+                    longer = [(x, p, q, *self._test(x, hub)[group]) for x, p, q, _, _ in own if x != hub]
+                    if len(longer) > 1 and not all(linked for _, _, _, linked, _ in longer):
+                        work.append(longer)
+        return self.found
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, percent: int) -> DataFrame:
-    """FOUND of the pairs (a, b, spots): verified passages of both texts, in words, and the results of the spots of keys of several
-    texts. A hub's passages are merged over the partners that a task sees one after the other; its rows have a null a
-    where they stand for several."""
+    """FOUND of the pairs (a, b, spots): verified passages of both texts, in words, those of a hub's texts with each other, and the
+    results of the spots of keys of several texts where a task does not hold all texts of the hub. A hub's passages are merged over the
+    partners that a task sees one after the other; rows have a null a where they stand for several."""
     width = length - words + 1
     # Two texts that differ from each other by as many edits as the threshold allows in a stretch, and the hub by as many from one.
     lacking = lacking_most(2 * max(1, width * (100 - percent) // (100 + percent) // words), words)
@@ -305,36 +393,57 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, perce
             for start, end in zip(first[:-1], first[1:]):
                 yield shingle_hashes(hashes[start:end], words)
 
+    def span(a: int | None, b: int, node: int, start: int, end: int) -> tuple:
+        return a, b, node, start, end + words - 1, None, None, None, None, None
+
+    def result(a: int, b: int, group: int, spot: list[int], linked: bool, lacks: np.ndarray) -> tuple:
+        hashes = (mixed(lacks) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return a, b, None, None, None, group, spot[0], spot[1], linked, np.unique(hashes)
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_id, held = np.zeros(0, np.uint64), None, np.zeros(0, bool)
+        partners, names, size = None, [], 0
 
-        def hub_rows() -> list[tuple]:
-            spans = _spans(held) if hub_id is not None else []
-            return [(None, hub_id, hub_id, s, e + words - 1, None, None, None, None, None) for s, e in spans]
+        def finished() -> list[tuple]:
+            """The hub's passages, and those of its texts with each other."""
+            rows = [span(None, hub_id, hub_id, s, e) for s, e in _spans(held)]
+            for x, y, (s, e, c, d) in partners.passages() if partners is not None else ():
+                rows += [span(names[x], names[y], names[x], s, e), span(None, names[y], names[y], c, d)]
+            return rows
 
         for batch in batches:
             rows: list[tuple] = []
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            offsets, values = batch.column(3).offsets.to_numpy(), batch.column(3).values
+            ids = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)))
+            offsets, values = batch.column(4).offsets.to_numpy(), batch.column(4).values
             groups, several = values.field("group").to_pylist(), values.field("several").to_pylist()
             spots = np.stack([values.field(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "hub_p", "hub_q")], axis=1)
-            for n, ((b, a), tokens) in enumerate(zip(ids, tokens_of(batch.column(2)))):
+            for n, ((b, a, alone), tokens) in enumerate(zip(ids, tokens_of(batch.column(2)))):
                 if a is None:
-                    rows += hub_rows()
-                    hub, hub_id, held = tokens, b, np.zeros(len(tokens), bool)
+                    rows += finished()
+                    hub, hub_id, held, size, names = tokens, b, np.zeros(len(tokens), bool), 0, []
+                    partners = Partners(width, percent, lacking) if alone else None
                     continue
                 own = slice(offsets[n], offsets[n + 1])
                 passages, results = shared_passages(tokens, hub, spots[own], width, percent, lacking)
                 for s, e, c, d in passages:
-                    rows.append((a, b, a, s, e + words - 1, None, None, None, None, None))
+                    rows.append(span(a, b, a, s, e))
                     held[c:d] = True
-                for group, more, spot, (linked, lacks) in zip(groups[own], several[own], spots[own].tolist(), results):
-                    if more:
-                        hashes = (mixed(lacks) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        rows.append((a, b, None, None, None, group, spot[0], spot[1], linked, np.unique(hashes)))
+                places = spots[own].tolist()
+                kept = [k for k, more in enumerate(several[own]) if more]
+                groups_of, places, results = [groups[own][k] for k in kept], [places[k] for k in kept], [results[k] for k in kept]
+                size += len(tokens)
+                if partners is not None and size > HELD_TOKENS:
+                    for group, members in partners.members.items():
+                        rows += [result(names[x], b, group, [p, q], linked, lacks) for x, p, q, linked, lacks in members]
+                    partners = None
+                if partners is None:
+                    rows += [result(a, b, g, spot, *found) for g, spot, found in zip(groups_of, places, results)]
+                elif kept:
+                    names.append(a)
+                    partners.add(tokens, passages, groups_of, places, results)
             if rows:
                 yield _rows(rows)
-        if hub_id is not None and (rows := hub_rows()):
+        if rows := finished():
             yield _rows(rows)
 
     kinds = [pa.int64()] * 6 + [pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32())]
@@ -342,7 +451,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, perce
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], _names(FOUND))
 
-    return at_hubs(pairs, texts, ("spots",)).mapInArrow(verify, FOUND)
+    return at_hubs(pairs, texts, ("spots",), HELD_PARTNERS, alone=True).mapInArrow(verify, FOUND)
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

@@ -229,7 +229,45 @@ def test_every_shared_passage_of_two_texts_is_verified(documents):
         rows += [generator.choices(words, k=60) + other[:45] + generator.choices(words, k=9) for _ in range(3)]
     found = substring_dedup.repeated_passages(documents([(n, " ".join(r)) for n, r in enumerate(rows)])).collect()
     got = {r.doc_id: r.repeated_words for r in found}
-    assert sum(got[5 * n + k] >= 108 for n in range(6) for k in range(2)) >= 10
+    assert sum(got[5 * n + k] >= 108 for n in range(6) for k in range(2)) >= 11
+
+
+@pytest.mark.parametrize(("partners", "tokens"), [(1024, 4_000_000), (3, 4_000_000), (1024, 500)])
+def test_recall_of_edited_passages_in_crowded_keys(documents, monkeypatch, partners, tokens):
+    """Brute force over all pairs of texts: which variants of one passage have a stretch of 50 words at a similarity of 0.8."""
+    monkeypatch.setattr(substring_dedup, "HELD_PARTNERS", partners)
+    monkeypatch.setattr(substring_dedup, "HELD_TOKENS", tokens)
+    generator = random.Random(partners + tokens)
+    words = [f"v{n}" for n in range(4000)]
+    texts, families = [], []
+    for members, edits in ((30, 2), (25, 3), (12, 1)) if partners > 3 else ((14, 2), (12, 1)):
+        original, family = generator.choices(words, k=62), []
+        for _ in range(members):
+            variant = list(original)
+            for _ in range(generator.randint(1, edits)):
+                variant[generator.randrange(62)] = generator.choice(words)
+            family.append(variant)
+        run = original[20:44]  # a shorter run that others share
+        families.append((len(texts), family))
+        texts += [generator.choices(words, k=25) + variant + generator.choices(words, k=25) for variant in family]
+        texts += [generator.choices(words, k=40) + run + generator.choices(words, k=40) for _ in range(members // 2)]
+    found = substring_dedup.repeated_passages(documents([(n, " ".join(own)) for n, own in enumerate(texts)])).collect()
+    class_of = {r.doc_id: r.class_id for r in found}
+    repeated = {r.doc_id: r.repeated_words for r in found}
+    linked, kept, covered, expected = 0, 0, 0, set()
+    for start, family in families:
+        shingles = [[tuple(v[i : i + 5]) for i in range(58)] for v in family]
+        for x in range(len(family)):
+            for y in range(x):
+                sets = (({*shingles[x][a : a + 46]}, {*shingles[y][a : a + 46]}) for a in range(13))
+                if any(100 * len(s & t) >= 80 * len(s | t) for s, t in sets):
+                    linked += 1
+                    kept += class_of[start + x] == class_of[start + y]
+                    expected |= {start + x, start + y}
+    covered = sum(repeated[n] >= 50 for n in expected)
+    assert linked > 20 and kept >= 0.9 * linked and covered >= 0.9 * len(expected)
+    alone = set(range(len(texts))) - {s + n for s, family in families for n in range(len(family))}
+    assert all(repeated[n] == 0 and class_of[n] == n for n in alone)
 
 
 @pytest.mark.parametrize("settings_", [{}, {"shard_rows": 40, "block_rows": 3}])
