@@ -27,6 +27,25 @@ from leadgauge.llm.shared import text_or_empty
 KEPT_WORDS = 1_000_000
 KEPT_LENGTH = 64
 
+# Capital letters of newer Unicode versions than Python's tables, as ranges with the distance to their small letters.
+NEWER_CAPITALS = [
+    (0x1C89, 0x1C89, 1),
+    (0xA7CB, 0xA7CB, 0x264 - 0xA7CB),
+    (0xA7CC, 0xA7CC, 1),
+    (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20),
+    (0x16EA0, 0x16EB8, 0x1B),
+]
+#: From here on no code point is a letter; the tables of the regular expressions have a few there.
+NO_LETTERS = "\U000323b0-\U0010ffff"
+
+_NEWER = {c: c + step for first, last, step in NEWER_CAPITALS for c in range(first, last + 1)}
+_RARE = regex.compile("[" + "".join(map(chr, _NEWER)) + NO_LETTERS + "]")
+
 
 class Tokenizer:
     """The parts of a tokenizer file that decide how many tokens a text has."""
@@ -39,7 +58,9 @@ class Tokenizer:
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(regex.escape(t) for t in special)) if special else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"], regex.V0)
+        pattern = steps[0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern, regex.V0)
+        self.words_of_rare = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NO_LETTERS}]]"), regex.V1)
         self.letters = _byte_letters()
         self.known: dict[str, int] = {}
 
@@ -53,7 +74,10 @@ class Tokenizer:
         if not text.isascii():
             # Letters are lowered one by one, so a capital sigma at a word's end is no exception.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.words.findall(text.lower())
+        if not text.isascii() and _RARE.search(text):
+            words = self.words_of_rare.findall(text.translate(_NEWER).lower())
+        else:
+            words = self.words.findall(text.lower())
         known = self.known
         try:
             return sum(map(known.__getitem__, words))
