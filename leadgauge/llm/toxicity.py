@@ -35,11 +35,9 @@ BUCKET_BITS = 18
 COST = 0.2
 #: Signed root of the deviance beyond which log-odds are taken as different from zero.
 CLEAR = 3.5
-#: Best segments that enter the sum law; the others add less evidence than a further term costs.
-SUMMED = 8
 SIGNIFICANT = 0.01
-EVIDENCE_BINS = 600
-EVIDENCE_WIDTH = 0.1
+#: Evidence is counted in bins that are so wide on a log scale, so there are few of them however great it gets.
+BIN_WIDTH = 0.01
 
 Segment = tuple[int, int, float]
 
@@ -102,12 +100,14 @@ class Model:
     curve: tuple[float, float]
 
     def evidence(self, tokens: int, best: list[float]) -> float:
-        """Minus the log of the chance that a harmless text of this length has such best segments; the sum law."""
+        """Minus the log of the chance that a harmless text of this length has such best segments; the sum law, over as many
+        segments as give most evidence. Segments that chance gives such a text at least once do not enter it."""
         most, total = 0.0, 0.0
-        for r, score in enumerate(sorted(best, reverse=True)[:SUMMED], start=1):
-            total += self.decay * score - self.log_scale - math.log(max(tokens, 1))
-            if total <= 0:
+        for r, score in enumerate(sorted(best, reverse=True), start=1):
+            normalised = self.decay * score - self.log_scale - math.log(max(tokens, 1))
+            if normalised <= 0:
                 break
+            total += normalised
             log_p = -total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)
             most = max(most, -log_p - r * math.log(2))
         return most
@@ -200,9 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for batch in batches:
             tokens, best = [], []
             for buckets in token_buckets(batch.column(1)):
-                found = [score for _, _, score in maximal_segments(shared.value[buckets])]
                 tokens.append(len(buckets))
-                best.append(sorted(found, reverse=True)[:SUMMED])
+                best.append(sorted((score for _, _, score in maximal_segments(shared.value[buckets])), reverse=True))
             arrays = [batch.column(0), pa.array(tokens, pa.int64()), pa.array(best, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["label", "tokens", "best"])
 
@@ -216,13 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             evidence = [model.evidence(n, best) for n, best in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            bins = np.minimum(np.array(evidence) / EVIDENCE_WIDTH, EVIDENCE_BINS - 1).astype(np.int64)
+            bins = np.rint(np.log1p(np.array(evidence, dtype=float)) / BIN_WIDTH).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins)], ["label", "bin"])
 
     bins = rows.mapInArrow(binned, "label int, bin long").groupBy("label", "bin").count().toArrow()
     y, place, n = (bins.column(c).to_numpy() for c in ("label", "bin", "count"))
     order = np.lexsort((place, y))
-    model.curve = _weighted_curve(place[order] * EVIDENCE_WIDTH, y[order], n[order].astype(float))
+    model.curve = _weighted_curve(np.expm1(place[order] * BIN_WIDTH), y[order], n[order].astype(float))
     return model
 
 
@@ -241,7 +240,7 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", threshold:
                 evidence.append(model.evidence(len(buckets), [s for _, _, s in found]))
                 rated = [(start, end, s, model.expected(len(buckets), s)) for start, end, s in found]
                 passages.append([dict(zip(("start", "end", "score", "expected"), x)) for x in rated if x[3] <= SIGNIFICANT])
-            scores = pa.array(probability(np.minimum(np.array(evidence, dtype=float), EVIDENCE_BINS * EVIDENCE_WIDTH), model.curve))
+            scores = pa.array(probability(np.array(evidence, dtype=float), model.curve))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), scores, pa.array(passages, pa.list_(passage))], ["id", "score", "passages"]
             )
