@@ -10,7 +10,8 @@ Each call gets one row with a status, the first that holds of: `cycle` (its mess
 (no schema has its name), `invalid` (arguments do not fit), `dangling` (`after` names no earlier call), `unanswered` (no result, or one
 from before the call) and `ok`; and one canonical JSON text: keys sorted, no blanks, no escapes of printable letters.
 
-Messages that are no such objects have no calls, whatever their role; null texts too. Null conversation ids are one conversation. Calls
+Messages that are no such objects have no calls, whatever their role; null texts too. Neither have those whose JSON holds numbers that are not
+finite, half a surrogate pair, or more levels than can be read. Null conversation ids are one conversation. Calls
 without an id are never answered. Equal messages are repeated calls. Arguments that are not an object are invalid. An empty table
 gives an empty result.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +32,8 @@ CALLS = (
     "after array<string>"
 )
 RESULTS = "conv_id {0}, turn {1}, call_id string, content string"
+#: Levels of JSON that can be written if they can be read.
+SAFE_LEVELS = 100
 _KINDS = {
     "object": dict,
     "array": list,
@@ -46,11 +50,12 @@ def canonical(value: object) -> str:
 
 
 def fits(value: object, schema: dict) -> bool:
-    """Whether a value fits a schema of type, enum, bounds, lengths, items, properties, required, additionalProperties."""
-    kind = schema.get("type")
-    if kind is not None:
+    """Whether a value fits a schema of type (one or a list), enum, bounds, lengths, items, properties, required, additionalProperties."""
+    kinds = schema.get("type")
+    if kinds is not None:
         is_bool = isinstance(value, bool)
-        if not isinstance(value, _KINDS[kind]) or is_bool != (kind == "boolean"):
+        kinds = kinds if isinstance(kinds, list) else [kinds]
+        if not any(isinstance(value, _KINDS[kind]) and is_bool == (kind == "boolean") for kind in kinds):
             return False
     if "enum" in schema and value not in schema["enum"]:
         return False
@@ -98,10 +103,22 @@ def topological(names: list[str | None], needs: list[list[str]]) -> tuple[list[i
     return order + stuck, set(stuck)
 
 
+def _refused(name: str) -> None:
+    raise ValueError(name)
+
+
+def _finite(number: str) -> float:
+    value = float(number)
+    return value if math.isfinite(value) else _refused(number)
+
+
 def _loaded(text: str | None) -> dict:
+    """The JSON object of a message; an empty one if it holds none that can be written again."""
     try:
-        value = json.loads(text) if text and text.lstrip().startswith("{") else {}
-    except (ValueError, RecursionError):
+        value = json.loads(text, parse_constant=_refused, parse_float=_finite) if text and text.lstrip().startswith("{") else {}
+        if text and ("\\u" in text or text.count("[") + text.count("{") > SAFE_LEVELS):
+            canonical(value).encode()
+    except (ValueError, RecursionError):  # the former also if a letter cannot be encoded
         return {}
     return value if isinstance(value, dict) else {}
 

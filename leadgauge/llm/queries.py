@@ -52,7 +52,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
-#: What a call made of a user's turn must hold.
+#: What the calls made of a user's turn must hold.
+CHECK = {"type": "object", "properties": {"turn": {"type": ["integer", "null"], "minimum": 0}}, "required": ["turn"]}
 ASK = {
     "type": "object",
     "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}},
@@ -63,15 +64,22 @@ ASK = {
 
 def tool_messages(conversations: DataFrame) -> DataFrame:
     """Conversations as tool use: a user's turn calls `ask`, needing the call two turns before if the turn is no early
-    one; an assistant's turn is the result of the call one turn before."""
+    one, and the `check` of its own message, which is given after it; an assistant's turn is the result of the `ask` one turn before."""
     turn = F.col("turn")
     number = F.concat(F.lit("c"), turn.cast("string"))
+    check = F.concat(F.lit("k"), turn.cast("string"))
     before = F.when(turn >= 3, F.array(F.concat(F.lit("c"), (turn - 2).cast("string")))).otherwise(F.array().cast("array<string>"))
-    arguments = F.struct(F.col("text").alias("prompt"), turn.alias("turn"))
-    call = F.struct(number.alias("id"), F.lit("ask").alias("name"), arguments.alias("arguments"), before.alias("after"))
+
+    def call(number: F.Column, name: str, prompt: F.Column, after: F.Column) -> F.Column:
+        arguments = F.struct(prompt.alias("prompt"), turn.alias("turn")).alias("arguments")  # JSON leaves a null prompt out
+        return F.struct(number.alias("id"), F.lit(name).alias("name"), arguments, after.alias("after"))
+
+    none = F.array().cast("array<string>")
+    ask = call(number, "ask", F.col("text"), F.concat(before, F.array(check)))
+    calls = F.to_json(F.struct(F.array(ask, call(check, "check", F.lit(None).cast("string"), none)).alias("tool_calls")))
     answer = F.concat(F.lit("c"), (turn - 1).cast("string")).alias("tool_call_id")
     text = (
-        F.when(F.col("role") == "user", F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+        F.when(F.col("role") == "user", calls)
         .when(F.col("role") == "assistant", F.to_json(F.struct(answer, F.col("text").alias("content"))))
         .otherwise(F.col("text"))
     )
@@ -80,7 +88,7 @@ def tool_messages(conversations: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.linked_calls(tool_messages(read(spark, sf_dir, "conversations")), {"ask": ASK})
+    return chat.linked_calls(tool_messages(read(spark, sf_dir, "conversations")), {"ask": ASK, "check": CHECK})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,9 +205,15 @@ SQL: dict[str, str] = {
             left join a on a.conv_id = u.conv_id and a.turn = u.turn + 1
             left join u p on p.conv_id = u.conv_id and p.turn = u.turn - 2
         )
-        select conv_id, turn, 0::integer as place, 'c' || turn as call_id, 'ask' as name, status, result_turn,
-               '{"after":[' || case when needs then '"c' || (turn - 2) || '"' else '' end
-               || '],"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn
+        select conv_id, turn, 0::integer as place, 'k' || turn as call_id, 'check' as name, 'unanswered' as status,
+               null as result_turn,
+               '{"after":[],"arguments":{"turn":' || turn || '},"id":"k' || turn
+               || '","name":"check","result":null,"status":"unanswered"}' as call
+        from u
+        union all
+        select conv_id, turn, 1::integer as place, 'c' || turn as call_id, 'ask' as name, status, result_turn,
+               '{"after":[' || case when needs then '"c' || (turn - 2) || '",' else '' end || '"k' || turn
+               || '"],"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn
                || '},"id":"c' || turn || '","name":"ask","result":'
                || case when result_turn is null then 'null' else to_json(content)::varchar end
                || ',"status":"' || status || '"}' as call

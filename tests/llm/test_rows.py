@@ -298,6 +298,21 @@ def test_tool_calls(spark):
     assert chat.linked_calls(messages.limit(0), {"f": SCHEMA}).count() == 0
 
 
+def test_messages_that_cannot_be_written_again_have_no_calls(spark):
+    bad = ['{"n": NaN}', '{"n": 1e400}', '{"n": -Infinity}', '{"n": "\\ud800"}', "[" * 200_000 + "]" * 200_000]
+    rows = [(1, n, "assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": ' + b + "}]}") for n, b in enumerate(bad)]
+    rows += [(2, n, "assistant", f'{{"tool_calls": [{{"id": {b}, "name": "f"}}]}}') for n, b in enumerate(['"\\udc00"', "NaN", "1e999"])]
+    rows += [(3, n, "tool", f'{{"tool_call_id": "a", "content": {b}}}') for n, b in enumerate(bad)]
+    rows += [(4, 0, "assistant", '{"tool_calls": [{"id": "\\ud83d\\ude00", "name": "f", "arguments": {"n": 1.5}}]}')]
+    rows += [(4, 1, "tool", '{"tool_call_id": "\\ud83d\\ude00", "content": "\\u00e9"}')]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    schema = {"type": "object", "properties": {"n": {"type": ["number", "null"]}}}
+    (found,) = chat.linked_calls(messages, {"f": schema}).collect()
+    assert (found.conv_id, found.call_id, found.status, found.result_turn) == (4, "\U0001f600", "ok", 1)
+    assert json.loads(found.call)["result"] == "é"
+    assert chat.fits(None, {"type": ["integer", "null"]}) and not chat.fits(True, {"type": ["integer", "null"]})
+
+
 @given(st.lists(st.lists(st.integers(0, 7), max_size=3), max_size=8))
 @settings(deadline=None)
 def test_topological_order(needs):
