@@ -276,19 +276,48 @@ def test_top_k(spark, settings_):
     vectors = [(n, generator.normal(size=8).tolist()) for n in range(300)]
     vectors += [(n, vectors[50][1]) for n in range(300, 340)] + [(50, vectors[50][1]), (None, vectors[0][1])]
     bad = [(400, None), (450, [1.0] * 7 + [None]), (500, [float("nan")] * 8), (550, [float("inf")] + [0.0] * 7)]
+    vectors += [(n, generator.normal(size=3).tolist()) for n in range(600, 720, 5)] + [(800, []), (801, [])]
+    vectors += [(850 + n, [float(n) * 1e30, 1.0]) for n in range(3)]
     df = spark.createDataFrame(vectors + bad, "vec_id long, embedding array<float>").withColumn("row", F.lit(1))
     found = topk.top_k(df.repartition(3), **settings_)
-    whole = [(i, np.floor(256 * np.asarray(v, dtype=np.float32).astype(float)).astype(int)) for i, v in vectors]
+    whole = [(i, [int(x) * 256 if abs(x) > 1e9 else int(np.floor(256 * x)) for x in np.asarray(v, dtype=np.float32).astype(float).tolist()]) for i, v in vectors]
     expected = Counter()
     for x, (i, q) in enumerate(whole):
         if i is not None and i % 50 == 0:
-            others = [(-int(q @ v), j if j is not None else 1 << 62, j) for y, (j, v) in enumerate(whole) if y != x]
+            others = [(-min(sum(a * b for a, b in zip(q, v)), (1 << 63) - 1), j if j is not None else 1 << 62, j) for y, (j, v) in enumerate(whole) if y != x and len(v) == len(q)]
             expected += Counter((i, rank, j, -s) for rank, (s, _, j) in enumerate(sorted(others)[:5], 1))
     assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found.collect()) == expected
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id in (0, 1)")).count() == 1
 
 
+@given(st.integers(1, 200), st.integers(1, 4), st.integers(1, 7), st.integers(0, 1 << 30))
+@settings(max_examples=60, deadline=None)
+def test_ball_tree_search_is_exact(n, width, k, seed):
+    generator = np.random.default_rng(seed)
+    vectors = generator.integers(-4, 5, (n, width)).astype(float)
+    ids = generator.integers(0, 50, n)
+    shard = topk.Shard(vectors, ids, np.arange(n))
+    shard.tree = topk.BallTree(vectors, leaf_rows=3)
+    search = topk.Search(shard, vectors, np.arange(n), np.full(n, topk.NO_SCORE), k)
+    search.run()
+    for x in range(n):
+        best = sorted((-int(vectors[x] @ vectors[y]), int(ids[y]), y) for y in range(n) if y != x)[:k]
+        found = [(-s, i, r) for s, i, r in zip(search.scores[x].tolist(), search.ids[x].tolist(), search.rows[x].tolist()) if s > topk.NO_SCORE]
+        assert found == best
+
+
+def test_ball_tree_leaves_subtrees_out():
+    generator = np.random.default_rng(6)
+    vectors = (generator.integers(-8, 9, (2000, 1)) * 300 + generator.integers(0, 20, (2000, 4))).astype(float)
+    shard, looked = topk.Shard(vectors, np.arange(2000), np.arange(2000)), []
+    search = topk.Search(shard, vectors[:50], np.arange(50), np.full(50, topk.NO_SCORE), 5)
+    plain = search._take
+    search._take = lambda which, members, scores: (looked.append(scores.size), plain(which, members, scores))
+    search.run()
+    assert sum(looked) < 0.5 * 50 * 2000
+
+
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=9))
 def test_targets_share_everything(words):
     weights = [1 + n % 3 for n in range(len(words))]
