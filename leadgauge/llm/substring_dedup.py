@@ -14,7 +14,7 @@ texts of a key agree in both functions with each other, not only with a hub. Key
 class are settled. Each other key's texts are verified against a hub of the key, the text with most links: where stretches of `length` words
 around both least tokens have so many shingles in common that their similarity can reach the threshold, and the
 similarity of both passages does reach it, they are a passage. Texts of a key that are similar to each other but not
-to the hub share tokens there that the hub lacks: the nearest such tokens on both sides make keys of a longer context, which are
+to the hub share tokens there that the hub lacks: such tokens make keys of a longer context, which are
 verified with a hub of their own, until no key is open. So a run that many texts share, but no passage around
 it, costs one verification for each text, not for each pair. A task that holds all texts of a hub does this by itself;
 the keys of hubs with more texts go through another round of shuffles.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,10 @@ from leadgauge.llm.shared import discard, small_or_shuffled, stored, text_chunks
 HASHES = 4
 #: Texts a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
-#: Texts of one hub, and tokens of them, that a task holds at once; hubs with more are split.
-HELD_PARTNERS, HELD_TOKENS = 16_384, 8_000_000
+#: Texts of one hub, and tokens and spots of them, that a task holds at once; hubs with more are split.
+HELD_PARTNERS, HELD_TOKENS, HELD_SPOTS = 16_384, 8_000_000, 2_000_000
+#: Tokens of a hub within which the spots of a text are one place.
+PLACE = 16
 
 #: `least` is the least node of a batch that has the key, if several of it do; rows of the others carry it and a salt.
 WINDOWS = "hash long, node long, function int, l int, c int, r int, least long, salt long"
@@ -243,27 +246,46 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def lacking_most(edits: int, words: int) -> int:
-    """Tokens that so many edited words change."""
-    return edits * words + 1
+@dataclass
+class Spot:
+    """What a text has around the places p and q of two least tokens that it shares with a hub."""
+
+    p: int
+    q: int
+    hub_p: int
+    hub_q: int
+    #: Whether a passage with the hub holds both places.
+    linked: bool
+    #: The tokens of all stretches that hold both places, and which of them the hub has there.
+    tokens: np.ndarray
+    same: np.ndarray
+
+    def most(self, has: np.ndarray, width: int) -> int:
+        """The most tokens of one stretch that something has."""
+        sums = np.concatenate(([0], np.cumsum(has)))
+        width = min(width, len(has))
+        return int((sums[width:] - sums[: len(sums) - width]).max())
+
+
+def least_common(width: int, percent: int) -> int:
+    """Similarity s of two stretches of n tokens takes at least 2 s n / (1 + s) common ones."""
+    return -(-2 * percent * width // (100 + percent))
 
 
 def shared_passages(
-    mine: np.ndarray, hub: np.ndarray, spots: np.ndarray, width: int, percent: int, lacking: int
-) -> tuple[list[tuple[int, int, int, int]], list[tuple[bool, np.ndarray]]]:
+    mine: np.ndarray, hub: np.ndarray, spots: np.ndarray, width: int, percent: int
+) -> tuple[list[tuple[int, int, int, int]], list[Spot]]:
     """Verified passages (start, end, start at hub, end at hub) in tokens, ends exclusive, around the spots (p, q, p at hub, q at
-    hub), places of least tokens that both texts have; and for each spot whether a passage holds it, with the nearest
-    `lacking` tokens on each side that the hub lacks there."""
+    hub), places of least tokens that both texts have; and what there is at each spot."""
     passages: list[tuple[int, int, int, int]] = []
-    results: list[tuple[bool, np.ndarray]] = [(False, mine[:0])] * len(spots)
+    results: list[Spot | None] = [None] * len(spots)
     first, last = np.minimum(spots[:, 0], spots[:, 1]), np.maximum(spots[:, 0], spots[:, 1])
     begin, end = np.maximum(last - width + 1, 0), np.minimum(first + width, len(mine))
     low = np.maximum(np.maximum(spots[:, 2], spots[:, 3]) - width + 1, 0)
     high = np.minimum(np.minimum(spots[:, 2], spots[:, 3]) + width, len(hub))
     order = np.argsort(begin, kind="stable")
     reach = np.maximum.accumulate(end[order])
-    # Similarity s of two stretches of n tokens takes at least 2 s n / (1 + s) common ones.
-    least = -(-2 * percent * width // (100 + percent))
+    least = least_common(width, percent)
     for own in np.split(order, np.flatnonzero(begin[order][1:] >= reach[:-1]) + 1):
         a, b = int(begin[own[0]]), int(end[own].max())
         same = _among(mine[a:b], np.sort(hub[int(low[own].min()) : int(high[own].max())]))
@@ -286,35 +308,29 @@ def shared_passages(
                 if y - x >= width and (spot := _similar(mine, hub, shifts, *part, percent)) is not None:
                     found.append((*part, *spot))
         passages += found
-        other = np.flatnonzero(~same) + a
         for i in own.tolist():
             linked = any(c <= first[i] and last[i] < d for c, d, _, _ in found)
-            right = other[(other > first[i]) & (other < end[i])][:lacking]
-            left = other[(other < last[i]) & (other >= begin[i])][-lacking:]
-            results[i] = linked, mine[np.union1d(left, right)]
+            region = slice(begin[i], end[i])
+            results[i] = Spot(*spots[i].tolist(), linked, mine[region], same[begin[i] - a : end[i] - a])
     return passages, results
 
 
-#: A text of a key: its number, places p and q, whether a passage with the hub holds them, and the tokens there that the hub lacks.
-Member = tuple[int, int, int, bool, np.ndarray]
-
-
 class Partners:
-    """The texts of one hub and their passages with each other."""
+    """The texts of one hub, by number, and their passages with each other. Keys that lie at one place of the hub are one."""
 
-    def __init__(self, width: int, percent: int, lacking: int):
-        self.width, self.percent, self.lacking = width, percent, lacking
+    def __init__(self, width: int, percent: int):
+        self.width, self.percent = width, percent
         self.tokens: list[np.ndarray] = []
         self.covered: list[np.ndarray] = []
         self.root: list[int] = []
         self.links: list[int] = []
-        self.keys: list[dict[int, tuple[int, int]]] = []
-        self.members: dict[int, list[Member]] = defaultdict(list)
-        self.tested: dict[tuple[int, int], dict[int, tuple[bool, np.ndarray]]] = {}
+        self.keys: list[dict[tuple[int, int], Spot]] = []
+        self.members: dict[tuple[int, int], list[int]] = defaultdict(list)
+        self.tested: set[tuple[int, int]] = set()
         self.found: list[tuple[int, int, tuple[int, int, int, int]]] = []
 
-    def add(self, tokens: np.ndarray, passages: list, groups: list[int], spots: list[list[int]], results: list) -> None:
-        """A text with its passages with the hub, the keys that it shares with it, and their results."""
+    def add(self, tokens: np.ndarray, passages: list, spots: list[Spot]) -> None:
+        """A text with its passages with the hub, and what it has at the spots that it shares with it."""
         x = len(self.tokens)
         self.tokens.append(tokens)
         self.covered.append(np.zeros(len(tokens), dtype=bool))
@@ -323,69 +339,93 @@ class Partners:
         self.root.append(-1 if passages else x)  # -1: the hub
         self.links.append(len(passages))
         self.keys.append({})
-        for group, (p, q, _, _), (linked, lacks) in zip(groups, spots, results):
-            self.keys[x].setdefault(group, (p, q))
-            self.members[group].append((x, p, q, linked, lacks))
+        for spot in spots:
+            self.keys[x].setdefault((spot.hub_p // PLACE, spot.hub_q // PLACE), spot)
+        for group in self.keys[x]:
+            self.members[group].append(x)
 
     def _find(self, x: int) -> int:
         while x >= 0 and self.root[x] != x:
             x = self.root[x]
         return x
 
-    def _test(self, x: int, y: int) -> dict[int, tuple[bool, np.ndarray]]:
-        """The results of x with y as its hub, for all keys that both have."""
-        if (x, y) not in self.tested:
-            groups = [g for g in self.keys[x] if g in self.keys[y]]
-            spots = np.array([(*self.keys[x][g], *self.keys[y][g]) for g in groups], dtype=np.int64).reshape(-1, 4)
-            passages, results = shared_passages(self.tokens[x], self.tokens[y], spots, self.width, self.percent, self.lacking)
-            self.tested[x, y] = dict(zip(groups, results))
-            for c, d, e, f in passages:
-                self.covered[x][c:d] = self.covered[y][e:f] = True
-                self.found.append((x, y, (c, d, e, f)))
-                self.links[x] += 1
-                self.links[y] += 1
-                low, high = sorted((self._find(x), self._find(y)))
-                if high >= 0:
-                    self.root[high] = low
-        return self.tested[x, y]
-
-    def _settled(self, members: list[Member]) -> bool:
-        if len({self._find(x) for x, *_ in members}) > 1:
+    def _covered(self, x: int, group: tuple[int, int]) -> bool:
+        spot = self.keys[x][group]
+        return bool(self.covered[x][min(spot.p, spot.q) : max(spot.p, spot.q) + 1].all())
+
+    def _test(self, x: int, y: int) -> bool:
+        """Look for passages of two texts around all keys that both have; whether there are any."""
+        if (min(x, y), max(x, y)) in self.tested:
             return False
-        return all(self.covered[x][min(p, q) : max(p, q) + 1].all() for x, p, q, _, _ in members)
+        self.tested.add((min(x, y), max(x, y)))
+        both = [(self.keys[x][g], self.keys[y][g]) for g in self.keys[x] if g in self.keys[y]]
+        last = len(self.tokens[y]) - 1
+        spots = []
+        for a, b in both:  # the place of y that lies at the hub where that of x does
+            at = min(max(b.p + a.hub_p - b.hub_p, 0), last)
+            spots.append((a.p, a.q, at, min(max(at + a.q - a.p, 0), last)))
+        spots = np.array(spots, dtype=np.int64)
+        passages, _ = shared_passages(self.tokens[x], self.tokens[y], spots, self.width, self.percent)
+        for c, d, e, f in passages:
+            self.covered[x][c:d] = self.covered[y][e:f] = True
+            self.found.append((x, y, (c, d, e, f)))
+            self.links[x] += 1
+            self.links[y] += 1
+        low, high = sorted((self._find(x), self._find(y)))
+        if passages and high >= 0:
+            self.root[high] = low
+        return bool(passages)
 
     def passages(self) -> list[tuple[int, int, tuple[int, int, int, int]]]:
         """(x, y, passage) of the texts that are similar to each other where not all of a key's texts are to the hub."""
         for group, members in self.members.items():
-            work, seen = [members], set()
-            while work:
-                holders: dict[int, list[int]] = defaultdict(list)
-                members = work.pop()
-                for i, (_, _, _, _, lacks) in enumerate(members):
-                    for token in lacks.tolist():
-                        holders[token].append(i)
-                for subset in {tuple(own) for own in holders.values() if len(own) > 1}:
-                    own = [members[i] for i in subset]
-                    texts = frozenset(x for x, *_ in own)
-                    if len(texts) < 2 or texts in seen or all(linked for _, _, _, linked, _ in own):
-                        continue
-                    seen.add(texts)
-                    if self._settled(own):
-                        continue
-                    hub = max(texts, key=lambda x: (self.links[x], -x))
-                    longer = [(x, p, q, *self._test(x, hub)[group]) for x, p, q, _, _ in own if x != hub]
-                    if len(longer) > 1 and not all(linked for _, _, _, linked, _ in longer):
-                        work.append(longer)
+            failed = [n for n, x in enumerate(members) if not self.keys[x][group].linked]
+            if len(members) < 2 or not failed:
+                continue
+            one = len({self._find(x) for x in members}) == 1
+            open_ = [n for n in failed if not (one and self._covered(members[n], group))]
+            if open_:
+                self._resolve(group, members, open_)
         return self.found
 
+    def _resolve(self, group: tuple[int, int], members: list[int], open_: list[int]) -> None:
+        """Test each open text with others that share tokens with it that the hub lacks, those that share most first, until
+        it is in a passage there and in one class with all of them."""
+        least = least_common(self.width, self.percent)
+        spots = [self.keys[x][group] for x in members]
+        lacking = [np.unique(spot.tokens[~spot.same]) for spot in spots]
+        values, owner = np.concatenate(lacking), np.repeat(np.arange(len(members)), [len(v) for v in lacking])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(values)))
+        shared = values[starts[sizes > 1]]
+        root = np.array([self._find(x) for x in members])
+        links = np.array([self.links[x] for x in members])
+        for n in open_:
+            x, spot = members[n], spots[n]
+            if spot.most(spot.same | _among(spot.tokens, shared), self.width) < least:
+                continue  # no text can have enough of its tokens
+            at = np.searchsorted(values[starts], lacking[n])
+            many = sizes[at]
+            places = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(owner[places], minlength=len(members))
+            common[n] = 0
+            need = max(1, least - spot.most(spot.same, self.width))
+            can = np.flatnonzero(common >= need)
+            for y in can[np.lexsort((-links[can], -common[can]))].tolist():
+                if root[y] == root[n] and self._covered(x, group):
+                    continue
+                if self._test(x, members[y]):
+                    root = np.array([self._find(z) for z in members])
+                    links = np.array([self.links[z] for z in members])
+
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, percent: int) -> DataFrame:
     """FOUND of the pairs (a, b, spots): verified passages of both texts, in words, those of a hub's texts with each other, and the
     results of the spots of keys of several texts where a task does not hold all texts of the hub. A hub's passages are merged over the
     partners that a task sees one after the other; rows have a null a where they stand for several."""
     width = length - words + 1
-    # Two texts that differ from each other by as many edits as the threshold allows in a stretch, and the hub by as many from one.
-    lacking = lacking_most(2 * max(1, width * (100 - percent) // (100 + percent) // words), words)
 
     def tokens_of(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, data, offsets in text_chunks(texts):
@@ -396,13 +436,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, perce
     def span(a: int | None, b: int, node: int, start: int, end: int) -> tuple:
         return a, b, node, start, end + words - 1, None, None, None, None, None
 
-    def result(a: int, b: int, group: int, spot: list[int], linked: bool, lacks: np.ndarray) -> tuple:
-        hashes = (mixed(lacks) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return a, b, None, None, None, group, spot[0], spot[1], linked, np.unique(hashes)
+    def result(a: int, b: int, group: int, spot: Spot) -> tuple:
+        hashes = (mixed(spot.tokens[~spot.same]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return a, b, None, None, None, group, spot.p, spot.q, spot.linked, np.unique(hashes)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_id, held = np.zeros(0, np.uint64), None, np.zeros(0, bool)
-        partners, names, size = None, [], 0
+        partners, names, held_back, size, many = None, [], [], 0, 0
 
         def finished() -> list[tuple]:
             """The hub's passages, and those of its texts with each other."""
@@ -415,32 +455,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, perce
             rows: list[tuple] = []
             ids = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)))
             offsets, values = batch.column(4).offsets.to_numpy(), batch.column(4).values
-            groups, several = values.field("group").to_pylist(), values.field("several").to_pylist()
-            spots = np.stack([values.field(c).to_numpy(zero_copy_only=False) for c in ("p", "q", "hub_p", "hub_q")], axis=1)
+            groups, several = values.field("group").to_numpy(), values.field("several").to_numpy(zero_copy_only=False)
+            spots = np.stack([values.field(c).to_numpy() for c in ("p", "q", "hub_p", "hub_q")], axis=1).astype(np.int64)
             for n, ((b, a, alone), tokens) in enumerate(zip(ids, tokens_of(batch.column(2)))):
                 if a is None:
                     rows += finished()
-                    hub, hub_id, held, size, names = tokens, b, np.zeros(len(tokens), bool), 0, []
-                    partners = Partners(width, percent, lacking) if alone else None
+                    hub, hub_id, held = tokens, b, np.zeros(len(tokens), bool)
+                    names, held_back, size, many = [], [], 0, 0
+                    partners = Partners(width, percent) if alone else None
                     continue
                 own = slice(offsets[n], offsets[n + 1])
-                passages, results = shared_passages(tokens, hub, spots[own], width, percent, lacking)
+                passages, results = shared_passages(tokens, hub, spots[own], width, percent)
                 for s, e, c, d in passages:
                     rows.append(span(a, b, a, s, e))
                     held[c:d] = True
-                places = spots[own].tolist()
-                kept = [k for k, more in enumerate(several[own]) if more]
-                groups_of, places, results = [groups[own][k] for k in kept], [places[k] for k in kept], [results[k] for k in kept]
-                size += len(tokens)
-                if partners is not None and size > HELD_TOKENS:
-                    for group, members in partners.members.items():
-                        rows += [result(names[x], b, group, [p, q], linked, lacks) for x, p, q, linked, lacks in members]
+                kept = np.flatnonzero(several[own]).tolist()
+                size, many = size + len(tokens), many + len(kept)
+                if partners is not None and (size > HELD_TOKENS or many > HELD_SPOTS):
                     partners = None
+                    for name, text, keys, places in held_back:
+                        yield _rows([result(name, b, *x) for x in zip(keys, shared_passages(text, hub, places, width, percent)[1])])
+                    held_back = []
                 if partners is None:
-                    rows += [result(a, b, g, spot, *found) for g, spot, found in zip(groups_of, places, results)]
+                    rows += [result(a, b, int(groups[own][k]), results[k]) for k in kept]
                 elif kept:
                     names.append(a)
-                    partners.add(tokens, passages, groups_of, places, results)
+                    partners.add(tokens, passages, [results[k] for k in kept])
+                    held_back.append((a, tokens, groups[own][kept].tolist(), spots[own][kept]))
             if rows:
                 yield _rows(rows)
         if rows := finished():
@@ -544,9 +585,17 @@ def _edited_passages(
         best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "p", "q")).alias("hub")
         hubs = stored(ranked.groupBy("group").agg(best, (F.count("*") > 2).alias("several")), "hubs")
         met = open_items.join(small_or_shuffled(hubs, hubs.count()), "group").filter("node <> hub.node")
-        spot = F.struct("group", "several", "p", "q", F.col("hub.p").alias("hub_p"), F.col("hub.q").alias("hub_q"))
-        pairs = met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        pairs = stored(pairs.agg(F.collect_list(spot).alias("spots")), "pairs")  # no more than a text has windows
+        met = met.select(
+            F.col("node").alias("a"), F.col("hub.node").alias("b"), "p", "q", F.col("hub.p").alias("hub_p"), F.col("hub.q").alias("hub_q"), "several"
+        )
+        # Keys at one place of the hub are one from here on.
+        place = [F.floor(F.col(c) / PLACE).alias(f"{c}_place") for c in ("hub_p", "hub_q")]
+        spot = F.min(F.struct(F.abs(F.col("p") - F.col("q")), "p", "q", "hub_p", "hub_q")).alias("spot")
+        places = met.repartition("a", "b").groupBy("a", "b", *place).agg(spot, F.max("several").alias("several"))
+        group = F.xxhash64("b", "hub_p_place", "hub_q_place").alias("group")
+        spot = F.struct(group, "several", *(f"spot.{c}" for c in ("p", "q", "hub_p", "hub_q")))
+        pairs = places.groupBy("a", "b").agg(F.collect_list(spot).alias("spots"))
+        pairs = stored(pairs, "pairs")  # no more spots than a text has windows
         found = stored(verified(pairs, texts_of(pairs)), "passages")
         discard(items, open_items, hubs, pairs)
         own = found.filter("node is not null").select("a", "b", "node", "start", "end")
