@@ -219,6 +219,30 @@ SQL: dict[str, str] = {
                || ',"status":"' || status || '"}' as call
         from linked
     """,
+    "op6_jaccard_join": r"""
+        with recursive w as (
+            select row_number() over () as r, doc_id, regexp_extract_all(
+                translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'
+            ) as ws
+            from documents
+        ),
+        s as materialized (
+            select r, unnest(list_distinct(
+                case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+                else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) end
+            )) as g
+            from w
+        ),
+        n as materialized (select r, count(*) as n from s group by r),
+        c as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.g = b.g and a.r <> b.r group by all),
+        l as materialized (
+            select x, y from c join n as p on p.r = x join n as q on q.r = y where 100 * c >= 85 * (p.n + q.n - c)
+        ),
+        reached(r, z) as (select r, r from w union select reached.r, l.y from reached join l on l.x = reached.z)
+        select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+        from w join reached on reached.r = w.r join w as o on o.r = reached.z left join n on n.r = w.r
+        group by w.r, w.doc_id
+    """,
     "op10_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as vector

@@ -23,7 +23,7 @@ SF = "/root/testdata/sf0.001"
 PAGE = "page_id long, url string, html string"
 
 
-@pytest.mark.parametrize("name", ["op4_chat", "op10_topk", "op11_warc", "op12_filter_audit", "op13_vector_codes"])
+@pytest.mark.parametrize("name", ["op4_chat", "op6_jaccard_join", "op10_topk", "op11_warc", "op12_filter_audit", "op13_vector_codes"])
 def test_queries_equal_their_sql(spark, name):
     duck = duckdb.connect()
     for table in ("documents", "embeddings", "pages", "labels", "conversations"):
