@@ -10,8 +10,9 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = {name: contract.queries()[name] for name in contract.QUERIES}
-SQL = {name: contract.oracle_sql()[name] for name in contract.QUERIES}
+NAMES = [*contract.QUERIES, *contract.THROUGH]
+QUERIES = {name: contract.queries()[name] for name in NAMES}
+SQL = {name: contract.oracle_sql()[name] for name in NAMES}
 
 
 @pytest.fixture(scope="module")

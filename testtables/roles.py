@@ -120,9 +120,14 @@ class SparkRoles(dict):
         self._spark, self._directory = spark, directory
         self._tables: dict[str, DataFrame] = {}
 
-    def __missing__(self, role: str) -> DataFrame:
+    @staticmethod
+    def texts(names: dict[str, str]) -> dict[str, str]:
+        """Spark's SQL of every role, with the tables' names as given."""
         # The tables hold timestamps without zone; the literals must have that type whatever the session's default.
-        sql = ROLE_SQL[role].replace("timestamp '", "timestamp_ntz '")
+        return {role: sql.replace("timestamp '", "timestamp_ntz '").format(**names) for role, sql in ROLE_SQL.items()}
+
+    def __missing__(self, role: str) -> DataFrame:
+        sql = self.texts({name: f"{{{name}}}" for name in TABLES})[role]
         names = [name for name in TABLES if f"{{{name}}}" in sql]
         self[role] = self._spark.sql(sql, **{name: self._table(name) for name in names})
         return self[role]
