@@ -14,10 +14,10 @@ texts of a key agree in both functions with each other, not only with a hub. Key
 class are settled. Each other key's texts are verified against a hub of the key, the text with most links: where stretches of `length` words
 around both least tokens have so many shingles in common that their similarity can reach the threshold, and the
 similarity of both passages does reach it, they are a passage. Texts of a key that are similar to each other but not
-to the hub share tokens there that the hub lacks: such tokens make keys of a longer context, which are
-verified with a hub of their own, until no key is open. So a run that many texts share, but no passage around
-it, costs one verification for each text, not for each pair. A task that holds all texts of a hub does this by itself;
-the keys of hubs with more texts go through another round of shuffles.
+to the hub share tokens there that the hub lacks. A task that holds all texts of a hub verifies those with each other of
+which one has enough tokens of a stretch of the other. Where a hub has more texts, the tokens that it lacks make keys of a longer
+context, which are verified with a hub of their own in another round of shuffles, until no key is open. So a run that many texts
+share, but no passage around it, costs one verification for each text, not for each pair.
 
 Keys that a third of all rows hold are met in each batch of texts first: only a batch's least text goes into the shuffle
 of the key, and the others are tied to it.
@@ -260,12 +260,6 @@ class Spot:
     tokens: np.ndarray
     same: np.ndarray
 
-    def most(self, has: np.ndarray, width: int) -> int:
-        """The most tokens of one stretch that something has."""
-        sums = np.concatenate(([0], np.cumsum(has)))
-        width = min(width, len(has))
-        return int((sums[width:] - sums[: len(sums) - width]).max())
-
 
 def least_common(width: int, percent: int) -> int:
     """Similarity s of two stretches of n tokens takes at least 2 s n / (1 + s) common ones."""
@@ -389,36 +383,41 @@ class Partners:
         return self.found
 
     def _resolve(self, group: tuple[int, int], members: list[int], open_: list[int]) -> None:
-        """Test each open text with others that share tokens with it that the hub lacks, those that share most first, until
-        it is in a passage there and in one class with all of them."""
+        """Test each open text with those that have enough tokens of one of its stretches there, those that have most first,
+        until it is in a passage there and in one class with all of them."""
         least = least_common(self.width, self.percent)
-        spots = [self.keys[x][group] for x in members]
-        lacking = [np.unique(spot.tokens[~spot.same]) for spot in spots]
-        values, owner = np.concatenate(lacking), np.repeat(np.arange(len(members)), [len(v) for v in lacking])
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, len(values)))
-        shared = values[starts[sizes > 1]]
+        tokens = [self.keys[x][group].tokens for x in members]
+        sizes = [len(t) for t in tokens]
+        distinct, number = np.unique(np.concatenate(tokens), return_inverse=True)
+        owner = np.repeat(np.arange(len(members)), sizes)
+        single = np.unique(owner * len(distinct) + number)
+        shared = np.bincount(single % len(distinct), minlength=len(distinct)) > 1
+        column = np.where(shared, np.cumsum(shared) - 1, shared.sum())  # the last column: tokens that no other text has
+        has = np.zeros((len(members), int(shared.sum()) + 1), dtype=bool)
+        has[single // len(distinct), column[single % len(distinct)]] = True
+        has[:, -1] = False
+        columns = np.split(column[number], np.cumsum(sizes)[:-1])
         root = np.array([self._find(x) for x in members])
         links = np.array([self.links[x] for x in members])
         for n in open_:
-            x, spot = members[n], spots[n]
-            if spot.most(spot.same | _among(spot.tokens, shared), self.width) < least:
+            x, own = members[n], columns[n]
+            width = min(self.width, len(own))
+            if int((own < has.shape[1] - 1).sum()) < least:
                 continue  # no text can have enough of its tokens
-            at = np.searchsorted(values[starts], lacking[n])
-            many = sizes[at]
-            places = np.repeat(starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            common = np.bincount(owner[places], minlength=len(members))
+            sums = np.zeros((len(members), len(own) + 1), dtype=np.int16)
+            np.cumsum(has[:, own], axis=1, out=sums[:, 1:])
+            common = (sums[:, width:] - sums[:, : sums.shape[1] - width]).max(axis=1)
             common[n] = 0
-            need = max(1, least - spot.most(spot.same, self.width))
-            can = np.flatnonzero(common >= need)
-            for y in can[np.lexsort((-links[can], -common[can]))].tolist():
-                if root[y] == root[n] and self._covered(x, group):
-                    continue
-                if self._test(x, members[y]):
-                    root = np.array([self._find(z) for z in members])
-                    links = np.array([self.links[z] for z in members])
+            can = np.flatnonzero(common >= least)
+            can, covered = can[np.lexsort((-links[can], -common[can]))], self._covered(x, group)
+            while len(can):
+                y, can = int(can[0]), can[1:]
+                if not (covered and root[y] == root[n]) and self._test(x, members[y]):
+                    links[[n, y]] += 1
+                    root[(root == root[n]) | (root == root[y])] = min(root[n], root[y])
+                    covered = self._covered(x, group)
+                if covered:
+                    can = can[root[can] != root[n]]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, length: int, percent: int) -> DataFrame:
