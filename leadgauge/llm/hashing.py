@@ -70,6 +70,16 @@ def word_hashes(
     return hashes, np.searchsorted(starts, offsets), starts, ends
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words of one text, in order, at the same cost for any size; none if it has fewer words."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, dtype=np.uint64)
+    power, inverse = _power_tables(n + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
+    return mixed((sums[size:] - sums[:-size]) * inverse[: n - size + 1] + np.uint64(size))
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of `size` words of one text, in order; of all its words as one run if it has fewer."""
     n = len(words)

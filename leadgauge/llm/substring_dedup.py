@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadgauge.llm.components import components
-from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
+from leadgauge.llm.hashing import mixed, mixed_int, run_hashes, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
 from leadgauge.llm.shared import discard, small_or_shuffled, stored, text_chunks, text_or_empty
 
@@ -165,27 +165,27 @@ def stretch_keys(
     high = np.minimum(latest, own[:, 4] - width + 1)
     sizes = np.maximum(high - low + 1, 0)
     start = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    whole = shingle_hashes(word_hash, length)
+    whole = run_hashes(word_hash, length)
     return np.repeat(own[:, 0], sizes), whole[start].view(np.int64), start
 
 
 def function_pairs(windows: np.ndarray, width: int) -> list[np.ndarray]:
     """(least hash, least hash, centre, centre) of every two windows (hash, function, l, c, r) of different functions that
     hold the least tokens of one stretch of `width` tokens."""
-    order = windows[np.lexsort((windows[:, 3], windows[:, 1]))]
-    found = [np.zeros((0, 4), dtype=np.int64)]
-    functions = [order[order[:, 1] == j] for j in np.unique(order[:, 1])]
-    for x, one in enumerate(functions):
-        for other in functions[x + 1 :]:
-            first = np.searchsorted(other[:, 3], one[:, 3] - width + 1)
-            sizes = np.searchsorted(other[:, 3], one[:, 3] + width) - first
-            left = one[np.repeat(np.arange(len(one)), sizes)]
-            right = other[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-            earliest = np.maximum(np.maximum(left[:, 2], right[:, 2]), np.maximum(left[:, 3], right[:, 3]) - width + 1)
-            latest = np.minimum(np.minimum(left[:, 3], right[:, 3]), np.minimum(left[:, 4], right[:, 4]) - width + 1)
-            both = earliest <= latest
-            found.append(np.stack([left[both, 0], right[both, 0], left[both, 3], right[both, 3]], axis=1))
-    return list(np.concatenate(found).T)
+    order = windows[np.argsort(windows[:, 3], kind="stable")]
+    centres = order[:, 3]
+    first = np.arange(1, len(order) + 1)
+    sizes = np.searchsorted(centres, centres + width) - first
+    left, right = np.repeat(first - 1, sizes), np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    other = order[left, 1] != order[right, 1]
+    left, right = order[left[other]], order[right[other]]
+    earliest = np.maximum(np.maximum(left[:, 2], right[:, 2]), right[:, 3] - width + 1)
+    latest = np.minimum(left[:, 3], np.minimum(left[:, 4], right[:, 4]) - width + 1)
+    both = earliest <= latest
+    left, right = left[both], right[both]
+    turned = (left[:, 1] > right[:, 1])[:, None]
+    left, right = np.where(turned, right, left), np.where(turned, left, right)
+    return [left[:, 0], right[:, 0], left[:, 3], right[:, 3]]
 
 
 def _keyed(texts: DataFrame, words: int, length: int) -> DataFrame:
