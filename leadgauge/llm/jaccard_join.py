@@ -46,7 +46,7 @@ BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
 #: Partners and differences of one hub that a task holds at once; hubs with more are split.
-HELD_PARTNERS, HELD_DIFFERENCES = 16_384, 4_000_000
+HELD_PARTNERS, HELD_DIFFERENCES = 16_384, 1_000_000
 
 
 class Bands:
