@@ -3,8 +3,9 @@
 Components become whole numbers, floor(256 x) by default, so scores are exact. Vectors are dealt to shards of bounded size. A
 task reads a shard's vectors, builds its ball tree and then searches it for one block of queries after the other; queries are
 copied to the shards, vectors are not. Each node splits at the median of its widest axis and keeps centre and radius; no member's inner product
-with query q is above q.centre + |q| radius. A search descends from the root into the child of higher bound first, and into
-a child at all only if its bound reaches the query's kth score so far. Queries descend together, each by its own bounds.
+with query q is above q.centre + |q| radius. A search first descends from the root into the child of higher bound, down to a leaf, and
+then searches the rest by falling bounds, each child only if its bound reaches the query's kth score so far. Queries descend
+together, each by its own bounds.
 The kth score is shared between shards: each query first searches its own shard, and the kth score found there is where
 its search of every other shard begins.
 
@@ -85,6 +86,8 @@ class Search:
         self.shard, self.queries, self.query_rows, self.k = shard, queries, query_rows, k
         self.lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
         self.least = floors.copy()
+        #: A member of the leaf that each query was in first.
+        self.first = np.full(len(queries), -1)
         n = len(queries)
         self.scores = np.full((n, k), NO_SCORE, dtype=np.int64)
         self.ids, self.rows = np.full((n, k), NO_ID, dtype=np.int64), np.full((n, k), NO_ID, dtype=np.int64)
@@ -98,25 +101,41 @@ class Search:
                 scores = np.array([min(max(p, NO_SCORE + 1), NO_ID) for p in products], dtype=np.int64)
                 self._take(everyone, np.array([member]), scores[:, None])
             return
+        self._descend(self.shard.tree.root, everyone)
         self._visit(self.shard.tree.root, everyone)
 
     def _bounds(self, node: Node, which: np.ndarray) -> np.ndarray:
         bounds = self.queries[which] @ node.centre + self.lengths[which] * node.radius
         return bounds + SLACK * (1 + np.abs(bounds))
 
-    def _visit(self, node: Node, which: np.ndarray) -> None:
+    def _leaf(self, node: Node, which: np.ndarray) -> None:
+        scores = self.queries[which] @ self.shard.vectors[node.members].T
+        self._take(which, node.members, scores.astype(np.int64))
+
+    def _descend(self, node: Node, which: np.ndarray) -> None:
+        """Take each query into the child of higher bound, down to its first leaf."""
         if not len(which):
             return
         if node.children is None:
-            scores = self.queries[which] @ self.shard.vectors[node.members].T
-            self._take(which, node.members, scores.astype(np.int64))
+            self.first[which] = node.members[0]
+            self._leaf(node, which)
+            return
+        left = self._bounds(node.children[0], which) >= self._bounds(node.children[1], which)
+        for child, own in zip(node.children, (left, ~left)):
+            self._descend(child, which[own])
+
+    def _visit(self, node: Node, which: np.ndarray) -> None:
+        """Search the rest: children by falling bounds, for those queries that the bounds let in."""
+        if node.children is None:
+            which = which[self.first[which] != node.members[0]]
+            if len(which):
+                self._leaf(node, which)
             return
-        bounds = [self._bounds(child, which) for child in node.children]
-        left = bounds[0] >= bounds[1]
-        for better in (True, False):
-            for child, bound, prefers in zip(node.children, bounds, (left, ~left)):
-                turn = prefers == better
-                self._visit(child, which[turn & (bound >= self.least[which])])
+        bounds = [(self._bounds(child, which), child) for child in node.children]
+        for bound, child in sorted(bounds, key=lambda x: -float(x[0].sum())):
+            reached = which[bound >= self.least[which]]
+            if len(reached):
+                self._visit(child, reached)
 
     def _take(self, which: np.ndarray, members: np.ndarray, scores: np.ndarray) -> None:
         """Merge scores of members into the best of the queries."""
