@@ -31,7 +31,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0][0]) < n:
         tables = []
         for base in (_ODD, _INVERSE):
-            table = np.full(max(n, 1 << 20), np.uint64(base))
+            table = np.full(max(n, 1 << 18), np.uint64(base))
             table[0] = 1
             tables.append(np.cumprod(table, dtype=np.uint64))
         if n > 1 << 22:
@@ -57,7 +57,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """One hash for each span of bytes: a polynomial of its bytes, then mixed."""
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    terms = sums[1:]  # in place, for a worker keeps the memory of its largest arrays
+    terms[:] = data
+    terms += np.uint64(1)
+    terms *= power[: len(data)]
+    np.cumsum(terms, out=terms)
     return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 

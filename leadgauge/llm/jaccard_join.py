@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from leadgauge.llm.components import components
 from leadgauge.llm.hashing import mixed, mixed_int, shingle_hashes, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
-from leadgauge.llm.shared import discard, row_of, small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import WIDE_CHUNK_BYTES, discard, row_of, small_or_shuffled, stored, text_chunks, text_or_empty
 
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
@@ -140,7 +140,7 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
 
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for _, data, offsets in text_chunks(texts):
+    for _, data, offsets in text_chunks(texts, WIDE_CHUNK_BYTES):
         hashes, first, _, _ = word_hashes(data, offsets)
         for start, end in zip(first[:-1], first[1:]):
             yield np.unique(shingle_hashes(hashes[start:end], words))

@@ -20,17 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from leadgauge.llm.hashing import SPACE, mixed, word_hashes
 from leadgauge.llm.labels import held_out, labelled_texts
 from leadgauge.llm.linear import dual_coordinate_descent, logistic_curve, probability
-from leadgauge.llm.shared import row_of, text_chunks, text_or_empty
+from leadgauge.llm.shared import text_chunks, text_or_empty
 
 COLUMN_BITS = 17
 #: Rows that the model is fitted on at most, in expectation; each labelled row is as likely to be among them.
 SAMPLE_ROWS = 12_000
 #: One of so many sampled rows fits the curve instead of the model.
 CURVE_SHARE = 4
+#: Bytes whose n-grams are hashed at once: a worker keeps the memory of its largest arrays.
+GRAM_BLOCK = 1 << 16
 
 _DIGIT = np.array([48 <= b < 58 for b in range(256)])
 _UPPER = np.array([65 <= b < 91 for b in range(256)])
@@ -43,6 +46,20 @@ def _column(codes: np.ndarray, kind: int) -> np.ndarray:
     return (mixed(codes + (np.uint64(kind) << np.uint64(56))) >> np.uint64(64 - COLUMN_BITS)).astype(np.uint32)
 
 
+def _gram_columns(data: np.ndarray) -> list[np.ndarray]:
+    """The columns of the runs of one, two and three bytes that end at each byte, digits as one."""
+    columns = [np.empty(len(data), dtype=np.uint32) for _ in range(3)]
+    for start in range(0, len(data), GRAM_BLOCK):
+        before = min(start, 2)
+        one = _AS_ZERO[data[start - before : start + GRAM_BLOCK]]
+        two, three = one.copy(), one.copy()
+        two[1:] |= one[:-1] << np.uint64(8)
+        three[2:] |= (one[1:-1] << np.uint64(8)) | (one[:-2] << np.uint64(16))
+        for n, gram in enumerate((one, two, three)):
+            columns[n][start : start + GRAM_BLOCK] = _column(gram[before:], n)
+    return columns
+
+
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A small number for each word: case, ending, length, and whether it repeats."""
 
@@ -70,11 +87,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         if not len(data):
             yield from (np.zeros(0, np.uint32) for _ in range(len(offsets) - 1))
             continue
-        bytes_ = _AS_ZERO[data]
-        grams = [bytes_, bytes_.copy(), bytes_.copy()]
-        grams[1][1:] |= bytes_[:-1] << np.uint64(8)
-        grams[2][2:] |= (bytes_[1:-1] << np.uint64(8)) | (bytes_[:-2] << np.uint64(16))
-        columns = [_column(g, n) for n, g in enumerate(grams)]
+        columns = _gram_columns(data)
         hashes, first, starts, ends = word_hashes(data, offsets, SPACE)
         shapes = _shapes(data, starts, ends, hashes, first).astype(np.uint64) + np.uint64(1)
         runs = [shapes, shapes.copy(), shapes.copy()]
@@ -180,10 +193,10 @@ def scored(docs: DataFrame, model: Model, id_column: str = "doc_id", threshold:
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(row_of(docs).alias("row"), text_or_empty().alias("text"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(batch.column(1)) >= threshold))
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores(texts))
 
-    return rows.mapInArrow(keep, rows.schema).select("row.*")
+    # Only texts go to Python, and only scores come back.
+    return docs.filter(score(text_or_empty()) >= threshold)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text worked on at once; a longer text is a piece of its own.
 CHUNK_BYTES = 1 << 20
+#: The same where many arrays of eight bytes for each byte are made: a worker keeps the memory of its largest ones.
+WIDE_CHUNK_BYTES = 1 << 18
 _OWN_FOLDER: list[str] = []
 _SHIPPED: set[str] = set()
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()

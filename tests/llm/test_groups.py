@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -417,6 +419,42 @@ def test_models_on_odd_rows(spark, documents):
     assert quality.accepted(docs, quality.fit(some, labels), 0.0).columns == docs.columns
 
 
+def test_few_edges_are_few_files(spark, monkeypatch):
+    settings_ = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    files = []
+    kept = components.stored
+
+    def counted(df, name):
+        table = kept(df, name)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "stored", counted)
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        pairs = spark.range(1, 400).selectExpr("id AS a", "id - id % 7 AS b")
+        found = {r.node: r.root for r in components.components(pairs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {n: n - n % 7 for n in range(400) if n < 399 or n % 7} and max(files[1:]) == 1
+
+
+def test_quality_holds_little_and_sends_texts_once(spark, documents):
+    text = " ".join(f"word{n} Other, {n}!" for n in range(50_000))[: 1 << 20]
+    model = quality.Model(np.zeros(1 << quality.COLUMN_BITS), 0.0, (1.0, 0.0))
+    texts = pa.array([text])
+    model.scores(texts)
+    tracemalloc.start()
+    model.scores(texts)
+    held = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    plan = quality.accepted(documents([(1, "a b")]), model)._jdf.queryExecution().executedPlan().toString()
+    assert held < 60 and "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_pipeline(spark):
     docs, columns = queries.read(spark, SF, "documents"), None
     clash = docs.withColumn("key", F.lit(1)).withColumn("node", F.lit("x"))
