@@ -36,13 +36,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from leadgauge.llm.components import components
-from leadgauge.llm.hashing import mixed, mixed_int, run_hashes, shingle_hashes, word_hashes
+from leadgauge.llm.hashing import SPACE, mixed, mixed_int, run_hashes, shingle_hashes, word_bounds, word_hashes
 from leadgauge.llm.hub_join import at_hubs, holders_of, texts_of_nodes
-from leadgauge.llm.shared import discard, small_or_shuffled, stored, text_chunks, text_or_empty
+from leadgauge.llm.shared import WIDE_CHUNK_BYTES, discard, small_or_shuffled, stored, text_chunks, text_or_empty
 
 HASHES = 4
 #: Texts a task remembers, so as not to index equal ones again.
@@ -70,32 +71,50 @@ def _running(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nearest(heights: np.ndarray, texts: np.ndarray, step: int, equal: bool) -> np.ndarray:
+    """The next place before (step -1) or after (1) each one in its text whose height is less, or `equal` to it; -1 if none is."""
+    n = len(heights)
+    found = np.arange(n) + step
+    inside = (found >= 0) & (found < n)
+    inside[inside] = texts[found[inside]] == texts[inside]
+    found[~inside] = -1
+    open_ = np.flatnonzero(inside)
+    while len(open_):  # what lies between is higher, and so is what lies between a higher one and its own next place
+        at = found[open_]
+        higher = heights[at] > heights[open_] if equal else heights[at] >= heights[open_]
+        open_ = open_[higher]
+        found[open_] = found[at[higher]]
+        open_ = open_[found[open_] >= 0]
+    return found
+
+
+def compact_windows(
+    values: np.ndarray, width: int, begins: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right) of all compact windows of at least `width` tokens, with inclusive ends. Of equal hashes the
-    leftmost counts as least; neighbours with equal hashes have one window."""
+    leftmost counts as least; neighbours with equal hashes have one window. Texts of at least `width` tokens may follow one
+    another, each from its place in `begins` on; no window reaches over the end of its text."""
     n = len(values)
     none = np.zeros(0, dtype=np.int64)
     if n < width:
         return none, none, none
+    begins = np.zeros(1, dtype=np.int64) if begins is None else begins
+    ends = np.append(begins[1:], n)
     least = _running(values, width, np.minimum)
+    over = (ends[:-1, None] - np.arange(1, width)).ravel()  # stretches from here on reach into the next text
+    least[over] = 0
     # A token is the least of some stretch if the greatest of the minima around it is its own hash.
     edge = np.zeros(width - 1, dtype=values.dtype)
     around = _running(np.concatenate([edge, least, edge]), width, np.maximum)
-    own = around == values
-    own[1:] &= values[1:] != values[:-1]
-    centres = np.flatnonzero(own)
-    heights = values[centres].tolist()
-    left, right, open_nodes = [0] * len(centres), [n - 1] * len(centres), []
-    places = centres.tolist()
-    for i, height in enumerate(heights):
-        while open_nodes and heights[open_nodes[-1]] > height:
-            right[open_nodes.pop()] = places[i] - 1
-        if open_nodes:
-            left[i] = places[open_nodes[-1]] + 1
-        open_nodes.append(i)
-    left_array, right_array = np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
-    wide = right_array - left_array + 1 >= width
-    return left_array[wide], centres[wide], right_array[wide]
+    first = np.append(True, values[1:] != values[:-1])
+    first[begins] = True
+    centres = np.flatnonzero((around == values) & first)
+    heights, texts = values[centres], np.searchsorted(begins, centres, side="right") - 1
+    before, after = _nearest(heights, texts, -1, True), _nearest(heights, texts, 1, False)
+    left = np.where(before >= 0, centres[before] + 1, begins[texts])
+    right = np.where(after >= 0, centres[after] - 1, ends[texts] - 1)
+    wide = right - left + 1 >= width
+    return left[wide], centres[wide], right[wide]
 
 
 def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame:
@@ -107,26 +126,36 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
         seen: set[int] = set()
         for batch in batches:
             nodes, parts = batch.column(0).to_pylist(), []
-            for rows, data, offsets in text_chunks(batch.column(1)):
+            for rows, data, offsets in text_chunks(batch.column(1), WIDE_CHUNK_BYTES):
                 word_hash, first, _, _ = word_hashes(data, offsets)
-                for node, start, end in zip(nodes[rows], first[:-1], first[1:]):
+                own, bounds = [], []
+                for node, start, end in zip(nodes[rows], first[:-1].tolist(), first[1:].tolist()):
                     if end - start < length or node in seen:
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(node)
-                    tokens = shingle_hashes(word_hash[start:end], words)
-                    for j, salt in enumerate(salts):
-                        values = mixed(tokens ^ salt)
-                        left, centre, right = compact_windows(values, width)
-                        parts.append((values[centre], node, j, left, centre, right))
+                    own.append(node)
+                    bounds.append((start, end - words + 1))
+                if not own:
+                    continue
+                every = shingle_hashes(word_hash, words)
+                tokens = np.concatenate([every[start:end] for start, end in bounds])
+                sizes = np.array([end - start for start, end in bounds])
+                begins, owner = np.cumsum(sizes) - sizes, np.array(own, dtype=np.int64)
+                for j, salt in enumerate(salts):
+                    values = mixed(tokens ^ salt)
+                    left, centre, right = compact_windows(values, width, begins)
+                    text = np.searchsorted(begins, centre, side="right") - 1
+                    base = begins[text]
+                    parts.append((values[centre], owner[text], j, left - base, centre - base, right - base))
             if parts:
                 yield _batch(parts)
 
     def _batch(parts: list[tuple]) -> pa.RecordBatch:
         sizes = [len(p[0]) for p in parts]
         columns = [np.concatenate([p[0] for p in parts]).view(np.int64)]
-        columns.append(np.repeat(np.array([p[1] for p in parts], dtype=np.int64), sizes))
+        columns.append(np.concatenate([p[1] for p in parts]))
         columns.append(np.repeat(np.array([p[2] for p in parts], dtype=np.int32), sizes))
         columns += [np.concatenate([p[i] for p in parts]).astype(np.int32) for i in (3, 4, 5)]
         columns += _met(columns[0], columns[1])
@@ -138,10 +167,10 @@ def _indexed(docs: DataFrame, words: int, length: int, hashes: int) -> DataFrame
 def _met(keys: np.ndarray, nodes: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """`least` and `salt` of the rows of a batch: the least node that has the key, null if no other has it; and the node, but
     0 if it is the least."""
-    order = np.lexsort((nodes, keys))
+    order = np.argsort(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1]))) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
-    least, most = nodes[order][starts], nodes[order][starts + sizes - 1]
+    least, most = (best.reduceat(nodes[order], starts) if len(keys) else nodes for best in (np.minimum, np.maximum))
     back = np.empty(len(keys), dtype=np.int64)
     back[order] = np.repeat(least, sizes)
     alone = np.empty(len(keys), dtype=bool)
@@ -154,12 +183,15 @@ def _names(schema: str) -> list[str]:
 
 
 def stretch_keys(
-    word_hash: np.ndarray, tokens: np.ndarray, windows: np.ndarray, width: int, length: int
+    word_hash: np.ndarray, tokens: np.ndarray, last: np.ndarray, windows: np.ndarray, width: int, length: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(least hash, hash of the stretch, start) of the stretches of `length` words in windows (hash, function, l, c, r) of
-    the first function. A window stands for a run of equal tokens from its centre on, so stretches may begin in that run."""
+    the first function. A window stands for a run of equal tokens from its centre on, so stretches may begin in that run.
+    Texts follow one another, and `last` is the last token of each that has a stretch."""
     own = windows[windows[:, 1] == 0]
-    run_ends = np.append(np.flatnonzero(tokens[1:] != tokens[:-1]), len(tokens) - 1)
+    ends_run = np.append(tokens[1:] != tokens[:-1], True)
+    ends_run[last] = True
+    run_ends = np.flatnonzero(ends_run)
     latest = run_ends[np.searchsorted(run_ends, own[:, 3])]
     low = np.maximum(own[:, 2], own[:, 3] - width + 1)
     high = np.minimum(latest, own[:, 4] - width + 1)
@@ -188,21 +220,38 @@ def function_pairs(windows: np.ndarray, width: int) -> list[np.ndarray]:
     return [left[:, 0], right[:, 0], left[:, 3], right[:, 3]]
 
 
+def _moved(windows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The windows (hash, function, l, c, r), each at places moved by so many."""
+    return windows + np.outer(by, [0, 0, 1, 1, 1])
+
+
 def _keyed(texts: DataFrame, words: int, length: int) -> DataFrame:
     """KEYS of the rows (node, text, windows), windows being arrays of (hash, function, l, c, r)."""
     width = length - words + 1
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, held, parts = batch.column(0).to_pylist(), batch.column(2), []
-            for rows, data, offsets in text_chunks(batch.column(1)):
+            nodes, held, parts = batch.column(0).to_numpy(), batch.column(2), []
+            bounds, fields = held.offsets.to_numpy().astype(np.int64), held.values.to_numpy()
+            for rows, data, offsets in text_chunks(batch.column(1), WIDE_CHUNK_BYTES):
                 word_hash, first, _, _ = word_hashes(data, offsets)
-                for row, start, end in zip(range(rows.start, rows.stop), first[:-1], first[1:]):
-                    windows = held[row].values.to_numpy().reshape(-1, 5)
-                    tokens = shingle_hashes(word_hash[start:end], words)
-                    hashes, stretches, places = stretch_keys(word_hash[start:end], tokens, windows, width, length)
-                    parts.append((0, nodes[row], hashes, stretches, places, places))
-                    parts.append((1, nodes[row], *function_pairs(windows, width)))
+                windows = fields[bounds[rows.start] : bounds[rows.stop]].reshape(-1, 5)
+                if not len(windows):
+                    continue
+                tokens, n_words = shingle_hashes(word_hash, words), np.diff(first)
+                text = np.repeat(np.arange(rows.stop - rows.start), np.diff(bounds[rows.start : rows.stop + 1]) // 5)
+                # Texts one after the other, as words and, for pairs, so far apart that none reaches from text to text.
+                last = (first[1:] - words)[n_words >= length]
+                hashes, stretches, places = stretch_keys(
+                    word_hash, tokens, last, _moved(windows, first[text]), width, length
+                )
+                owner = np.searchsorted(first, places, side="right") - 1
+                places = places - first[owner]
+                parts.append((0, nodes[rows][owner], hashes, stretches, places, places))
+                apart = first[:-1] + width * np.arange(len(n_words))
+                least, other, p, q = function_pairs(_moved(windows, apart[text]), width)
+                owner = np.searchsorted(apart, p, side="right") - 1
+                parts.append((1, nodes[rows][owner], least, other, p - apart[owner], q - apart[owner]))
             for pair in (0, 1):
                 own = [p for p in parts if p[0] == pair and len(p[2])]
                 if not own:
@@ -210,7 +259,7 @@ def _keyed(texts: DataFrame, words: int, length: int) -> DataFrame:
                 sizes = [len(p[2]) for p in own]
                 columns = [np.full(sum(sizes), pair, dtype=np.int32)]
                 columns += [np.concatenate([p[i] for p in own]) for i in (2, 3)]
-                columns.append(np.repeat(np.array([p[1] for p in own], dtype=np.int64), sizes))
+                columns.append(np.concatenate([p[1] for p in own]))
                 columns += [np.concatenate([p[i] for p in own]).astype(np.int32) for i in (4, 5)]
                 none = pa.nulls(sum(sizes), pa.int64()), np.zeros(sum(sizes), dtype=np.int64)
                 columns += none if pair else _met(columns[2], columns[3])
@@ -604,14 +653,25 @@ def _edited_passages(
     return passages
 
 
+def _word_count(column: str) -> Column:
+    @F.arrow_udf(LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        counts = [np.zeros(0, dtype=np.int64)]
+        for _, data, offsets in text_chunks(texts, WIDE_CHUNK_BYTES):
+            starts, _ = word_bounds(data, offsets, SPACE)
+            counts.append(np.diff(np.searchsorted(starts, offsets)))
+        return pa.array(np.concatenate(counts), pa.int64())
+
+    return count(column)
+
+
 def repeated_passages(
     docs: DataFrame, length: int = 50, words: int = 5, percent: int = 80, hashes: int = HASHES
 ) -> DataFrame:
     """(doc_id, n_words, repeated_words, passages, class_id) of every row; a passage is (start, end) in words."""
     keyed = docs.select("doc_id", text_or_empty().alias("text"))
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("node"), "text")
-    n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = stored(keyed.select("doc_id", "key", "node", n_words.alias("n_words")), "texts-described")
+    rows = stored(keyed.select("doc_id", "key", "node", _word_count("text").alias("n_words")), "texts-described")
     copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("n_words").alias("n_words"))
     holders = holders_of(rows)
     spread = Window.partitionBy("hash", "salt")  # one text of each batch, and one row for each of the others

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -19,6 +20,7 @@ import corpus_pipeline
 from leadgauge.llm import components, jaccard_join, linear, mixing, quality, queries, substring_dedup, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
+ODD_SPACES = ["a" + chr(c) + "b" for c in range(33)]
 
 
 def _family(generator: random.Random, words: list[str], length: int, members: int, edits: int) -> list[str]:
@@ -147,6 +149,24 @@ def test_compact_windows_cover_every_stretch(values, width):
             assert any(lo <= a <= hi and b - 1 <= hi and values[c] == min(values[a:b]) for lo, c, hi in windows)
 
 
+@given(st.lists(st.lists(st.integers(0, 6), min_size=4, max_size=30), min_size=1, max_size=5), st.integers(1, 4))
+@settings(deadline=None, max_examples=60)
+def test_compact_windows_of_many_texts_are_those_of_each(texts, width):
+    each = [np.stack(substring_dedup.compact_windows(np.array(t, dtype=np.uint64) + 1, width)) for t in texts]
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    values = np.concatenate(texts).astype(np.uint64) + 1
+    together = np.stack(substring_dedup.compact_windows(values, width, begins))
+    assert together.T.tolist() == np.concatenate([e + b for e, b in zip(each, begins)], axis=1).T.tolist()
+
+
+def test_words_of_passages_are_counted_by_their_bytes(documents):
+    texts = ["", None, " a\u00a0b\tc\x0b\r\nd ", "\u2003 x", "a " * 400_000, "\x1c\x00", *ODD_SPACES]
+    docs = documents(list(enumerate(texts))).select("doc_id", substring_dedup.text_or_empty().alias("text"))
+    counted = docs.select("doc_id", substring_dedup._word_count("text").alias("n"))
+    assert "ArrowEvalPython" in counted._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n for r in counted.collect()} == {n: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for n, t in enumerate(texts)}
+
+
 def test_repeated_passages(documents):
     generator = random.Random(5)
     words = [f"v{n}" for n in range(3000)]
