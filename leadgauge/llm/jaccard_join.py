@@ -13,12 +13,16 @@ shingles, on some segment:
 
 A set is indexed in its own band and, as the larger partner, in those below that a partner's size can fall in. Sets that
 share a signature are candidates. Inside a bucket every set is paired with one hub, on whole texts, not with every other one.
+Many sets share a signature by a common line or phrase and are far from each other. A sketch of each set tells so before texts are moved:
+how many shingles it has in each of equal ranges of their hash. Two sets differ in at least as many shingles as these numbers do, so
+a set whose sketch is too far from those of the hub and of all its other partners links with none of them and is left out.
 What two sets of a hub have in common follows exactly from what each lacks of the hub and adds to it, so a task that holds all of a
 hub's sets finds their links among each other by the differences that several of them share. Where a hub has too many sets for one
 task, its buckets get the hub with most links, and sets in different components that share enough differences
 from it are verified with each other. So no link is missed.
 
-Signatures are sorted by signature and node over all tasks. A signature that a third of the sets have is so cut into
+Signatures are sorted by signature and node over all tasks, one range of them after the other, so that the files of one range's shuffle
+are gone before the next one's. A signature that a third of the sets have is so cut into
 many tasks' shares; the few signatures at the edges of shares are put together by a table of them.
 
 Equal sets are one node, so groups of copies cost one node each. Nodes are 64-bit hashes of the whole sets. Null and
@@ -45,8 +49,12 @@ from leadgauge.llm.shared import WIDE_CHUNK_BYTES, discard, row_of, small_or_shu
 BAND_GROWTH = 1.5
 #: Sets a task remembers, so as not to index equal ones again.
 REMEMBERED = 200_000
+#: Ranges of signatures that are sorted one after the other, as bits.
+RANGE_BITS = 2
 #: Partners and differences of one hub that a task holds at once; hubs with more are split.
 HELD_PARTNERS, HELD_DIFFERENCES = 16_384, 1_000_000
+#: Ranges of a sketch at most, as bits, and bytes of sketches that are compared among the sets of one hub; all pairs of hubs with more are kept.
+SKETCH_BITS, COMPARED_BYTES = 12, 1 << 32
 
 
 class Bands:
@@ -115,6 +123,49 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(shingles))]))[0].view(np.int64))
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """How many shingles of a set are in each of equal ranges of their hash, a quarter to half as many ranges as shingles; empty,
+    which is near to all, if a number needs more than a byte."""
+    bits = min(SKETCH_BITS, max(0, (len(shingles) - 1).bit_length() - 2))
+    ranges = (shingles >> np.uint64(32)) >> np.uint64(32 - bits)
+    counts = np.bincount(ranges.astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def near_another(sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which of the sets are near enough to another one of them, by their sketches, to link with it.
+
+    Sizes of linked sets are so close that one has at most twice the other's ranges; neighbouring ranges are then added up.
+    """
+    m = len(sketches)
+    lengths = np.array([len(x) for x in sketches])
+    if not lengths.all() or m * int(lengths.sum()) > COMPARED_BYTES:
+        return np.ones(m, dtype=bool)
+    near = np.zeros(m, dtype=bool)
+    counts = [np.frombuffer(x, dtype=np.uint8) for x in sketches]
+    whole = np.array([x.sum(dtype=np.int64) for x in counts])
+    for length in np.unique(lengths).tolist():
+        at = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        at = at[np.argsort(whole[at], kind="stable")]
+        rows = np.stack([counts[x] if lengths[x] == length else counts[x].reshape(-1, 2).sum(axis=1) for x in at]).astype(np.int16)
+        sizes, own = whole[at], lengths[at] == length
+        ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+        # The hub comes first, for many are near to it: sets found near are only compared with others that are not yet.
+        for x in [*np.flatnonzero(at == 0), *range(len(at))]:
+            if near[at].all():
+                break
+            first = int(np.searchsorted(ends, x, side="right")) if at[x] == 0 else x + 1
+            compared = (own[first : ends[x]] | own[x]) & (np.arange(first, ends[x]) != x)
+            if near[at[x]]:
+                compared &= ~near[at[first : ends[x]]]
+            others = slice(first, ends[x]) if compared.all() else first + np.flatnonzero(compared)
+            apart = np.abs(rows[others] - rows[x]).sum(axis=1, dtype=np.int32)
+            found = apart <= (100 - percent) * (sizes[others] + sizes[x]) // (100 + percent)
+            near[at[others][found]] = True
+            near[at[x]] |= found.any()
+    return near
+
+
 def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
     """All signatures of one set, given as its sorted shingle hashes."""
     found = []
@@ -147,18 +198,20 @@ def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n_shingles, node) of every row; key is a hash of id and text, node is null for an empty set."""
+    """(doc_id, key, n_shingles, node, sketch) of every row; key is a hash of id and text, node and sketch are null for an empty set."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for shingles in _sets(batch.column(2), words):
                 sizes.append(len(shingles))
                 nodes.append(node_of(shingles) if len(shingles) else None)
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node"])
+                sketches.append(sketch_of(shingles) if len(shingles) else None)
+            made = pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())
+            columns = [batch.column(0), batch.column(1), *made]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(described, f"doc_id {_type(docs, 'doc_id')}, key long, n_shingles long, node long")
+    return docs.mapInArrow(described, f"doc_id {_type(docs, 'doc_id')}, key long, n_shingles long, node long, sketch binary")
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -198,7 +251,6 @@ def _indexed(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _buckets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(signature, node, hub) of the signatures that several sets have; hub is the least of their nodes."""
     indexed = stored(_indexed(docs, words, percent), "signatures")
-    ordered = indexed.repartitionByRange("signature", "node").sortWithinPartitions("signature", "node")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +267,12 @@ def _buckets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             columns = signature[kept], node[kept], np.repeat(node[starts], sizes)[kept], np.repeat(edge, sizes)[kept]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "node", "hub", "edge"])
 
-    met = stored(ordered.mapInArrow(meet, "signature long, node long, hub long, edge boolean"), "buckets")
+    met = None
+    for n in range(1 << RANGE_BITS):
+        own = indexed.filter(F.shiftrightunsigned("signature", 64 - RANGE_BITS) == n)
+        ordered = own.repartitionByRange("signature", "node").sortWithinPartitions("signature", "node")
+        found = stored(ordered.mapInArrow(meet, "signature long, node long, hub long, edge boolean"), "buckets")
+        met = found if met is None else met.unionByName(found)
     discard(indexed)
     edges = met.filter("edge").groupBy("signature").agg(F.min("node").alias("hub"), F.max("node").alias("last"))
     edges = stored(edges.filter("hub <> last").drop("last"), "edge-buckets")
@@ -270,6 +327,39 @@ def links_of_partners(size: int, partners: list[tuple[int, bool, np.ndarray, np.
     return links
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) but for those whose a is, by the sketches (node, sketch), too far from the hub b and from all its other
+    partners. A hub with too many partners for one task keeps its pairs."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, whole, nodes, held = None, True, [], []
+
+        def finished() -> list[tuple[int, int]]:
+            return [(a, hub) for a, kept in zip(nodes, near_another(held, percent)[1:]) if kept] if nodes else []
+
+        for batch in batches:
+            rows: list[tuple[int, int]] = []
+            for b, a, sketch, alone in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if a is None:
+                    rows += finished()
+                    hub, whole, nodes, held = b, alone, [], [sketch]
+                elif whole:
+                    nodes.append(a)
+                    held.append(sketch)
+                else:
+                    rows.append((a, b))
+            if rows:
+                yield _rows(rows)
+        if rows := finished():
+            yield _rows(rows)
+
+    def _rows(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
+
+    texts = sketches.select("node", F.col("sketch").alias("text"))
+    return at_hubs(pairs, texts, share=HELD_PARTNERS, alone=True).mapInArrow(near, "a long, b long")
+
+
 VERIFIED = "a long, b long, linked boolean, size int, lacks int, adds int, differences array<int>"
 
 
@@ -368,16 +458,21 @@ def _sharing_differences(tested: DataFrame, roots: DataFrame, percent: int) -> D
     return pairs.select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")).distinct()
 
 
-def linked_nodes(buckets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame:
+def linked_nodes(
+    buckets: DataFrame, sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, percent: int
+) -> DataFrame:
     """(node, root) of all nodes that have links. `buckets` has (signature, node, hub), hub the least of its nodes.
 
-    Each bucket's sets are verified against its hub, and with each other as far as a task holds the hub's sets. Buckets of
+    Each bucket's sets, but for those that their sketches tell to be far from the others, are verified against its hub, and with each other as
+    far as a task holds the hub's sets. Buckets of
     other hubs that hold several components then take as hub the set with the most links so far. Two sets of such a bucket that link, but are
     still in different components, share differences from that hub; those that can link by what they share are verified
     with each other.
     """
     pairs = buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
+    candidates = stored(pairs, "candidates")
+    pairs = stored(_near(candidates, sketches, percent), "pairs")
+    discard(candidates)
     tested = stored(_verified(pairs, texts_of(pairs), words, percent), "verified")
     links = tested.filter("linked").select("a", "b")
     roots = stored(components(links), "roots")
@@ -419,12 +514,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     sets = stored(shingle_sets(keyed, words), "sets")
     buckets = _buckets(keyed, words, percent)
-    holders = holders_of(sets.filter("node is not null"))
+    filled = sets.filter("node is not null")
+    holders, sketches = holders_of(filled), filled.select("node", "sketch").dropDuplicates(["node"])
+    sets = sets.drop("sketch")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         return texts_of_nodes(pairs, holders, keyed)
 
-    roots = linked_nodes(buckets, texts_of, words, percent)
+    roots = linked_nodes(buckets, sketches, texts_of, words, percent)
     rows = stored(sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     smallest = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
     smallest = stored(smallest.filter("n > 1").drop("n"), "smallest")

@@ -49,10 +49,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDER[0]
 
 
+#: Spark then deletes a query's shuffle files when the query ends; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: lineage ends here, and columns are still pruned."""
+    """The rows written as Parquet to the shared folder and read back: lineage ends here, and columns are still pruned. The files that the
+    write shuffled are deleted with it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _PATHS[back] = path
     return back

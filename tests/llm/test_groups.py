@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -17,7 +19,7 @@ from odd_rows import ODD, documents, shipped  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadgauge.llm import components, jaccard_join, linear, mixing, quality, queries, substring_dedup, topk, toxicity
+from leadgauge.llm import components, hashing, jaccard_join, linear, mixing, quality, queries, shared, substring_dedup, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD_SPACES = ["a" + chr(c) + "b" for c in range(33)]
@@ -127,6 +129,97 @@ def test_linked_sets_share_a_signature(size, differences, seed):
         assert len(shared)
 
 
+@given(st.integers(2, 9), st.integers(1, 300), st.integers(0, 1 << 30))
+@settings(max_examples=150, deadline=None)
+def test_sketches_leave_out_no_set_that_links(m, size, seed):
+    generator = np.random.default_rng(seed)
+    pool = np.unique(generator.integers(0, 1 << 64, 2 * size + 20, dtype=np.uint64))
+    generator.shuffle(pool)
+    sets = []
+    for _ in range(m):
+        kept = pool[:size][generator.random(size) > generator.choice([0, 0.05, 0.1, 0.2, 0.6])]
+        sets.append(np.union1d(kept, generator.choice(pool[size:], generator.integers(1, 2 + size // 8), replace=False)))
+    near = jaccard_join.near_another([jaccard_join.sketch_of(x) for x in sets], 80)
+    for a in range(m):
+        for b in range(a):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                assert near[a] and near[b]
+
+
+def test_sketches_of_crowded_ranges_are_near_to_all():
+    crowded = np.arange(2000, dtype=np.uint64)
+    assert jaccard_join.sketch_of(crowded) == b""
+    other = jaccard_join.sketch_of(hashing.mixed(np.arange(40, dtype=np.uint64)))
+    assert jaccard_join.near_another([other, b"", other], 80).all()
+    far = [jaccard_join.sketch_of(hashing.mixed(np.arange(n, n + 40, dtype=np.uint64))) for n in (0, 1000, 1002, 2000)]
+    assert jaccard_join.near_another(far, 80).tolist() == [False, True, True, False]
+
+
+def test_texts_that_share_a_line_only_are_not_moved(documents, monkeypatch):
+    generator = random.Random(8)
+    line = " ".join(f"line{n}" for n in range(14))
+    texts = [" ".join(generator.choices([f"w{n}" for n in range(3000)], k=80)) + " " + line for _ in range(60)]
+    copies = [text + " and more" for text in texts[:9]]
+    verified, candidates, kept = [], [], jaccard_join._verified
+    near = jaccard_join._near
+
+    def counted(pairs, *others):
+        verified.append({frozenset(r) for r in pairs.select("a", "b").collect()})
+        return kept(pairs, *others)
+
+    def listed(pairs, *others):
+        candidates.append(pairs.count())
+        return near(pairs, *others)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    monkeypatch.setattr(jaccard_join, "_near", listed)
+    rows = jaccard_join.one_of_each(documents(list(enumerate(texts + copies)))).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(60))
+    assert candidates[0] >= 60 and len(verified) == 1
+    assert len({node for pair in verified[0] for node in pair}) < 30  # of 69: the copied ones, their copies and hubs of the line
+
+
+def test_buckets_are_sorted_range_by_range(documents, monkeypatch):
+    generator = random.Random(9)
+    words = [f"w{n}" for n in range(300)]
+    docs = documents(list(enumerate(_family(generator, words, 40, 30, 4) + _family(generator, words, 12, 20, 1))))
+    tables, kept = {}, jaccard_join.stored
+
+    def noted(df, name):
+        tables.setdefault(name, []).append(kept(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(jaccard_join, "stored", noted)
+    monkeypatch.setattr(jaccard_join, "discard", lambda *_: None)
+    found = Counter(map(tuple, jaccard_join._buckets(docs, 5, 80).collect()))
+    nodes: dict[int, set] = {}
+    for signature, node in tables["signatures"][0].collect():
+        nodes.setdefault(signature, set()).add(node)
+    assert found == Counter((s, node, min(own)) for s, own in nodes.items() if len(own) > 1 for node in own)
+    sizes = [table.count() for table in tables["buckets"]]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files() -> set[Path]:
+        return {p for folder in folders for p in Path(str(folder)).rglob("shuffle_*")}
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_, before = spark.conf.get(conf), files()
+    rows = spark.range(50_000).groupBy((F.col("id") % 999).alias("k")).count().repartition(3, "count")
+    assert shared.stored(rows, "counts").count() == 999
+    for _ in range(100):
+        if not any("_0.data" in p.name for p in files() - before):
+            break
+        time.sleep(0.1)
+    # counting 999 rows shuffles a number for each file; the write's own are gone
+    assert sum(p.stat().st_size for p in files() - before if p.exists()) < 2000
+    assert spark.conf.get(conf) == set_
+
+
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=25))
 @settings(max_examples=8, deadline=None)
 def test_components(spark, edges):
