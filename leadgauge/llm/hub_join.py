@@ -33,10 +33,11 @@ def texts_of_nodes(pairs: DataFrame, holders: DataFrame, keyed: DataFrame) -> Da
 
 
 def at_hubs(
-    pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = (), share: int = HUB_SHARE, alone: bool = False
+    pairs: DataFrame, texts: DataFrame, carried: tuple[str, ...] = (), share: int = HUB_SHARE, alone: bool = False, short: bool = False
 ) -> DataFrame:
     """(b, a, text, carried...) of the pairs (a, b, carried...) as sorted partitions: for each share of a hub b, first
-    a row of the hub's own text with a null a, then its partners' rows. `alone` adds whether the share has all partners."""
+    a row of the hub's own text with a null a, then its partners' rows. `alone` adds whether the share has all partners. `short`
+    texts are shuffled to the pairs, which then need not pass the driver to be broadcast."""
     large = pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > share)
     large = stored(large, "large-hubs")
     dealt = pairs.join(small_or_shuffled(large, large.count()), "b", "left")
@@ -48,6 +49,6 @@ def at_hubs(
     hubs = dealt.select("b", *own).distinct()
     hubs = hubs.select(F.col("b").alias("node"), "b", F.lit(None).cast("long").alias("a"), *own, *blank)
     wanted = dealt.unionByName(hubs)  # at most twice as many rows as pairs
-    rows = texts.join(small_or_shuffled(wanted, pairs.count() * (WIDE if carried else 2)), "node")
+    rows = texts.join(wanted if short else small_or_shuffled(wanted, pairs.count() * (WIDE if carried else 2)), "node")
     rows = rows.select("b", "a", "text", *own, *carried).repartition("b", "share")
     return rows.sortWithinPartitions("b", "share", F.asc_nulls_first("a")).select("b", "a", "text", *own[1:], *carried)

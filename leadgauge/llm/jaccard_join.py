@@ -357,7 +357,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["a", "b"])
 
     texts = sketches.select("node", F.col("sketch").alias("text"))
-    return at_hubs(pairs, texts, share=HELD_PARTNERS, alone=True).mapInArrow(near, "a long, b long")
+    return at_hubs(pairs, texts, share=HELD_PARTNERS, alone=True, short=True).mapInArrow(near, "a long, b long")
 
 
 VERIFIED = "a long, b long, linked boolean, size int, lacks int, adds int, differences array<int>"
